@@ -7,6 +7,7 @@ import importlib
 # plan modules, each exposing QUERIES and ORACLE
 _MODULES = (
     "search_q",
+    "sql_q",
 )
 
 
