@@ -8,6 +8,8 @@ import importlib
 _MODULES = (
     "search_q",
     "sql_q",
+    "docquery_q",
+    "tableops_q",
 )
 
 
