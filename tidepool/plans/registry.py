@@ -10,6 +10,8 @@ _MODULES = (
     "sql_q",
     "docquery_q",
     "tableops_q",
+    "sinks_q",
+    "catalog_q",
 )
 
 
