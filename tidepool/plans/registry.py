@@ -12,6 +12,7 @@ _MODULES = (
     "tableops_q",
     "sinks_q",
     "catalog_q",
+    "snapshot_q",
 )
 
 
