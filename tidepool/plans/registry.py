@@ -13,6 +13,7 @@ _MODULES = (
     "sinks_q",
     "catalog_q",
     "snapshot_q",
+    "stream_q",
 )
 
 

@@ -1,0 +1,156 @@
+"""Append-only topics on files: create (S07), produce (S05), consume.
+
+A topic is a folder below a shared root::
+
+    <root>/<topic>/_topic/         one JSON row: name, partitions, replicas
+    <root>/<topic>/data/partition=<p>/part-*.parquet
+                                    rows (topic, partition, offset, key, value, timestamp)
+
+Producing assigns a message to partition ``pmod(xxhash64(key), n)`` (the
+value's hash when the key is NULL) and gives it the next offset of that
+partition: offsets are dense and unique per partition, across batches.
+
+Offset assignment is parallel in the *input*, not in the topic's partition
+count: the batch is first staged (which also fixes its row order for the
+passes below, and cuts the lineage, so a lost executor never renumbers
+rows), then every (partition, input chunk) pair is numbered on its own and
+shifted by the sizes of the chunks before it. That prefix sum runs over one
+row per (partition, chunk), not over messages. A hot key fills one topic
+partition but is still numbered by as many tasks as it has input chunks.
+
+One producer per topic at a time: two concurrent batches would reuse offsets.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
+                               TimestampType)
+
+from ..session import delete_path, path_exists
+
+# Topic defaults (name, partitions, replicas).
+DEFAULT_TOPIC = "test-topic"
+DEFAULT_PARTITIONS = 3
+DEFAULT_REPLICAS = 1
+
+MESSAGE_SCHEMA = StructType([
+    StructField("topic", StringType()),
+    StructField("offset", LongType()),
+    StructField("key", StringType()),
+    StructField("value", StringType()),
+    StructField("timestamp", TimestampType()),
+    StructField("partition", IntegerType()),
+])
+
+
+def topic_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}"
+
+
+def create_topic(spark: SparkSession, root: str, name: str = DEFAULT_TOPIC,
+                 partitions: int = DEFAULT_PARTITIONS, replicas: int = DEFAULT_REPLICAS) -> None:
+    """Record the topic and its partition count; an error if it exists.
+
+    Replicas are kept for the listing only: a shared filesystem does its
+    own replication.
+    """
+    if partitions < 1:
+        raise ValueError("partitions must be >= 1")
+    meta = f"{topic_path(root, name)}/_topic"
+    if path_exists(spark, meta):
+        raise ValueError(f"topic {name!r} exists")
+    row = json.dumps({"name": name, "partitions": int(partitions), "replicas": int(replicas)})
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(meta)
+
+
+def topic_meta(spark: SparkSession, root: str, name: str) -> dict:
+    meta = spark.read.json(f"{topic_path(root, name)}/_topic").first()
+    if meta is None:
+        raise ValueError(f"no topic {name!r}")
+    return meta.asDict()
+
+
+def list_topics(spark: SparkSession, root: str) -> DataFrame:
+    """One row per topic under ``root`` (name, partitions, replicas)."""
+    return spark.read.json(f"{root.rstrip('/')}/*/_topic")
+
+
+def partition_of(key: Column, value: Column, partitions: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(key, value)), F.lit(partitions)).cast("int")
+
+
+def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
+            value: Column | None = None, key: Column | None = None,
+            timestamp: Column | None = None) -> str:
+    """Append ``df`` as messages; return the batch id.
+
+    ``value`` defaults to the row as JSON, ``key`` to NULL, ``timestamp`` to
+    the produce time.
+    """
+    meta = topic_meta(spark, root, name)
+    n = int(meta["partitions"])
+    tp = topic_path(root, name)
+    batch = uuid.uuid4().hex[:12]
+    if value is None:
+        value = F.to_json(F.struct(*[F.col(c) for c in df.columns]),
+                          {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    key = key.cast("string") if key is not None else F.lit(None).cast("string")
+    ts = timestamp.cast("timestamp") if timestamp is not None else F.current_timestamp()
+    msgs = df.select(key.alias("key"), value.alias("value"), ts.alias("timestamp"))
+
+    staged_path = f"{tp}/_staging/{batch}"
+    (msgs.select(partition_of(F.col("key"), F.col("value"), n).alias("partition"),
+                 F.spark_partition_id().alias("_chunk"),
+                 F.monotonically_increasing_id().alias("_seq"),
+                 "key", "value", "timestamp")
+     .write.parquet(staged_path))
+    staged = spark.read.parquet(staged_path)
+
+    data = f"{tp}/data"
+    sizes = staged.groupBy("partition", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("partition").orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if path_exists(spark, data):
+        nxt = (spark.read.schema(MESSAGE_SCHEMA).parquet(data)
+               .groupBy("partition").agg((F.max("offset") + 1).alias("_next")))
+        bases = (bases.join(nxt, "partition", "left")
+                 .withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0))))
+    rn = F.row_number().over(Window.partitionBy("partition", "_chunk").orderBy("_seq")) - 1
+    out = (staged.withColumn("_rn", rn)
+           .join(bases.select("partition", "_chunk", "_base"), ["partition", "_chunk"])
+           .select(F.lit(name).alias("topic"), "partition",
+                   (F.col("_base") + F.col("_rn")).cast("bigint").alias("offset"),
+                   "key", "value", "timestamp"))
+    out.write.mode("append").partitionBy("partition").parquet(data)
+    delete_path(spark, staged_path)
+    return batch
+
+
+def consume(spark: SparkSession, root: str, name: str, partitions: list[int] | None = None,
+            from_offset: int | None = None) -> DataFrame:
+    """All messages (or those of some partitions / from an offset), batch.
+
+    Partition choice prunes folders; order is per partition by offset, so
+    sort by (partition, offset) when presenting, not before processing.
+    """
+    df = spark.read.schema(MESSAGE_SCHEMA).parquet(f"{topic_path(root, name)}/data")
+    if partitions is not None:
+        df = df.filter(F.col("partition").isin(list(partitions)))
+    if from_offset is not None:
+        df = df.filter(F.col("offset") >= F.lit(int(from_offset)))
+    return df
+
+
+def consume_stream(spark: SparkSession, root: str, name: str,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """The topic as a streaming source: each new data file once."""
+    r = spark.readStream.schema(MESSAGE_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(f"{topic_path(root, name)}/data")
