@@ -103,7 +103,7 @@ def term_bucket(term: Column, buckets: int) -> Column:
 
 
 def build_index(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
-                buckets: int = 64) -> None:
+                buckets: int = 64, files: int | None = None) -> None:
     """Write postings (bucket, term, doc_id, tf, dl) and collection stats.
 
     The group by (term, doc_id) is partially aggregated in each task before
@@ -115,8 +115,13 @@ def build_index(docs: DataFrame, path: str, text: str = "text", id_col: str = "d
     postings = (per_doc.groupBy("term", "doc_id")
                 .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
                 .withColumn("bucket", term_bucket(F.col("term"), buckets)))
-    (postings.repartition(buckets, "bucket")
-     .sortWithinPartitions("term", "doc_id")
+    # Range partitioning samples (bucket, term, doc_id) and cuts it into
+    # equal ranges: a hot term ("the" is in most documents) is split over
+    # several tasks instead of landing whole in its bucket's one task, and
+    # each task still writes few, term-sorted files.
+    files = files or max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (postings.repartitionByRange(files, "bucket", "term", "doc_id")
+     .sortWithinPartitions("bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     stats = toks.agg(F.count(F.lit(1)).cast("double").alias("n"),
                      F.avg(F.when(F.size("_tok") > 0, F.size("_tok"))).alias("avgdl"),

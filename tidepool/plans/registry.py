@@ -14,6 +14,7 @@ _MODULES = (
     "catalog_q",
     "snapshot_q",
     "stream_q",
+    "jobs_q",
 )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import search
+from ..session import work_path
 from ..sources.tables import load
 
 # The query strings the registered searches run.
@@ -20,6 +21,13 @@ def match_paged(spark, sf_dir):
                               start=0, size=20)
 
 
+def match_index(spark, sf_dir):
+    """Q08 through a postings index written once; must equal ``match_bm25``."""
+    path = work_path(spark, "postings")
+    search.build_index(load(spark, sf_dir, "documents"), path, buckets=16)
+    return search.match_index(spark, path, BM25_QUERY, k=10)
+
+
 def match_all(spark, sf_dir):
     return search.match_all(load(spark, sf_dir, "documents"), size=10)
 
@@ -56,6 +64,7 @@ ORDER BY score DESC, doc_id LIMIT {k} OFFSET {offset}
 QUERIES = {
     "match_bm25": match_bm25,
     "match_paged": match_paged,
+    "match_index": match_index,
     "match_all": match_all,
 }
 
@@ -63,5 +72,6 @@ ORACLE = {
     "match_bm25": _bm25_sql("text", ["the", "schst", "osbo", "eaure"], 10),
     "match_paged": _bm25_sql("concat_ws(' ', text, lang, source)",
                              ["the", "osbo", "en", "src3"], 20),
+    "match_index": _bm25_sql("text", ["the", "schst", "osbo", "eaure"], 10),
     "match_all": "SELECT doc_id, 1.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 10",
 }
