@@ -19,10 +19,21 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 
 
+def raw_tokens(text: Column | str) -> Column:
+    """``split(lower(text))``: the tokens plus an empty piece at either end when
+    the text starts or ends with a separator. Codegen-friendly (no lambda)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.split(F.lower(c), TOKEN_SPLIT)
+
+
 def tokens(text: Column | str) -> Column:
     """array<string> of the lower-cased word tokens of ``text``."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(raw_tokens(text), "")
+
+
+def token_count(raw: Column) -> Column:
+    """Number of tokens in a ``raw_tokens`` array (empty pieces not counted)."""
+    return F.size(F.array_remove(raw, ""))
 
 
 def query_terms(query: str) -> list[str]:
@@ -39,6 +50,8 @@ def query_terms(query: str) -> list[str]:
     return seen
 
 
-def term_count(toks: Column, term: str) -> Column:
-    """How often ``term`` occurs in the token array (no explode, no shuffle)."""
-    return F.size(F.filter(toks, lambda t: t == F.lit(term)))
+def term_count(raw: Column, term: str) -> Column:
+    """How often ``term`` occurs in a token array: its size minus the size
+    without ``term``. Built-in array functions only, so the whole scoring
+    projection stays in whole-stage codegen (a ``filter`` lambda would not)."""
+    return F.size(raw) - F.size(F.array_remove(raw, F.lit(term)))
