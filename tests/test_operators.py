@@ -236,3 +236,13 @@ def test_stream_restart_adds_nothing(spark):
     for _ in range(2):
         S.ingest(S.follow_text(spark, src), sink, ckpt)
     assert spark.read.parquet(sink).count() == 100
+
+
+def test_lookup_layout_equals_plain_table(spark):
+    df = spark.range(0, 2000, numPartitions=4).selectExpr("id % 97 AS k", "id AS v")
+    path = work_path(spark, "t_layout")
+    C.write_lookup_layout(df, path, "k", files=5)
+    laid = spark.read.parquet(path)
+    assert rows(C.lookup(laid, "k", [3, 96, 500])) == rows(C.lookup(df, "k", [3, 96, 500]))
+    keys = spark.createDataFrame([(3,), (3,), (50,)], "k long")
+    assert rows(C.lookup_join(laid, keys, "k")) == rows(df.filter("k IN (3, 50)"))

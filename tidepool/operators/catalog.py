@@ -137,4 +137,16 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int,
 
 
 def lookup(df: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """Equality lookup of a few literal values (pushed into the scan)."""
     return df.filter(F.col(key).isin(list(values)))
+
+
+def lookup_join(df: DataFrame, keys: DataFrame, key: str, keys_col: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among the keys of another frame.
+
+    A left-semi join: AQE broadcasts the key side when its runtime size is
+    small and falls back to a shuffled join when it is not; with dynamic
+    partition pruning and sorted files only matching ranges are read.
+    """
+    kc = keys_col or key
+    return df.join(keys.select(F.col(kc).alias(key)).distinct(), key, "left_semi")

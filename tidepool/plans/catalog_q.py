@@ -14,11 +14,10 @@ from ..operators import catalog as C
 from ..session import work_path
 from ..sources.tables import load
 
-# Lineitem columns (for the per-column NULL counts), lookup keys.
+# Lineitem columns (for the per-column NULL counts).
 LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                  "l_shipdate")
-LOOKUP_KEYS = (7, 1000, 4242, 59999, 123456)
 
 
 def fresh_db(spark, tag: str, owner: str | None = None) -> str:
@@ -98,7 +97,9 @@ def layout_lookup(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
     path = work_path(spark, "layout")
     C.write_lookup_layout(li, path, "l_orderkey", files=8)
-    return C.lookup(spark.read.parquet(path), "l_orderkey", LOOKUP_KEYS)
+    urgent = load(spark, sf_dir, "orders").filter(
+        (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"))
+    return C.lookup_join(spark.read.parquet(path), urgent, "l_orderkey", "o_orderkey")
 
 
 QUERIES = {
@@ -124,6 +125,6 @@ UNION ALL SELECT 'supplier', false, count(*) FROM supplier""",
                    + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS nulls_{c}"
                                for c in LINEITEM_COLS)
                    + ", true AS has_bytes FROM lineitem",
-    "layout_lookup": "SELECT * FROM lineitem WHERE l_orderkey IN ("
-                     + ", ".join(str(k) for k in LOOKUP_KEYS) + ")",
+    "layout_lookup": "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders "
+                     "WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
 }

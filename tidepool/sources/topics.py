@@ -5,6 +5,7 @@ A topic is a folder below a shared root::
     <root>/<topic>/_topic/         one JSON row: name, partitions, replicas
     <root>/<topic>/data/partition=<p>/part-*.parquet
                                     rows (topic, partition, offset, key, value, timestamp)
+    <root>/<topic>/_offsets/        ledger: (partition, next offset, batch) per batch
 
 Producing assigns a message to partition ``pmod(xxhash64(key), n)`` (the
 value's hash when the key is NULL) and gives it the next offset of that
@@ -15,7 +16,8 @@ count: the batch is first staged (which also fixes its row order for the
 passes below, and cuts the lineage, so a lost executor never renumbers
 rows), then every (partition, input chunk) pair is numbered on its own and
 shifted by the sizes of the chunks before it. That prefix sum runs over one
-row per (partition, chunk), not over messages. A hot key fills one topic
+row per (partition, chunk), not over messages, and the next free offset of
+each partition comes from a small ledger, not from a scan of the topic. A hot key fills one topic
 partition but is still numbered by as many tasks as it has input chunks.
 
 One producer per topic at a time: two concurrent batches would reuse offsets.
@@ -111,14 +113,14 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
      .write.parquet(staged_path))
     staged = spark.read.parquet(staged_path)
 
-    data = f"{tp}/data"
+    data, ledger = f"{tp}/data", f"{tp}/_offsets"
     sizes = staged.groupBy("partition", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("partition").orderBy("_chunk") \
         .rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if path_exists(spark, data):
-        nxt = (spark.read.schema(MESSAGE_SCHEMA).parquet(data)
-               .groupBy("partition").agg((F.max("offset") + 1).alias("_next")))
+    nxt = None
+    if path_exists(spark, ledger):
+        nxt = spark.read.parquet(ledger).groupBy("partition").agg(F.max("next").alias("_next"))
         bases = (bases.join(nxt, "partition", "left")
                  .withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0))))
     rn = F.row_number().over(Window.partitionBy("partition", "_chunk").orderBy("_seq")) - 1
@@ -128,6 +130,15 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
                    (F.col("_base") + F.col("_rn")).cast("bigint").alias("offset"),
                    "key", "value", "timestamp"))
     out.write.mode("append").partitionBy("partition").parquet(data)
+    # the ledger gets one row per partition and batch: the next free offset
+    totals = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
+    if nxt is not None:
+        totals = totals.join(nxt, "partition", "left")
+    else:
+        totals = totals.withColumn("_next", F.lit(None).cast("bigint"))
+    (totals.select("partition", (F.coalesce("_next", F.lit(0)) + F.col("_n")).cast("bigint")
+                   .alias("next"), F.lit(batch).alias("batch"))
+     .coalesce(1).write.mode("append").parquet(ledger))
     delete_path(spark, staged_path)
     return batch
 
