@@ -125,9 +125,11 @@ def build_index(docs: DataFrame, path: str, text: str = "text", id_col: str = "d
     the shuffle; hot terms only repeat across documents, so the largest group
     is one document's occurrences of one term.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), raw_tokens(text).alias("_tok"))
-    per_doc = (toks.select("doc_id", token_count(F.col("_tok")).alias("dl"),
-                           F.explode("_tok").alias("term"))
+    toks = (docs.select(F.col(id_col).alias("doc_id"), raw_tokens(text).alias("_tok"))
+            .select("doc_id", token_count(F.col("_tok")).alias("dl"), "_tok"))
+    # dl is a column of the explode's input: computed once per document. In
+    # the same select as the explode it would be evaluated per token.
+    per_doc = (toks.select("doc_id", "dl", F.explode("_tok").alias("term"))
                .filter(F.col("term") != ""))
     postings = (per_doc.groupBy("term", "doc_id")
                 .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -140,9 +142,8 @@ def build_index(docs: DataFrame, path: str, text: str = "text", id_col: str = "d
     (postings.repartitionByRange(files, "bucket", "term", "doc_id")
      .sortWithinPartitions("bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    dl = token_count(F.col("_tok"))
     stats = toks.agg(F.count(F.lit(1)).cast("double").alias("n"),
-                     F.avg(F.when(dl > 0, dl)).alias("avgdl"),
+                     F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"),
                      F.lit(buckets).alias("buckets"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
