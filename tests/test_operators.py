@@ -246,3 +246,14 @@ def test_lookup_layout_equals_plain_table(spark):
     assert rows(C.lookup(laid, "k", [3, 96, 500])) == rows(C.lookup(df, "k", [3, 96, 500]))
     keys = spark.createDataFrame([(3,), (3,), (50,)], "k long")
     assert rows(C.lookup_join(laid, keys, "k")) == rows(df.filter("k IN (3, 50)"))
+
+
+def test_json_array_export_empty_partitions(spark):
+    df = spark.range(0, 3, numPartitions=6).selectExpr("id", "cast(id as string) AS s")
+    path = work_path(spark, "t_json_sparse")
+    jsonio.export_json(df, path, array=True)
+    back = jsonio.read_json(spark, path, schema=df.schema, array=True)
+    assert rows(back) == rows(df)
+    empty = work_path(spark, "t_json_empty")
+    jsonio.export_json(df.limit(0), empty, array=True)
+    assert jsonio.read_json(spark, empty, schema=df.schema, array=True).count() == 0

@@ -53,3 +53,9 @@ def test_aggregates_are_partial_before_shuffle(spark):
     for key in ["count_by_desc", "sql_agg", "server_log_parse", "latest_row"]:
         p = plan(spark, key)
         assert "partial_" in p, (key, p[:1500])
+
+
+@pytest.mark.parametrize("key", ["sql_distinct_on", "sql_lateral"])
+def test_top1_per_group_is_limited_before_shuffle(spark, key):
+    p = plan(spark, key)
+    assert "WindowGroupLimit" in p and "Partial" in p, p[:3000]
