@@ -12,11 +12,12 @@ PAGED_QUERY = "the osbo en src3"
 
 
 def match_bm25(spark, sf_dir):
-    return search.match(load(spark, sf_dir, "documents"), BM25_QUERY, field="text", k=10)
+    docs = load(spark, sf_dir, "documents", spread=True)
+    return search.match(docs, BM25_QUERY, field="text", k=10)
 
 
 def match_paged(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents", spread=True)
     return search.match_paged(docs, PAGED_QUERY, fields=["text", "lang", "source"],
                               start=0, size=20)
 
@@ -24,7 +25,7 @@ def match_paged(spark, sf_dir):
 def match_index(spark, sf_dir):
     """Q08 through a postings index written once; must equal ``match_bm25``."""
     path = work_path(spark, "postings")
-    search.build_index(load(spark, sf_dir, "documents"), path, buckets=16)
+    search.build_index(load(spark, sf_dir, "documents", spread=True), path, buckets=16)
     return search.match_index(spark, path, BM25_QUERY, k=10)
 
 

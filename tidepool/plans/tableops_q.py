@@ -72,7 +72,7 @@ def flatten_nested(spark, sf_dir):
         F.split("text", "\n"),
         lambda l: F.struct(F.transform(F.split(l, " "),
                                        lambda w: F.struct(w.alias("image"))).alias("containers")))
-    docs = load(spark, sf_dir, "documents").select(items.alias("items"))
+    docs = load(spark, sf_dir, "documents", spread=True).select(items.alias("items"))
     images = docs.select(F.explode(T.flatten_field("items", "containers", "image")).alias("image"))
     return images.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,14 +90,14 @@ def list_validate(spark, sf_dir):
 
 
 def text_match(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents", spread=True)
     out = docs.select("doc_id", T.text_match("text", substring="License").alias("license"),
                       T.text_match("text", pattern=EMAIL_RE).alias("email"))
     return out.filter(F.col("license") | F.col("email"))
 
 
 def text_replace(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents", spread=True)
     lit = T.text_replace("text", "the", "THE")
     rgx = T.text_replace("text", "[0-9]+", "#", regex=True)
     return docs.select("doc_id", F.md5(lit).alias("lit_md5"), F.md5(rgx).alias("re_md5"),
@@ -144,7 +144,7 @@ def server_log_lines(ev: DataFrame) -> DataFrame:
 
 
 def server_log_parse(spark, sf_dir):
-    parsed, _ = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events")))
+    parsed, _ = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events", spread=True)))
     return parsed.groupBy("user", "db").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"),
         F.max("line").alias("last_line"), F.count("app").alias("with_app"),
@@ -152,7 +152,7 @@ def server_log_parse(spark, sf_dir):
 
 
 def server_log_rejects(spark, sf_dir):
-    _, rejects = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events")))
+    _, rejects = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events", spread=True)))
     return rejects.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"))
 
 

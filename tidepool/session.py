@@ -108,3 +108,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     p = jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(conf).exists(p))
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files below ``path`` (one metadata call, no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(conf).getContentSummary(p).getLength())

@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import path_bytes
+
+# A scan is spread over more tasks only when its input is at
+# least this large; smaller inputs are cheaper to process in place.
+SPREAD_MIN_BYTES = 1 << 20
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -13,9 +20,37 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it
+    (also through the optional spreading repartition).
+
+    ``spread`` is for callers whose per-row work is CPU-heavy (tokenising,
+    regex parsing of whole texts): see ``spread_rows``.
+    """
+    path = table_path(sf_dir, name)
+    df = spark.read.parquet(path)
+    if spread and path_bytes(spark, path) >= SPREAD_MIN_BYTES:
+        return spread_rows(df)
+    return df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster's parallelism when the input gives fewer
+    splits than there are cores (e.g. one file with one large row group).
+
+    On real inputs (many files and row groups) the scan already has at
+    least as many splits as cores and this returns ``df`` unchanged, so it
+    never adds a shuffle at scale. Worth it only before CPU-heavy per-row
+    work; a cheap filter or join is faster without it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # Hash on the first column (a table's key): deterministic, so a task
+    # retry sends every row to the same place without the sort a
+    # round-robin repartition needs for that, and filters and column
+    # pruning still pass through it down to the scan.
+    return df.repartition(cores, F.col(df.columns[0]))
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
