@@ -257,3 +257,14 @@ def test_json_array_export_empty_partitions(spark):
     empty = work_path(spark, "t_json_empty")
     jsonio.export_json(df.limit(0), empty, array=True)
     assert jsonio.read_json(spark, empty, schema=df.schema, array=True).count() == 0
+
+
+def test_restore_refuses_tampered_snapshot(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    root = work_path(spark, "t_snap_bad")
+    sid = B.backup(spark, {"t": df}, root, db="src")
+    spark.createDataFrame([(3, "c")], "id int, v string").write.mode("append") \
+        .parquet(f"{root}/{sid}/t")
+    C.create_db(spark, "t_restore_bad", location=work_path(spark, "t_db_bad"), if_not_exists=True)
+    with pytest.raises(ValueError):
+        B.restore(spark, root, sid, "t_restore_bad")

@@ -97,9 +97,12 @@ def table_stats(df: DataFrame, name: str | None = None) -> DataFrame:
     aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in cols]
     stats = df.agg(*aggs)
     if has_meta:
+        # one row of file bytes next to the one row of counts: union the two
+        # and fold them with one aggregate (each column is set in one row)
         files = (df.select("_metadata.file_path", "_metadata.file_size").distinct()
                  .agg(F.sum("file_size").alias("bytes")))
-        stats = stats.crossJoin(files)  # two one-row frames
+        both = stats.unionByName(files, allowMissingColumns=True)
+        stats = both.agg(*[F.max(c).alias(c) for c in both.columns])
     else:
         stats = stats.withColumn("bytes", F.lit(None).cast("bigint"))
     stats = stats.withColumn(

@@ -90,12 +90,11 @@ def restore(spark: SparkSession, root: str, snapshot_id: str, target_db: str,
     for name in names:
         data = spark.read.parquet(f"{root}/{snapshot_id}/{name}")
         if verify:
-            bad = (data.agg(F.count(F.lit(1)).alias("rows"), checksum(data).alias("checksum"))
-                   .join(m.filter(F.col("table") == name).select(
-                       F.col("rows").alias("m_rows"), F.col("checksum").alias("m_sum")))
-                   .filter((F.col("rows") != F.col("m_rows")) | (F.col("checksum") != F.col("m_sum")))
-                   .count())
-            if bad:
+            found = (data.agg(F.count(F.lit(1)).alias("rows"), checksum(data).alias("checksum"))
+                     .select(F.lit(name).alias("table"), "rows", "checksum"))
+            ok = (found.join(m.select("table", "rows", "checksum"), ["table", "rows", "checksum"])
+                  .count())
+            if ok != 1:
                 raise ValueError(f"snapshot {snapshot_id}/{name} does not match its manifest")
         data.write.mode(mode).format("parquet").saveAsTable(f"{target_db}.{name}")
         out[name] = spark.table(f"{target_db}.{name}")
@@ -133,5 +132,6 @@ def same_checksum(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: rows and checksums of both sides and whether they agree."""
     sa = a.agg(F.count(F.lit(1)).alias("rows_a"), checksum(a).alias("sum_a"))
     sb = b.agg(F.count(F.lit(1)).alias("rows_b"), checksum(b).alias("sum_b"))
-    return sa.crossJoin(sb).withColumn(
+    both = sa.unionByName(sb, allowMissingColumns=True)  # two rows, folded into one
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
         "equal", (F.col("rows_a") == F.col("rows_b")) & (F.col("sum_a") == F.col("sum_b")))

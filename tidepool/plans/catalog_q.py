@@ -39,9 +39,10 @@ def list_databases(spark, sf_dir):
     db = fresh_db(spark, "lake")
     _copy(spark, sf_dir, db, ["region"])
     prefix = db[: -len("lake")]
-    dbs = C.list_databases(spark, f"{prefix}*")
-    rows = spark.table(f"{db}.region").agg(F.count(F.lit(1)).alias("rows"))
-    return dbs.select(_strip(F.col("namespace")).alias("name")).crossJoin(rows)
+    dbs = C.list_databases(spark, f"{prefix}*").select(_strip(F.col("namespace")).alias("name"))
+    rows = spark.table(f"{db}.region").agg(F.count(F.lit(1)).alias("rows")) \
+        .select(F.lit("lake").alias("name"), "rows")
+    return dbs.join(rows, "name")
 
 
 def list_tables(spark, sf_dir):
@@ -66,10 +67,12 @@ def create_db(spark, sf_dir):
         rejected = True
     _copy(spark, sf_dir, db, ["nation"])
     props = C.db_properties(spark, db).filter(F.col("info_name") == "Properties")
-    owner = props.select(F.regexp_extract("info_value", r"db_owner,([^)]*)\)", 1).alias("owner"))
-    rows = spark.table(f"{db}.nation").agg(F.count(F.lit(1)).alias("rows"))
-    return owner.crossJoin(rows).select(F.lit("owned").alias("name"), "owner",
-                                         F.lit(rejected).alias("dup_rejected"), "rows")
+    owner = props.select(F.lit("owned").alias("name"),
+                         F.regexp_extract("info_value", r"db_owner,([^)]*)\)", 1).alias("owner"))
+    rows = spark.table(f"{db}.nation").agg(F.count(F.lit(1)).alias("rows")) \
+        .select(F.lit("owned").alias("name"), "rows")
+    return owner.join(rows, "name").select("name", "owner", F.lit(rejected).alias("dup_rejected"),
+                                           "rows")
 
 
 def create_drop_index(spark, sf_dir):
