@@ -91,7 +91,12 @@ def top_k(scored: DataFrame, k: int, offset: int = 0, id_col: str = "doc_id",
 
 def match(docs: DataFrame, query: str, field: str = "text", k: int = 10,
           id_col: str = "doc_id") -> DataFrame:
-    """Full-text match on one field, terms OR-ed, BM25-ranked top ``k``."""
+    """Full-text match on one field, terms OR-ed, BM25-ranked top ``k``.
+
+    A bare ``*`` (the search command's default) is match-all.
+    """
+    if query.strip() == "*":
+        return match_all(docs, size=k, id_col=id_col)
     return top_k(bm25(docs, query, field, id_col), k, id_col=id_col)
 
 
@@ -101,6 +106,8 @@ def match_paged(docs: DataFrame, query: str, fields: list[str] | None = None,
     if fields is None:
         fields = [f.name for f in docs.schema.fields
                   if f.dataType.typeName() == "string" and f.name != id_col]
+    if not query_terms(query):  # '*' is not special here: no term, no match
+        return docs.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
     text = F.concat_ws(" ", *[F.col(c) for c in fields])
     return top_k(bm25(docs, query, text, id_col), size, offset=start, id_col=id_col)
 
