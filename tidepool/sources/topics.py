@@ -143,6 +143,13 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
     return batch
 
 
+def produce_text(spark: SparkSession, root: str, name: str, path: str,
+                 key: Column | None = None) -> str:
+    """``produce <topic>``: one message per line of the text file(s) at ``path``."""
+    lines = spark.read.text(path)
+    return produce(spark, root, name, lines, value=F.col("value"), key=key)
+
+
 def consume(spark: SparkSession, root: str, name: str, partitions: list[int] | None = None,
             from_offset: int | None = None) -> DataFrame:
     """All messages (or those of some partitions / from an offset), batch.
