@@ -21,6 +21,7 @@ def test_no_python_udf_and_no_cartesian(spark, key):
     p = plan(spark, key)
     assert not any(n in p for n in PY_NODES), p[:2000]
     assert "CartesianProduct" not in p, p[:2000]
+    assert "NestedLoopJoin" not in p, p[:2000]
 
 
 @pytest.mark.parametrize("key", ["top_k", "slow_ops", "top_metric", "log_tail", "match_bm25",

@@ -39,10 +39,12 @@ def list_databases(spark, sf_dir):
     db = fresh_db(spark, "lake")
     _copy(spark, sf_dir, db, ["region"])
     prefix = db[: -len("lake")]
-    dbs = C.list_databases(spark, f"{prefix}*").select(_strip(F.col("namespace")).alias("name"))
+    dbs = C.list_databases(spark, f"{prefix}*").select(
+        _strip(F.col("namespace")).alias("name"), F.lit(None).cast("bigint").alias("rows"))
     rows = spark.table(f"{db}.region").agg(F.count(F.lit(1)).alias("rows")) \
         .select(F.lit("lake").alias("name"), "rows")
-    return dbs.join(rows, "name")
+    # listed names and counted rows, folded per database name (no join)
+    return dbs.unionByName(rows).groupBy("name").agg(F.max("rows").alias("rows"))
 
 
 def list_tables(spark, sf_dir):
@@ -71,8 +73,9 @@ def create_db(spark, sf_dir):
                          F.regexp_extract("info_value", r"db_owner,([^)]*)\)", 1).alias("owner"))
     rows = spark.table(f"{db}.nation").agg(F.count(F.lit(1)).alias("rows")) \
         .select(F.lit("owned").alias("name"), "rows")
-    return owner.join(rows, "name").select("name", "owner", F.lit(rejected).alias("dup_rejected"),
-                                           "rows")
+    folded = owner.unionByName(rows, allowMissingColumns=True).groupBy("name") \
+        .agg(F.max("owner").alias("owner"), F.max("rows").alias("rows"))
+    return folded.select("name", "owner", F.lit(rejected).alias("dup_rejected"), "rows")
 
 
 def create_drop_index(spark, sf_dir):
