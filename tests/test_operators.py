@@ -274,3 +274,14 @@ def test_restore_refuses_tampered_snapshot(spark):
     C.create_db(spark, "t_restore_bad", location=work_path(spark, "t_db_bad"), if_not_exists=True)
     with pytest.raises(ValueError):
         B.restore(spark, root, sid, "t_restore_bad")
+
+
+def test_empty_topic_consume_and_stream(spark):
+    root = work_path(spark, "t_topics_empty")
+    topics.create_topic(spark, root, "e", partitions=2)
+    assert topics.consume(spark, root, "e").count() == 0
+    sink, ckpt = work_path(spark, "t_sink_e"), work_path(spark, "t_ckpt_e")
+    S.ingest(topics.consume_stream(spark, root, "e"), sink, ckpt)
+    topics.produce(spark, root, "e", spark.range(5), key=F.col("id"))
+    S.ingest(topics.consume_stream(spark, root, "e"), sink, ckpt)
+    assert spark.read.parquet(sink).count() == 5

@@ -116,3 +116,10 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     p = jvm.org.apache.hadoop.fs.Path(path)
     return int(p.getFileSystem(conf).getContentSummary(p).getLength())
+
+
+def make_dirs(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(conf).mkdirs(p))

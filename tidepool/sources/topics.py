@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
-from ..session import delete_path, path_exists
+from ..session import delete_path, make_dirs, path_exists
 
 # Topic defaults (name, partitions, replicas).
 DEFAULT_TOPIC = "test-topic"
@@ -68,6 +68,7 @@ def create_topic(spark: SparkSession, root: str, name: str = DEFAULT_TOPIC,
         raise ValueError(f"topic {name!r} exists")
     row = json.dumps({"name": name, "partitions": int(partitions), "replicas": int(replicas)})
     spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(meta)
+    make_dirs(spark, f"{topic_path(root, name)}/data")  # a stream may start before any message
 
 
 def topic_meta(spark: SparkSession, root: str, name: str) -> dict:
@@ -157,7 +158,10 @@ def consume(spark: SparkSession, root: str, name: str, partitions: list[int] | N
     Partition choice prunes folders; order is per partition by offset, so
     sort by (partition, offset) when presenting, not before processing.
     """
-    df = spark.read.schema(MESSAGE_SCHEMA).parquet(f"{topic_path(root, name)}/data")
+    data = f"{topic_path(root, name)}/data"
+    if not path_exists(spark, data):
+        raise ValueError(f"no topic {name!r}")
+    df = spark.read.schema(MESSAGE_SCHEMA).parquet(data)
     if partitions is not None:
         df = df.filter(F.col("partition").isin(list(partitions)))
     if from_offset is not None:
