@@ -40,6 +40,8 @@ DEFAULT_TOPIC = "test-topic"
 DEFAULT_PARTITIONS = 3
 DEFAULT_REPLICAS = 1
 
+META_SCHEMA = "name string, partitions int, replicas int"
+
 MESSAGE_SCHEMA = StructType([
     StructField("topic", StringType()),
     StructField("offset", LongType()),
@@ -72,7 +74,7 @@ def create_topic(spark: SparkSession, root: str, name: str = DEFAULT_TOPIC,
 
 
 def topic_meta(spark: SparkSession, root: str, name: str) -> dict:
-    meta = spark.read.json(f"{topic_path(root, name)}/_topic").first()
+    meta = spark.read.schema(META_SCHEMA).json(f"{topic_path(root, name)}/_topic").first()
     if meta is None:
         raise ValueError(f"no topic {name!r}")
     return meta.asDict()
@@ -80,7 +82,7 @@ def topic_meta(spark: SparkSession, root: str, name: str) -> dict:
 
 def list_topics(spark: SparkSession, root: str) -> DataFrame:
     """One row per topic under ``root`` (name, partitions, replicas)."""
-    return spark.read.json(f"{root.rstrip('/')}/*/_topic")
+    return spark.read.schema(META_SCHEMA).json(f"{root.rstrip('/')}/*/_topic")
 
 
 def partition_of(key: Column, value: Column, partitions: int) -> Column:
