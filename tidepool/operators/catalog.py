@@ -115,18 +115,24 @@ def table_stats(df: DataFrame, name: str | None = None) -> DataFrame:
 
 # --- C06: layout for fast equality lookups ------------------------------------
 
-def write_lookup_layout(df: DataFrame, path: str, key: str, files: int) -> None:
+def write_lookup_layout(df: DataFrame, path: str, key: str, files: int,
+                        bloom_filter: bool = True) -> None:
     """Range-partition and sort by ``key`` so each file holds one key range.
 
     Parquet row-group min/max statistics then let an equality filter on
     ``key`` skip every file and row group that cannot hold the value: the
     file-store equivalent of a secondary index. ``repartitionByRange``
     samples the key to pick boundaries, so a hot key is split by its
-    sort position rather than sent whole to one task.
+    sort position rather than sent whole to one task. With ``bloom_filter``
+    each row group also carries a Parquet bloom filter on ``key``, so a
+    lookup skips row groups whose range holds the value but whose keys do not.
     """
-    (df.repartitionByRange(files, F.col(key))
-     .sortWithinPartitions(key)
-     .write.mode("overwrite").parquet(path))
+    w = (df.repartitionByRange(files, F.col(key))
+         .sortWithinPartitions(key)
+         .write.mode("overwrite"))
+    if bloom_filter:
+        w = w.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    w.parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int,
