@@ -354,6 +354,22 @@ WITH RECURSIVE nxt AS (
 SELECT o_custkey, CAST(max(depth) AS BIGINT) AS chain_len, count(*) AS n FROM chain GROUP BY o_custkey
 """)
 
+_BOUNDED = """
+WITH RECURSIVE nxt AS (
+  SELECT o_orderkey,
+         lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_key
+  FROM orders
+), walk (start_key, o_orderkey, next_key, depth) AS (
+  SELECT o_orderkey, o_orderkey, next_key, 0 FROM nxt
+  UNION ALL
+  SELECT w.start_key, n.o_orderkey, n.next_key, w.depth + 1
+  FROM walk w JOIN nxt n ON n.o_orderkey = w.next_key
+  WHERE w.depth < 3
+)
+SELECT start_key, CAST(max(depth) AS BIGINT) AS reach, count(*) AS n FROM walk GROUP BY start_key
+"""
+_add("sql_recursive_bounded", _BOUNDED, _BOUNDED)
+
 # P13 string functions
 _add("sql_string", """
 SELECT c_custkey,

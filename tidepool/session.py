@@ -24,6 +24,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # A recursive CTE's output grows with its input (one row per chain
+    # element); the default cap of 1M rows would fail at scale. The level
+    # limit (default 100) still stops runaway recursion.
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
@@ -46,6 +50,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark
 
 
