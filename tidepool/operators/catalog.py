@@ -34,9 +34,14 @@ def list_databases(spark: SparkSession, pattern: str | None = None) -> DataFrame
     return spark.sql(q)
 
 
-def list_tables(spark: SparkSession, db: str = "default") -> DataFrame:
-    """``\\dt`` / ``show collections`` / index and topic lists of one database."""
-    return spark.sql(f"SHOW TABLES IN {_ident(db)}")
+def list_tables(spark: SparkSession, db: str = "default", include_temp: bool = False) -> DataFrame:
+    """``\\dt`` / ``show collections`` / index and topic lists of one database.
+
+    ``SHOW TABLES`` also lists the session's temporary views whatever the
+    database; they are left out unless ``include_temp``.
+    """
+    out = spark.sql(f"SHOW TABLES IN {_ident(db)}")
+    return out if include_temp else out.filter(~F.col("isTemporary"))
 
 
 def create_db(spark: SparkSession, name: str, owner: str | None = None,
