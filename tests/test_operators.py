@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool.functions.text import tokens
 from tidepool.operators import catalog as C
 from tidepool.operators import docquery as Q
 from tidepool.operators import search
@@ -57,7 +58,7 @@ def test_slow_ops_threshold_is_strict(spark):
 
 def test_tokens_unicode_and_punctuation(spark):
     df = spark.createDataFrame([("Ça-va? Ünïcode_test 42",)], "t string")
-    assert df.select(search.tokens("t").alias("x")).first()["x"] == \
+    assert df.select(tokens("t").alias("x")).first()["x"] == \
         ["ça", "va", "ünïcode", "test", "42"]
 
 

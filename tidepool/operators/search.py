@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (BM25_B, BM25_K1, query_terms, raw_tokens, term_count,
-                              token_count, tokens)
+                              token_count)
 
 
 def _idf(n: Column, df: Column) -> Column:
