@@ -10,6 +10,7 @@ catalog operators.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,11 @@ def run_sql(spark: SparkSession, query: str | Sequence[str], db: str | None = No
     if not stmts:
         raise ValueError("empty query")
     if sf_dir:
-        register_views(spark, sf_dir, TABLES)
+        # only the given tables the statements name (a word match: a stray
+        # match registers a view nobody reads, which costs nothing)
+        text = "\n".join(stmts)
+        named = [t for t in TABLES if re.search(rf"\b{t}\b", text, re.IGNORECASE)]
+        register_views(spark, sf_dir, named)
     if db:
         spark.catalog.setCurrentDatabase(db)
     result = None

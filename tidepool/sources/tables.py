@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,39 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
     regex parsing of whole texts): see ``spread_rows``.
     """
     path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
-    if spread and path_bytes(spark, path) >= SPREAD_MIN_BYTES:
+    df = _scan(spark, path)
+    if spread and _bytes(spark, path) >= SPREAD_MIN_BYTES:
         return spread_rows(df)
     return df
 
 
+# The given tables are read-only: each one's scan (schema from the Parquet
+# footer, file listing) is planned once per session and reused. Reading a
+# footer and listing costs ~0.15 s a table, paid per query otherwise.
+_SCANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    per = _SCANS.setdefault(spark, {})
+    df = per.get(("df", path))
+    if df is None:
+        df = per[("df", path)] = spark.read.parquet(path)
+    return df
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    per = _SCANS.setdefault(spark, {})
+    n = per.get(("bytes", path))
+    if n is None:
+        n = per[("bytes", path)] = path_bytes(spark, path)
+    return n
+
+
+def forget_scans(spark: SparkSession) -> None:
+    """Drop the planned scans of this session (after a table was rewritten)."""
+    _SCANS.pop(spark, None)
+
+
 def spread_rows(df: DataFrame) -> DataFrame:
     """Spread rows over the cluster's parallelism when the input gives fewer
     splits than there are cores (e.g. one file with one large row group).
