@@ -286,3 +286,38 @@ def test_empty_topic_consume_and_stream(spark):
     topics.produce(spark, root, "e", spark.range(5), key=F.col("id"))
     S.ingest(topics.consume_stream(spark, root, "e"), sink, ckpt)
     assert spark.read.parquet(sink).count() == 5
+
+
+def test_import_json_infers_mixed_shapes(spark, tmp_path):
+    src = tmp_path / "users.json"
+    src.write_text('[{"name": "Alice", "email": "alice@example.com", "age": 30},\n'
+                   ' {"name": "Bob", "email": "bob@example.com"}]')
+    C.create_db(spark, "t_imp", location=work_path(spark, "t_imp_db"), if_not_exists=True)
+    out = jsonio.import_json(spark, str(src), "t_imp.users")
+    assert dict(out.dtypes)["age"] == "bigint"
+    assert rows(Q.find_gte(out, "age", 25), "name") == [("Alice",)]
+
+
+def test_csv_roundtrip_and_pushdown(spark):
+    from tidepool.sources import files
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, v string")
+    path = work_path(spark, "t_csv")
+    files.write(df, path, fmt="csv")
+    back = files.scan(spark, path, fmt="csv", schema=df.schema, where=F.col("id") >= 2)
+    assert rows(back) == [(2, "b"), (3, None)]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    C.create_db(spark, "t_bk", location=work_path(spark, "t_bk_db"), if_not_exists=True)
+    a = spark.range(0, 1000).selectExpr("id AS k", "id * 2 AS x")
+    b = spark.range(0, 1000).selectExpr("id AS k", "id * 3 AS y")
+    C.write_bucketed(a, "t_bk.a", "k", 4)
+    C.write_bucketed(b, "t_bk.b", "k", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("t_bk.a").join(spark.table("t_bk.b"), "k")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        assert j.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
