@@ -246,6 +246,11 @@ FROM documents""",
 SELECT source, CAST(sum(n_chars) // 1024 AS BIGINT) AS kib_total,
        CAST(max(n_chars // 1000) AS BIGINT) AS max_kb
 FROM documents GROUP BY source""",
+    "json_pretty": """
+SELECT '{' || chr(10) || '  "n_nationkey" : ' || n_nationkey || ',' || chr(10)
+       || '  "n_name" : ' || to_json(n_name) || ',' || chr(10)
+       || '  "n_regionkey" : ' || n_regionkey || chr(10) || '}' AS json
+FROM nation""",
     "server_log_parse": f"""
 WITH lines AS ({_LOG_LINES_SQL}),
 parsed AS (
