@@ -1,6 +1,7 @@
 """The command line drives the same operators (one session per test run)."""
 
 import os
+import re
 
 from tidepool import cli
 from tidepool.session import work_path
@@ -25,6 +26,10 @@ def test_cli_commands(spark, capsys, tmp_path):
     assert "second" in out and "third" in out and "first" not in out
     cli.main(base + ["search", "documents", "the", "--size", "3"])
     assert "doc_id" in capsys.readouterr().out
+    cli.main(base + ["index", "add", "idx1"])
+    cli.main(base + ["index", "add", "idx1", '{"message": "hello", "n": 1}'])
+    cli.main(base + ["index", "count", "idx1"])
+    assert re.search(r"\|\s*2\s*\|", capsys.readouterr().out)
     cli.main(base + ["pi", "4"])
     assert "pi" in capsys.readouterr().out
     assert os.path.isabs(root.replace("file:", "")) or "://" in root

@@ -54,8 +54,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--field", default="text"); p.add_argument("--id", default="doc_id")
     p.add_argument("--from", dest="start", type=int, default=None)
     p.add_argument("--size", type=int, default=None)
-    p = sub.add_parser("index"); p.add_argument("action", choices=["create", "delete"])
-    p.add_argument("name"); p.add_argument("--key", default="_id"); p.add_argument("--shards", type=int, default=1)
+    p = sub.add_parser("index"); p.add_argument("action", choices=["create", "delete", "add", "count"])
+    p.add_argument("name"); p.add_argument("json", nargs="?")
+    p.add_argument("--key", default="_id"); p.add_argument("--shards", type=int, default=1)
     p = sub.add_parser("topic"); p.add_argument("action", choices=["create", "list"])
     p.add_argument("name", nargs="?", default=topics.DEFAULT_TOPIC)
     p.add_argument("partitions", nargs="?", type=int, default=topics.DEFAULT_PARTITIONS)
@@ -110,10 +111,17 @@ def main(argv: list[str] | None = None) -> int:
         else:
             _show(search.match(docs, a.text, field=a.field, id_col=a.id), n)
     elif a.cmd == "index":
+        path = f"{root}/indexes/{a.name}"
         if a.action == "create":
             catalog.create_index(spark, a.name, f"`{a.key}` STRING, doc VARIANT", a.key, a.shards)
-        else:
+        elif a.action == "delete":
             catalog.drop_index(spark, a.name)
+        elif a.action == "add":  # one document, the default one when none is given
+            docs = (spark.createDataFrame([(a.json,)], "json string") if a.json
+                    else jsonio.default_doc(spark))
+            jsonio.index_docs(docs, "json", path)
+        else:
+            _show(docquery.count_docs(spark.read.parquet(path)), n)
     elif a.cmd == "topic":
         if a.action == "create":
             topics.create_topic(spark, f"{root}/topics", a.name, a.partitions, a.replicas)

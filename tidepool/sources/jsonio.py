@@ -146,6 +146,19 @@ def index_docs(docs: DataFrame, json_col: str, path: str, id_col: str | None = N
      .write.mode("append").parquet(path))
 
 
+# The document indexed when none is given.
+DEFAULT_DOC_MESSAGE = "test document"
+DEFAULT_DOC_VALUE = 123
+
+
+def default_doc(spark: SparkSession) -> DataFrame:
+    """One JSON document ``{message, timestamp (ISO-8601 UTC), value}``."""
+    return spark.range(1).select(F.to_json(F.struct(
+        F.lit(DEFAULT_DOC_MESSAGE).alias("message"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.lit(DEFAULT_DOC_VALUE).alias("value"))).alias("json"))
+
+
 def doc_field(doc: Column | str, path: str, type_: str) -> Column:
     """Typed value at ``path`` of a variant document, NULL if absent or of another type."""
     c = F.col(doc) if isinstance(doc, str) else doc
