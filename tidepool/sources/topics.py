@@ -11,14 +11,18 @@ Producing assigns a message to partition ``pmod(xxhash64(key), n)`` (the
 value's hash when the key is NULL) and gives it the next offset of that
 partition: offsets are dense and unique per partition, across batches.
 
-Offset assignment is parallel in the *input*, not in the topic's partition
-count: the batch is first staged (which also fixes its row order for the
-passes below, and cuts the lineage, so a lost executor never renumbers
-rows), then every (partition, input chunk) pair is numbered on its own and
-shifted by the sizes of the chunks before it. That prefix sum runs over one
-row per (partition, chunk), not over messages, and the next free offset of
-each partition comes from a small ledger, not from a scan of the topic. A hot key fills one topic
-partition but is still numbered by as many tasks as it has input chunks.
+Offset assignment needs no shuffle of the messages. The batch is first
+staged below the topic, partitioned by topic partition, so every staged
+file holds messages of one partition; a message's offset is then the
+partition's next free offset, plus the sizes of the staged files before its
+own (files in name order), plus its position in its file (the Parquet
+scan's ``_metadata.row_index``). Only the file sizes - one row per staged
+file - are aggregated and prefix-summed, and that small table is joined
+back (AQE broadcasts it when its measured size is small). Staged files are
+immutable, so a task re-run after an executor loss numbers exactly the same
+rows; a hot key fills one topic partition but is still written and
+numbered by as many tasks as there are staged files. The next free offset
+of each partition comes from a small ledger, not from a scan of the topic.
 
 One producer per topic at a time: two concurrent batches would reuse offsets.
 """
@@ -41,6 +45,7 @@ DEFAULT_PARTITIONS = 3
 DEFAULT_REPLICAS = 1
 
 META_SCHEMA = "name string, partitions int, replicas int"
+_STAGED_SCHEMA = "key string, value string, timestamp timestamp, partition int"
 
 MESSAGE_SCHEMA = StructType([
     StructField("topic", StringType()),
@@ -110,15 +115,15 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
 
     staged_path = f"{tp}/_staging/{batch}"
     (msgs.select(partition_of(F.col("key"), F.col("value"), n).alias("partition"),
-                 F.spark_partition_id().alias("_chunk"),
-                 F.monotonically_increasing_id().alias("_seq"),
                  "key", "value", "timestamp")
-     .write.parquet(staged_path))
-    staged = spark.read.parquet(staged_path)
+     .write.partitionBy("partition").parquet(staged_path))
+    staged = spark.read.schema(_STAGED_SCHEMA).parquet(staged_path).select(
+        "partition", "key", "value", "timestamp",
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     data, ledger = f"{tp}/data", f"{tp}/_offsets"
-    sizes = staged.groupBy("partition", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("partition").orderBy("_chunk") \
+    sizes = staged.groupBy("partition", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("partition").orderBy("_file") \
         .rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     nxt = None
@@ -126,11 +131,9 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
         nxt = spark.read.parquet(ledger).groupBy("partition").agg(F.max("next").alias("_next"))
         bases = (bases.join(nxt, "partition", "left")
                  .withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0))))
-    rn = F.row_number().over(Window.partitionBy("partition", "_chunk").orderBy("_seq")) - 1
-    out = (staged.withColumn("_rn", rn)
-           .join(bases.select("partition", "_chunk", "_base"), ["partition", "_chunk"])
+    out = (staged.join(bases.select("partition", "_file", "_base"), ["partition", "_file"])
            .select(F.lit(name).alias("topic"), "partition",
-                   (F.col("_base") + F.col("_rn")).cast("bigint").alias("offset"),
+                   (F.col("_base") + F.col("_row")).cast("bigint").alias("offset"),
                    "key", "value", "timestamp"))
     out.write.mode("append").partitionBy("partition").parquet(data)
     # the ledger gets one row per partition and batch: the next free offset
