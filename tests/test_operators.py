@@ -321,3 +321,15 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_spread_rows_is_noop_on_many_splits(spark):
+    from tidepool.sources.tables import spread_rows
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, numPartitions=cores)
+    assert spread_rows(many) is many
+    few = spark.range(0, 1000, numPartitions=1).selectExpr("id AS k", "id % 3 AS v")
+    spread = spread_rows(few)
+    assert spread.rdd.getNumPartitions() == cores
+    assert "Exchange hashpartitioning(k" in spread._jdf.queryExecution().executedPlan().toString()
+    assert rows(spread) == rows(few)
