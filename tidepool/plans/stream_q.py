@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import work_path
+from ..operators import tableops as T
 from ..sources import logs, topics
 from ..sources.tables import load
 from ..streaming import ingest as S
-from .tableops_q import _LOG_LINES_SQL, server_log_lines
+from .tableops_q import ORACLE as _TABLEOPS_ORACLE
+from .tableops_q import _LOG_LINES_SQL, log_summary, server_log_lines
 
 # The time that splits events into two produce batches.
 SPLIT_TS = "2024-01-15 00:00:00"
@@ -78,12 +80,25 @@ def log_follow(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+def log_follow_parse(spark, sf_dir):
+    """Follow a log folder and parse each new line as it arrives (S12 + D15)."""
+    ev = load(spark, sf_dir, "events")
+    log_dir = work_path(spark, "logs")
+    sink, ckpt = work_path(spark, "parsed"), work_path(spark, "ckpt")
+    for b in _two_batches(ev):
+        server_log_lines(b).write.mode("append").text(log_dir)
+        parsed, _ = T.parse_server_log(S.follow_text(spark, log_dir))
+        S.ingest(parsed, sink, ckpt)
+    return log_summary(spark.read.parquet(sink))
+
+
 QUERIES = {
     "topic_produce": topic_produce,
     "topic_consume": topic_consume,
     "stream_ingest": stream_ingest,
     "log_tail": log_tail,
     "log_follow": log_follow,
+    "log_follow_parse": log_follow_parse,
 }
 
 ORACLE = {
@@ -94,4 +109,5 @@ ORACLE = {
     "log_tail": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC "
                 "LIMIT 50",
     "log_follow": _LOG_LINES_SQL,
+    "log_follow_parse": _TABLEOPS_ORACLE["server_log_parse"],
 }

@@ -144,14 +144,19 @@ def server_log_lines(ev: DataFrame) -> DataFrame:
     return ev.select(F.when(et == "error", cont).otherwise(line).alias("value"))
 
 
-def server_log_parse(spark, sf_dir):
-    parsed, _ = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events", spread=True)))
+def log_summary(parsed: DataFrame) -> DataFrame:
+    """Per (user, db): statements, first time, last line, with app, max pid, min message."""
     return parsed.groupBy("user", "db").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"),
         F.max("line").alias("last_line"), F.count("app").alias("with_app"),
         F.max("pid").alias("max_pid"), F.min("message").alias("min_message"))
 
 
+def server_log_parse(spark, sf_dir):
+    parsed, _ = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events", spread=True)))
+    return log_summary(parsed)
+
+
 def server_log_rejects(spark, sf_dir):
     _, rejects = T.parse_server_log(server_log_lines(load(spark, sf_dir, "events", spread=True)))
     return rejects.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"))
