@@ -97,34 +97,3 @@ def local_fs_path(path: str) -> str:
             path = path[1:]
     return os.path.abspath(path)
 
-
-def delete_path(spark: SparkSession, path: str) -> bool:
-    """Recursively delete one of our own work folders through Hadoop's
-    FileSystem (the same filesystem the cluster writes to)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return bool(fs.delete(p, True))
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).exists(p))
-
-
-def path_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files below ``path`` (one metadata call, no data read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(conf).getContentSummary(p).getLength())
-
-
-def make_dirs(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).mkdirs(p))

@@ -7,11 +7,6 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_bytes
-
-# A scan is spread over more tasks only when its input is at
-# least this large; smaller inputs are cheaper to process in place.
-SPREAD_MIN_BYTES = 1 << 20
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -29,11 +24,8 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
     ``spread`` is for callers whose per-row work is CPU-heavy (tokenising,
     regex parsing of whole texts): see ``spread_rows``.
     """
-    path = table_path(sf_dir, name)
-    df = _scan(spark, path)
-    if spread and _bytes(spark, path) >= SPREAD_MIN_BYTES:
-        return spread_rows(df)
-    return df
+    df = _scan(spark, table_path(sf_dir, name))
+    return spread_rows(df) if spread else df
 
 
 # The given tables are read-only: each one's scan (schema from the Parquet
@@ -50,14 +42,6 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def _bytes(spark: SparkSession, path: str) -> int:
-    per = _SCANS.setdefault(spark, {})
-    n = per.get(("bytes", path))
-    if n is None:
-        n = per[("bytes", path)] = path_bytes(spark, path)
-    return n
-
-
 def forget_scans(spark: SparkSession) -> None:
     """Drop the planned scans of this session (after a table was rewritten)."""
     _SCANS.pop(spark, None)

@@ -24,7 +24,8 @@ rows; a hot key fills one topic partition but is still written and
 numbered by as many tasks as there are staged files. The next free offset
 of each partition comes from a small ledger, not from a scan of the topic.
 
-One producer per topic at a time: two concurrent batches would reuse offsets.
+One producer per topic at a time: two concurrent batches would reuse offsets
+(and share the topic's staging folder).
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
-from ..session import delete_path, make_dirs, path_exists
 
 # Topic defaults (name, partitions, replicas).
 DEFAULT_TOPIC = "test-topic"
@@ -46,6 +47,7 @@ DEFAULT_REPLICAS = 1
 
 META_SCHEMA = "name string, partitions int, replicas int"
 _STAGED_SCHEMA = "key string, value string, timestamp timestamp, partition int"
+LEDGER_SCHEMA = "partition int, next bigint, batch string"
 
 MESSAGE_SCHEMA = StructType([
     StructField("topic", StringType()),
@@ -70,12 +72,17 @@ def create_topic(spark: SparkSession, root: str, name: str = DEFAULT_TOPIC,
     """
     if partitions < 1:
         raise ValueError("partitions must be >= 1")
-    meta = f"{topic_path(root, name)}/_topic"
-    if path_exists(spark, meta):
+    tp = topic_path(root, name)
+    try:
+        spark.read.schema(META_SCHEMA).json(f"{tp}/_topic").first()
         raise ValueError(f"topic {name!r} exists")
+    except AnalysisException:  # no such folder: a new topic
+        pass
     row = json.dumps({"name": name, "partitions": int(partitions), "replicas": int(replicas)})
-    spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(meta)
-    make_dirs(spark, f"{topic_path(root, name)}/data")  # a stream may start before any message
+    spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(f"{tp}/_topic")
+    # empty data folder and offsets ledger: a stream may start before any message
+    spark.createDataFrame([], MESSAGE_SCHEMA).write.partitionBy("partition").parquet(f"{tp}/data")
+    spark.createDataFrame([], LEDGER_SCHEMA).write.parquet(f"{tp}/_offsets")
 
 
 def topic_meta(spark: SparkSession, root: str, name: str) -> dict:
@@ -113,10 +120,11 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
     ts = timestamp.cast("timestamp") if timestamp is not None else F.current_timestamp()
     msgs = df.select(key.alias("key"), value.alias("value"), ts.alias("timestamp"))
 
-    staged_path = f"{tp}/_staging/{batch}"
+    # one staging folder per topic, overwritten by the next batch
+    staged_path = f"{tp}/_staging"
     (msgs.select(partition_of(F.col("key"), F.col("value"), n).alias("partition"),
                  "key", "value", "timestamp")
-     .write.partitionBy("partition").parquet(staged_path))
+     .write.mode("overwrite").partitionBy("partition").parquet(staged_path))
     staged = spark.read.schema(_STAGED_SCHEMA).parquet(staged_path).select(
         "partition", "key", "value", "timestamp",
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
@@ -126,26 +134,21 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
     before = Window.partitionBy("partition").orderBy("_file") \
         .rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    nxt = None
-    if path_exists(spark, ledger):
-        nxt = spark.read.parquet(ledger).groupBy("partition").agg(F.max("next").alias("_next"))
-        bases = (bases.join(nxt, "partition", "left")
-                 .withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0))))
+    nxt = (spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
+           .groupBy("partition").agg(F.max("next").alias("_next")))
+    bases = (bases.join(nxt, "partition", "left")
+             .withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0))))
     out = (staged.join(bases.select("partition", "_file", "_base"), ["partition", "_file"])
            .select(F.lit(name).alias("topic"), "partition",
                    (F.col("_base") + F.col("_row")).cast("bigint").alias("offset"),
                    "key", "value", "timestamp"))
     out.write.mode("append").partitionBy("partition").parquet(data)
     # the ledger gets one row per partition and batch: the next free offset
-    totals = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
-    if nxt is not None:
-        totals = totals.join(nxt, "partition", "left")
-    else:
-        totals = totals.withColumn("_next", F.lit(None).cast("bigint"))
+    totals = sizes.groupBy("partition").agg(F.sum("_n").alias("_n")) \
+        .join(nxt, "partition", "left")
     (totals.select("partition", (F.coalesce("_next", F.lit(0)) + F.col("_n")).cast("bigint")
                    .alias("next"), F.lit(batch).alias("batch"))
      .coalesce(1).write.mode("append").parquet(ledger))
-    delete_path(spark, staged_path)
     return batch
 
 
@@ -163,10 +166,7 @@ def consume(spark: SparkSession, root: str, name: str, partitions: list[int] | N
     Partition choice prunes folders; order is per partition by offset, so
     sort by (partition, offset) when presenting, not before processing.
     """
-    data = f"{topic_path(root, name)}/data"
-    if not path_exists(spark, data):
-        raise ValueError(f"no topic {name!r}")
-    df = spark.read.schema(MESSAGE_SCHEMA).parquet(data)
+    df = spark.read.schema(MESSAGE_SCHEMA).parquet(f"{topic_path(root, name)}/data")
     if partitions is not None:
         df = df.filter(F.col("partition").isin(list(partitions)))
     if from_offset is not None:
