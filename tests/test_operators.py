@@ -333,3 +333,8 @@ def test_spread_rows_is_noop_on_many_splits(spark):
     assert spread.rdd.getNumPartitions() == cores
     assert "Exchange hashpartitioning(k" in spread._jdf.queryExecution().executedPlan().toString()
     assert rows(spread) == rows(few)
+
+
+def test_consume_unknown_topic_is_an_error(spark):
+    with pytest.raises(ValueError):
+        topics.consume(spark, work_path(spark, "t_no_topics"), "missing")

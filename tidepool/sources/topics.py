@@ -80,9 +80,15 @@ def create_topic(spark: SparkSession, root: str, name: str = DEFAULT_TOPIC,
         pass
     row = json.dumps({"name": name, "partitions": int(partitions), "replicas": int(replicas)})
     spark.createDataFrame([(row,)], "value string").coalesce(1).write.text(f"{tp}/_topic")
-    # empty data folder and offsets ledger: a stream may start before any message
-    spark.createDataFrame([], MESSAGE_SCHEMA).write.partitionBy("partition").parquet(f"{tp}/data")
-    spark.createDataFrame([], LEDGER_SCHEMA).write.parquet(f"{tp}/_offsets")
+
+
+def _read_or_none(spark: SparkSession, schema, path: str) -> DataFrame | None:
+    """A Parquet folder read with its schema, or None when it does not exist yet
+    (Spark checks the path when the reader is created, before any job)."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
 
 
 def topic_meta(spark: SparkSession, root: str, name: str) -> dict:
@@ -134,18 +140,23 @@ def produce(spark: SparkSession, root: str, name: str, df: DataFrame,
     before = Window.partitionBy("partition").orderBy("_file") \
         .rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    nxt = (spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
-           .groupBy("partition").agg(F.max("next").alias("_next")))
-    bases = (bases.join(nxt, "partition", "left")
-             .withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0))))
+    done = _read_or_none(spark, LEDGER_SCHEMA, ledger)
+    if done is None:  # first batch of the topic
+        nxt = spark.createDataFrame([], "partition int, _next bigint")
+        bases = bases.withColumn("_next", F.lit(None).cast("bigint"))
+    else:
+        nxt = done.groupBy("partition").agg(F.max("next").alias("_next"))
+        bases = bases.join(nxt, "partition", "left")
+    bases = bases.withColumn("_base", F.col("_base") + F.coalesce(F.col("_next"), F.lit(0)))
     out = (staged.join(bases.select("partition", "_file", "_base"), ["partition", "_file"])
            .select(F.lit(name).alias("topic"), "partition",
                    (F.col("_base") + F.col("_row")).cast("bigint").alias("offset"),
                    "key", "value", "timestamp"))
     out.write.mode("append").partitionBy("partition").parquet(data)
     # the ledger gets one row per partition and batch: the next free offset
-    totals = sizes.groupBy("partition").agg(F.sum("_n").alias("_n")) \
-        .join(nxt, "partition", "left")
+    totals = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
+    totals = (totals.withColumn("_next", F.lit(None).cast("bigint")) if done is None
+              else totals.join(nxt, "partition", "left"))
     (totals.select("partition", (F.coalesce("_next", F.lit(0)) + F.col("_n")).cast("bigint")
                    .alias("next"), F.lit(batch).alias("batch"))
      .coalesce(1).write.mode("append").parquet(ledger))
@@ -166,7 +177,14 @@ def consume(spark: SparkSession, root: str, name: str, partitions: list[int] | N
     Partition choice prunes folders; order is per partition by offset, so
     sort by (partition, offset) when presenting, not before processing.
     """
-    df = spark.read.schema(MESSAGE_SCHEMA).parquet(f"{topic_path(root, name)}/data")
+    tp = topic_path(root, name)
+    df = _read_or_none(spark, MESSAGE_SCHEMA, f"{tp}/data")
+    if df is None:  # nothing produced yet, or no such topic
+        try:
+            spark.read.schema(META_SCHEMA).json(f"{tp}/_topic")
+        except AnalysisException:
+            raise ValueError(f"no topic {name!r}") from None
+        return spark.createDataFrame([], MESSAGE_SCHEMA)
     if partitions is not None:
         df = df.filter(F.col("partition").isin(list(partitions)))
     if from_offset is not None:
@@ -177,7 +195,11 @@ def consume(spark: SparkSession, root: str, name: str, partitions: list[int] | N
 def consume_stream(spark: SparkSession, root: str, name: str,
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """The topic as a streaming source: each new data file once."""
+    data = f"{topic_path(root, name)}/data"
+    if _read_or_none(spark, MESSAGE_SCHEMA, data) is None:
+        # a stream may start before the first message: give it an empty folder
+        spark.createDataFrame([], MESSAGE_SCHEMA).write.partitionBy("partition").parquet(data)
     r = spark.readStream.schema(MESSAGE_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(f"{topic_path(root, name)}/data")
+    return r.parquet(data)
