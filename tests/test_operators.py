@@ -338,3 +338,15 @@ def test_spread_rows_is_noop_on_many_splits(spark):
 def test_consume_unknown_topic_is_an_error(spark):
     with pytest.raises(ValueError):
         topics.consume(spark, work_path(spark, "t_no_topics"), "missing")
+
+
+def test_run_sql_empty_query_and_named_db(spark):
+    from tidepool.operators.sqlpass import run_sql
+    with pytest.raises(ValueError):
+        run_sql(spark, "   ")
+    C.create_db(spark, "t_sqldb", location=work_path(spark, "t_sqldb_loc"), if_not_exists=True)
+    spark.createDataFrame([(1,), (2,)], "x int").write.mode("overwrite").saveAsTable("t_sqldb.nums")
+    try:
+        assert run_sql(spark, "SELECT sum(x) AS s FROM nums", db="t_sqldb").first()["s"] == 3
+    finally:
+        spark.catalog.setCurrentDatabase("default")
