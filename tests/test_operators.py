@@ -346,7 +346,6 @@ def test_run_sql_empty_query_and_named_db(spark):
         run_sql(spark, "   ")
     C.create_db(spark, "t_sqldb", location=work_path(spark, "t_sqldb_loc"), if_not_exists=True)
     spark.createDataFrame([(1,), (2,)], "x int").write.mode("overwrite").saveAsTable("t_sqldb.nums")
-    try:
-        assert run_sql(spark, "SELECT sum(x) AS s FROM nums", db="t_sqldb").first()["s"] == 3
-    finally:
-        spark.catalog.setCurrentDatabase("default")
+    out = run_sql(spark, "SELECT sum(x) AS s FROM nums", db="t_sqldb")
+    assert spark.catalog.currentDatabase() == "default"
+    assert out.first()["s"] == 3

@@ -35,9 +35,14 @@ def run_sql(spark: SparkSession, query: str | Sequence[str], db: str | None = No
         text = "\n".join(stmts)
         named = [t for t in TABLES if re.search(rf"\b{t}\b", text, re.IGNORECASE)]
         register_views(spark, sf_dir, named)
+    before = spark.catalog.currentDatabase()
     if db:
         spark.catalog.setCurrentDatabase(db)
-    result = None
-    for s in stmts:
-        result = spark.sql(s)
-    return result
+    try:
+        result = None
+        for s in stmts:
+            result = spark.sql(s)  # names are resolved here, so the database
+        return result              # can be switched back right after
+    finally:
+        if db:
+            spark.catalog.setCurrentDatabase(before)
