@@ -349,3 +349,18 @@ def test_run_sql_empty_query_and_named_db(spark):
     out = run_sql(spark, "SELECT sum(x) AS s FROM nums", db="t_sqldb")
     assert spark.catalog.currentDatabase() == "default"
     assert out.first()["s"] == 3
+
+
+def test_continuous_follow_picks_up_new_files(spark):
+    src = work_path(spark, "t_follow_src")
+    sink, ckpt = work_path(spark, "t_follow_sink"), work_path(spark, "t_follow_ckpt")
+    spark.range(3).selectExpr("cast(id as string) AS value").write.text(src)
+    q = S.write_stream(S.follow_text(spark, src), sink, ckpt, available_now=False,
+                       interval="1 second")
+    try:
+        q.processAllAvailable()
+        spark.range(3, 8).selectExpr("cast(id as string) AS value").write.mode("append").text(src)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(int(r["value"]) for r in spark.read.parquet(sink).collect()) == list(range(8))
