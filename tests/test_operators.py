@@ -364,3 +364,14 @@ def test_continuous_follow_picks_up_new_files(spark):
     finally:
         q.stop()
     assert sorted(int(r["value"]) for r in spark.read.parquet(sink).collect()) == list(range(8))
+
+
+def test_list_validate_known_set_as_table(spark):
+    df = spark.createDataFrame([(1, "b, zz ,a, yy"), (2, "a"), (3, "")], "id int, s string")
+    known = spark.createDataFrame([("a",), ("b",), ("a",)], "name string")
+    out = {r["id"]: (r["items"], r["unknown"], r["reversed"])
+           for r in T.list_validate(df, "s", known, id_col="id").collect()}
+    assert out[1] == (["b", "zz", "a", "yy"], ["zz", "yy"], ["yy", "a", "zz", "b"])
+    assert out[2] == (["a"], [], ["a"]) and out[3] == ([], [], [])
+    lit = {r["id"]: r["unknown"] for r in T.list_validate(df, "s", ["a", "b"]).collect()}
+    assert lit == {k: v[1] for k, v in out.items()}

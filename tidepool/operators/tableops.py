@@ -129,13 +129,20 @@ def list_items(s: Column | str, sep: str = ",") -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != F.lit(""))
 
 
-def list_validate(df: DataFrame, s: Column | str, known: Sequence[str], sep: str = ",",
-                  prefix: str = "") -> DataFrame:
+def list_validate(df: DataFrame, s: Column | str, known: Sequence[str] | DataFrame,
+                  sep: str = ",", prefix: str = "", id_col: str | None = None) -> DataFrame:
     """Add ``{prefix}items``, ``{prefix}unknown`` (names not in ``known``) and
     ``{prefix}reversed`` (stop order).
 
-    The known set is a literal array in the expression: no join, no shuffle.
+    A list of known names becomes a literal array in the expression: no
+    join, no shuffle. A DataFrame of known names (first column) may be of any
+    size: the items are exploded with their positions, anti-joined with it
+    (AQE broadcasts the known side when its measured size is small) and
+    gathered back per row by ``id_col`` (a unique row key); a row's group is
+    bounded by its own list length.
     """
+    if isinstance(known, DataFrame):
+        return _list_validate_join(df, s, known, sep, prefix, id_col)
     items = list_items(s, sep)
     known_arr = F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")
     return (df.withColumn(f"{prefix}items", items)
@@ -145,6 +152,23 @@ def list_validate(df: DataFrame, s: Column | str, known: Sequence[str], sep: str
             .withColumn(f"{prefix}reversed", F.reverse(F.col(f"{prefix}items"))))
 
 
+def _list_validate_join(df, s, known, sep, prefix, id_col):
+    if id_col is None:
+        raise ValueError("a known-names DataFrame needs id_col, a unique row key")
+    items_col = f"{prefix}items"
+    base = df.withColumn(items_col, list_items(s, sep)) \
+        .withColumn(f"{prefix}reversed", F.reverse(F.col(items_col)))
+    names = known.select(F.col(known.columns[0]).alias("_name")).distinct()
+    exploded = base.select(id_col, F.posexplode(items_col).alias("_pos", "_name"))
+    unknown = (exploded.join(names, "_name", "left_anti")
+               .groupBy(id_col)
+               .agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_u"))
+               .select(id_col, F.transform("_u", lambda x: x["_name"]).alias(f"{prefix}unknown")))
+    return (base.join(unknown, id_col, "left")
+            .withColumn(f"{prefix}unknown",
+                        F.coalesce(F.col(f"{prefix}unknown"), F.array().cast("array<string>"))))
+
+
 def _regex_literal(sep: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in sep)
 
