@@ -375,3 +375,17 @@ def test_list_validate_known_set_as_table(spark):
     assert out[2] == (["a"], [], ["a"]) and out[3] == ([], [], [])
     lit = {r["id"]: r["unknown"] for r in T.list_validate(df, "s", ["a", "b"]).collect()}
     assert lit == {k: v[1] for k, v in out.items()}
+
+
+def test_index_search_equals_one_shot(spark):
+    docs = spark.createDataFrame(
+        [(1, "apple pie, apple tart"), (2, "banana split"), (3, ""), (4, None), (5, "?!"),
+         (6, "Apple and banana"), (7, "pie")], "doc_id long, text string")
+    path = work_path(spark, "t_index")
+    search.build_index(docs, path, buckets=4)
+    for q in ["apple", "banana pie", "tart split apple"]:
+        one = [tuple(r) for r in search.match(docs, q, k=5).collect()]
+        idx = [tuple(r) for r in search.match_index(spark, path, q, k=5).collect()]
+        assert one == idx, (q, one, idx)
+    st = spark.read.parquet(f"{path}/stats").first()
+    assert st["n"] == 7.0

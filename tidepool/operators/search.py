@@ -124,19 +124,28 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+# A term no document can contain (tokens are letters and
+# digits); every document gets one posting under it, carrying its length.
+DOC_TERM = "\u0000"
+
+
 def build_index(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
                 buckets: int = 64, files: int | None = None) -> None:
     """Write postings (bucket, term, doc_id, tf, dl) and collection stats.
 
     The group by (term, doc_id) is partially aggregated in each task before
     the shuffle; hot terms only repeat across documents, so the largest group
-    is one document's occurrences of one term.
+    is one document's occurrences of one term. The corpus is tokenised once:
+    every document also gets one posting under ``DOC_TERM``, and the stats
+    (N, avgdl) are read back from that term's bucket alone.
     """
     toks = (docs.select(F.col(id_col).alias("doc_id"), raw_tokens(text).alias("_tok"))
             .select("doc_id", token_count(F.col("_tok")).alias("dl"), "_tok"))
     # dl is a column of the explode's input: computed once per document. In
     # the same select as the explode it would be evaluated per token.
-    per_doc = (toks.select("doc_id", "dl", F.explode("_tok").alias("term"))
+    terms = F.concat(F.array(F.lit(DOC_TERM)),
+                     F.coalesce(F.col("_tok"), F.array().cast("array<string>")))
+    per_doc = (toks.select("doc_id", "dl", F.explode(terms).alias("term"))
                .filter(F.col("term") != ""))
     postings = (per_doc.groupBy("term", "doc_id")
                 .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -149,9 +158,12 @@ def build_index(docs: DataFrame, path: str, text: str = "text", id_col: str = "d
     (postings.repartitionByRange(files, "bucket", "term", "doc_id")
      .sortWithinPartitions("bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    stats = toks.agg(F.count(F.lit(1)).cast("double").alias("n"),
-                     F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"),
-                     F.lit(buckets).alias("buckets"))
+    doc_rows = (docs.sparkSession.read.parquet(f"{path}/postings")
+                .filter((F.col("bucket") == term_bucket(F.lit(DOC_TERM), buckets))
+                        & (F.col("term") == DOC_TERM)))
+    stats = doc_rows.agg(F.count(F.lit(1)).cast("double").alias("n"),
+                         F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"),
+                         F.lit(buckets).alias("buckets"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
