@@ -468,7 +468,7 @@ SELECT user_id,
        sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k_sum,
        max(from_json(props, 'k BIGINT').k) AS k_max,
        array_join(array_sort(collect_set(event_type)), ',') AS types,
-       size(collect_list(event_id)) AS n_listed
+       size(collect_set(event_type)) AS n_types
 FROM events
 GROUP BY user_id
 """, """
@@ -477,7 +477,7 @@ SELECT user_id,
        CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum,
        max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k_max,
        array_to_string(list_sort(list_distinct(array_agg(event_type))), ',') AS types,
-       CAST(len(array_agg(event_id)) AS INT) AS n_listed
+       CAST(len(list_distinct(array_agg(event_type))) AS INT) AS n_types
 FROM events
 GROUP BY user_id
 """)
