@@ -33,3 +33,31 @@ def test_cli_commands(spark, capsys, tmp_path):
     cli.main(base + ["pi", "4"])
     assert "pi" in capsys.readouterr().out
     assert os.path.isabs(root.replace("file:", "")) or "://" in root
+
+
+def test_cli_collections_and_snapshots(spark, capsys, tmp_path):
+    root = work_path(spark, "t_cli2")
+    base = ["--root", root, "--rows", "50"]
+    src = tmp_path / "users.json"
+    src.write_text('[{"name": "Alice", "email": "alice@example.com", "age": 30},'
+                   ' {"name": "Bob", "email": "bob@example.com", "age": 25}]')
+    cli.main(base + ["create-db", "cli_app", "analyst"])
+    cli.main(base + ["import", str(src), "cli_app", "users"])
+    assert re.search(r"\|\s*2\s*\|", capsys.readouterr().out)
+    cli.main(base + ["list-tables", "cli_app"])
+    assert "users" in capsys.readouterr().out
+    cli.main(base + ["export", "cli_app", "users", "--array"])
+    exported = capsys.readouterr().out.strip().splitlines()[-1]
+    assert "users-" in exported and exported.endswith(".json")
+    cli.main(base + ["backup", "cli_app"])
+    sid = capsys.readouterr().out.strip().splitlines()[-1]
+    cli.main(base + ["create-db", "cli_copy"])
+    cli.main(base + ["restore", sid, "cli_copy"])
+    assert "users" in capsys.readouterr().out
+    assert spark.table("cli_copy.users").count() == 2
+    cli.main(base + ["expired", "--days", "7"])
+    assert sid not in capsys.readouterr().out  # a fresh snapshot is kept
+    cli.main(base + ["stats", "cli_copy.users"])
+    assert "rows" in capsys.readouterr().out
+    cli.main(base + ["list-db"])
+    assert "cli_copy" in capsys.readouterr().out
