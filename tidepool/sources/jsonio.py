@@ -14,13 +14,19 @@ both sides use a microsecond pattern.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import _framing
+
+# Executors import nothing of this package: the mapInPandas function is
+# shipped by value with the task.
+cloudpickle.register_pickle_by_value(_framing)
+
 # Timestamp patterns for JSON text and the export name format.
 TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -35,33 +41,6 @@ def default_export_name(coll: str, now: _dt.datetime | None = None) -> str:
     return f"{coll}-{now.strftime(EXPORT_NAME_FMT)}.json"
 
 
-def _array_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frame one partition's JSON rows as a single array: '[' row, row ... ']'.
-
-    Holds back one batch so it knows which row is the partition's last.
-    """
-    prev = None
-    first = True
-    for b in batches:
-        if len(b) == 0:
-            continue
-        if prev is not None:
-            yield _frame(prev, first, last=False)
-            first = False
-        prev = b
-    if prev is not None:
-        yield _frame(prev, first, last=True)
-
-
-def _frame(b: pd.DataFrame, first: bool, last: bool) -> pd.DataFrame:
-    v = b["value"].astype(object).to_numpy(copy=True)
-    v[:-1] = v[:-1] + ","
-    v[-1] = v[-1] + ("]" if last else ",")
-    if first:
-        v[0] = "[" + v[0]
-    return pd.DataFrame({"value": v})
-
-
 def export_json(df: DataFrame, path: str, array: bool = False, mode: str = "error",
                 compression: str | None = None) -> str:
     """Write ``df`` below ``path``; one file per partition, written in parallel.
@@ -77,7 +56,7 @@ def export_json(df: DataFrame, path: str, array: bool = False, mode: str = "erro
         return path
     lines = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), _JSON_OPTS)
                       .alias("value"))
-    framed = lines.mapInPandas(_array_frames, "value string")
+    framed = lines.mapInPandas(_framing.array_frames, "value string")
     w = framed.write.mode(mode)
     if compression:
         w = w.option("compression", compression)
