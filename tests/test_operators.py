@@ -389,3 +389,14 @@ def test_index_search_equals_one_shot(spark):
         assert one == idx, (q, one, idx)
     st = spark.read.parquet(f"{path}/stats").first()
     assert st["n"] == 7.0
+
+
+def test_bm25_staged_counts_give_the_same_ranking(spark):
+    docs = spark.createDataFrame(
+        [(1, "apple pie apple"), (2, "banana"), (3, None), (4, "pie and banana pie")],
+        "doc_id long, text string")
+    plain = [tuple(r) for r in search.match(docs, "apple pie", k=10).collect()]
+    staged = [tuple(r) for r in search.match(docs, "apple pie", k=10,
+                                             stage_path=work_path(spark, "t_bm25_stage"))
+              .collect()]
+    assert plain == staged and len(plain) == 2

@@ -51,18 +51,26 @@ def term_frequencies(docs: DataFrame, terms: list[str], text: Column | str,
 
 
 def bm25(docs: DataFrame, query: str, text: Column | str = "text",
-         id_col: str = "doc_id") -> DataFrame:
+         id_col: str = "doc_id", stage_path: str | None = None) -> DataFrame:
     """(id, score) for every document; ``score > 0`` exactly when the document
     holds at least one query term (idf is always positive).
 
     There is deliberately no hit filter here: a filter on the term counts is
     pushed below the projection and Catalyst would inline the tokeniser into
     it once per term. Rankers drop zero scores after the top-k instead.
+
+    The statistics pass and the scoring pass each tokenise the corpus. With
+    ``stage_path`` (a folder in the shared storage) the per-document counts
+    (id, dl, tf...) - a few numbers per document - are written there once
+    and both passes read them: one tokenisation per query on a large corpus.
     """
     terms = query_terms(query)
     if not terms:
         raise ValueError("empty query")
     tf = term_frequencies(docs, terms, text, id_col)
+    if stage_path:
+        tf.write.mode("overwrite").parquet(stage_path)
+        tf = docs.sparkSession.read.parquet(stage_path)
     stats = tf.agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"),
@@ -90,18 +98,19 @@ def top_k(scored: DataFrame, k: int, offset: int = 0, id_col: str = "doc_id",
 
 
 def match(docs: DataFrame, query: str, field: str = "text", k: int = 10,
-          id_col: str = "doc_id") -> DataFrame:
+          id_col: str = "doc_id", stage_path: str | None = None) -> DataFrame:
     """Full-text match on one field, terms OR-ed, BM25-ranked top ``k``.
 
     A bare ``*`` (the search command's default) is match-all.
     """
     if query.strip() == "*":
         return match_all(docs, size=k, id_col=id_col)
-    return top_k(bm25(docs, query, field, id_col), k, id_col=id_col)
+    return top_k(bm25(docs, query, field, id_col, stage_path), k, id_col=id_col)
 
 
 def match_paged(docs: DataFrame, query: str, fields: list[str] | None = None,
-                start: int = 0, size: int = 20, id_col: str = "doc_id") -> DataFrame:
+                start: int = 0, size: int = 20, id_col: str = "doc_id",
+                stage_path: str | None = None) -> DataFrame:
     """Match over all string fields (joined by a space), one page of results."""
     if fields is None:
         fields = [f.name for f in docs.schema.fields
@@ -109,7 +118,7 @@ def match_paged(docs: DataFrame, query: str, fields: list[str] | None = None,
     if not query_terms(query):  # '*' is not special here: no term, no match
         return docs.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
     text = F.concat_ws(" ", *[F.col(c) for c in fields])
-    return top_k(bm25(docs, query, text, id_col), size, offset=start, id_col=id_col)
+    return top_k(bm25(docs, query, text, id_col, stage_path), size, offset=start, id_col=id_col)
 
 
 def match_all(docs: DataFrame, size: int = 10, id_col: str = "doc_id") -> DataFrame:

@@ -13,13 +13,14 @@ PAGED_QUERY = "the osbo en src3"
 
 def match_bm25(spark, sf_dir):
     docs = load(spark, sf_dir, "documents", spread=True)
-    return search.match(docs, BM25_QUERY, field="text", k=10)
+    return search.match(docs, BM25_QUERY, field="text", k=10,
+                        stage_path=work_path(spark, "bm25_counts"))
 
 
 def match_paged(spark, sf_dir):
     docs = load(spark, sf_dir, "documents", spread=True)
     return search.match_paged(docs, PAGED_QUERY, fields=["text", "lang", "source"],
-                              start=0, size=20)
+                              start=0, size=20, stage_path=work_path(spark, "bm25_counts"))
 
 
 def match_index(spark, sf_dir):
