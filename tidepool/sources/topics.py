@@ -6,6 +6,7 @@ A topic is a folder below a shared root::
     <root>/<topic>/data/partition=<p>/part-*.parquet
                                     rows (topic, partition, offset, key, value, timestamp)
     <root>/<topic>/_offsets/        ledger: (partition, next offset, batch) per batch
+    <root>/<topic>/_staging/        the batch being numbered (overwritten per batch)
 
 Producing assigns a message to partition ``pmod(xxhash64(key), n)`` (the
 value's hash when the key is NULL) and gives it the next offset of that
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
-
 # Topic defaults (name, partitions, replicas).
 DEFAULT_TOPIC = "test-topic"
 DEFAULT_PARTITIONS = 3
