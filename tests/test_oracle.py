@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tidepool.plans import registry
 from oracle import compare
 
-KEYS = sorted(E.queries())
+KEYS = sorted(registry.queries())
 
 
 def test_every_query_has_an_oracle_or_is_known_rows_only():

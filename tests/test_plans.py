@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from tidepool.plans import registry
 
 
 def plan(spark, key):
@@ -16,7 +17,7 @@ PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapI
             "PythonUDF")
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(registry.queries()))
 def test_no_python_udf_and_no_cartesian(spark, key):
     p = plan(spark, key)
     assert not any(n in p for n in PY_NODES), p[:2000]
