@@ -89,7 +89,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     found = shingles_of(docs.select("key", "text"), sizes).join(_small(prefix), "shingle")
     start = F.col("_at") - F.col("offset")
     return found.filter((start >= 0) & (start + F.size("gram") <= F.size("_w"))) \
-        .filter(F.slice("_w", start + 1, F.size("gram")) == F.col("gram")) \
+        .filter(F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.size("gram")) == F.col("gram")) \
         .select("key", start.alias("start"), F.size("gram").alias("length"), "items")
 
 
