@@ -192,7 +192,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_decontamination_matches_brute_force(spark):
+def test_decontamination_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     vocab = [f"v{i}" for i in range(30)]
     line = lambda n: " ".join(rng.choice(vocab, n))
@@ -206,6 +206,9 @@ def test_decontamination_matches_brute_force(spark):
     got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(df, bench).collect()]
     want = [(i, *brute_hits(t, items)) for i, t in docs]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)  # the way for large benchmarks
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(df, bench).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     none = decontaminate.decontaminate(df, bench.limit(0)).agg(F.sum("n_hit")).first()[0]
     assert none == 0 and decontaminate.decontaminate(df.limit(0), bench).collect() == []
 

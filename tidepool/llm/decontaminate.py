@@ -36,9 +36,9 @@ def _shingle(words_: Column, at: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(words_, at + i) for i in range(size)])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table of checked size, else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _fits(df: DataFrame) -> bool:
+    """Whether a table is small enough to be sent to every executor."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -50,16 +50,12 @@ def windows(items: DataFrame, size: int) -> DataFrame:
         .groupBy("gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
 
 
-def shingles_of(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """Every shingle occurrence of the documents with its place, words kept alongside."""
-    w = docs.withColumn("_w", words(F.col("text")))
-    parts = [w.select("*", F.posexplode("_w").alias("_at", "_first"))
-             .withColumn("shingle", F.xxhash64(F.lit(n), "_first", *[F.get("_w", F.col("_at") + i) for i in range(1, n)]))
-             for n in sizes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_first")
+def shingles_of(docs: DataFrame, size: int) -> DataFrame:
+    """Every shingle occurrence of the documents with its place, and the words
+    as ``_w``, for use in the same step only (a shuffle would copy them per row)."""
+    return docs.withColumn("_w", words(F.col("text"))).select("*", F.posexplode("_w").alias("_at", "_first")) \
+        .withColumn("shingle", F.xxhash64(F.lit(size), "_first", *[F.get("_w", F.col("_at") + i) for i in range(1, size)])) \
+        .drop("_first")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
@@ -70,27 +66,39 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     if not sizes:
         return docs.select("key", F.lit(0).alias("start"), F.lit(0).alias("length"),
                            F.array().cast("array<string>").alias("items")).limit(0)
-    places = None
-    for n in sizes:
-        part = grams.filter(F.col("size") == n).select(
-            "gram", "items", F.explode(F.sequence(F.lit(0), F.size("gram") - n)).alias("offset")) \
-            .withColumn("shingle", _shingle(F.col("gram"), F.col("offset"), n))
-        places = part if places is None else places.unionByName(part)
+    places = _union([grams.filter(F.col("size") == n).select(
+        "gram", "items", "size", F.explode(F.sequence(F.lit(0), F.size("gram") - n)).alias("offset"))
+        .withColumn("shingle", _shingle(F.col("gram"), F.col("offset"), n)) for n in sizes])
     # rarity over all documents, of the shingles that windows hold
     wanted = places.select("shingle").distinct()
-    counts = shingles_of(docs.select("text"), sizes).select("shingle") \
-        .join(_small(wanted), "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
-    # a window with a shingle that no document holds occurs nowhere: inner join,
-    # then only windows with all their shingles counted stay
-    ranked = places.join(counts, "shingle", "left").groupBy("gram", "items").agg(
+    wanted = F.broadcast(wanted) if _fits(wanted) else wanted
+    counts = _union([shingles_of(docs.select("text"), n).select("shingle") for n in sizes]) \
+        .join(wanted, "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
+    # a window with a shingle that no document holds occurs nowhere
+    prefix = places.join(counts, "shingle", "left").groupBy("gram", "items", "size").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("rarest")) \
-        .filter("rarest.n > 0")
-    prefix = ranked.select("gram", "items", "rarest.offset", "rarest.shingle")
-    found = shingles_of(docs.select("key", "text"), sizes).join(_small(prefix), "shingle")
-    start = F.col("_at") - F.col("offset")
-    return found.filter((start >= 0) & (start + F.size("gram") <= F.size("_w"))) \
-        .filter(F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.size("gram")) == F.col("gram")) \
-        .select("key", start.alias("start"), F.size("gram").alias("length"), "items")
+        .filter("rarest.n > 0").select("gram", "items", "size", "rarest.offset", "rarest.shingle")
+    small, found = _fits(prefix), []
+    start, size = F.col("_at") - F.col("offset"), F.size("gram")
+    for n in sizes:
+        own = prefix.filter(F.col("size") == n).drop("size")
+        rows = shingles_of(docs.select("key", "text"), n)
+        if small:  # the words are at hand where the broadcast join meets the shingle
+            rows = rows.join(F.broadcast(own), "shingle").filter((start >= 0) & (start + size <= F.size("_w")))
+        else:  # join places alone, then look the words up again
+            rows = rows.select("key", "_at", "shingle", F.size("_w").alias("_n")).join(own, "shingle") \
+                .filter((start >= 0) & (start + size <= F.col("_n"))) \
+                .join(docs.select("key", words(F.col("text")).alias("_w")).dropDuplicates(["key"]), "key")
+        found.append(rows.filter(F.slice("_w", F.greatest(start, F.lit(0)) + 1, size) == F.col("gram"))
+                     .select("key", start.alias("start"), size.alias("length"), "items"))
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
