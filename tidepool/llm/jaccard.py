@@ -15,9 +15,10 @@ The points are indexed as an R-tree in two parts.
   group's coordinates; a point lies in one cell per group. No link is lost.
 * Below: the points of a cell are packed into leaves with bounding boxes; pairs
   of boxes, then of points, whose summed coordinate minima are too small are
-  pruned.
+  pruned. A point has about a coordinate for four shingles; points of different
+  lengths, and the boxes, are compared after folding to the shorter length.
 
-Cells are visited twice. First each point is paired with its cell's first
+Only cells of several points count from there on. They are visited twice. First each point is paired with its cell's first
 point only; verified pairs give provisional components. Then cells that still
 hold several components give the pairs across them, through the tree. So
 groups of copies and near copies cost one pair per member, yet every link
@@ -43,7 +44,7 @@ from .common import in_parts
 from .components import components
 from .shingles import mix, shingle_sets
 
-BOUND_GROUPS = 64  # coordinates of the points below the top level
+BOUND_GROUPS = 64  # fewest coordinates of a point below the top level, and those of the boxes
 LEAF = 32          # points in a leaf
 CELL_ROWS = 2048   # points of a cell, or of two parts of one, in one walk, about
 RATIO = 5, 4       # sizes in a band: from n to below n * 5 / 4
@@ -87,7 +88,19 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(8)).astype(np.int64) % BOUND_GROUPS, minlength=BOUND_GROUPS)
+    """Counts per group; the number of groups is a power of two near a quarter of the set's size."""
+    groups = max(BOUND_GROUPS, 1 << max(0, len(hashes) // 4 - 1).bit_length())
+    return np.bincount((hashes >> np.uint64(8)).astype(np.int64) % groups, minlength=groups).astype(np.uint32)
+
+
+def fold(p: np.ndarray, groups: int) -> np.ndarray:
+    return p.reshape(-1, groups).sum(0)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The summed coordinate minima of two points."""
+    groups = min(len(x), len(y))
+    return int(np.minimum(fold(x, groups), fold(y, groups)).sum())
 
 
 def enough(shared, a, b, num: int, den: int):
@@ -164,50 +177,70 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
-                pa.array([blank.astype(np.int32) if r[3] is None else r[3].astype(np.int32) for r in rows], pa.list_(pa.int32()))],
+                pa.array([None if r[3] is None else r[3].astype(np.uint16).tobytes() for r in rows], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point array<int>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, owner) of a batch of (set_id, cells), sorted by cell, and where cells start."""
+    col = b.column(1)
+    cell = col.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()))
+    order = np.argsort(cell, kind="stable")
+    cell, owner = cell[order], owner[order]
+    return cell, owner, np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)]
+
 
+def _batch(cell: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(owner)], names=["cell", "owner"])
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, owner) rows of (set_id, cells). Within a batch a cell passes on its first
-    point alone; each other point makes a cell of its own with that first one."""
+
+def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first point of each cell of a batch: a cell of very many points sends one per batch."""
     for b in batches:
-        col = b.column(1)
-        cell = col.flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()))
-        if not len(cell):
-            continue
-        order = np.argsort(cell, kind="stable")
-        cell, owner = cell[order], owner[order]
-        start = np.concatenate([[True], cell[1:] != cell[:-1]])
-        first = owner[start][np.cumsum(start) - 1]
-        pairs = np.unique(np.stack([first, owner], 1)[first != owner], axis=0)
-        bits = pairs.view(np.uint64)
-        own = mix(bits[:, 0] + mix(bits[:, 1])).view(np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([cell[start], own, own])),
-            pa.array(np.concatenate([owner[start], pairs[:, 0], pairs[:, 1]]))], names=["cell", "owner"])
-
-
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): each point of a cell with the cell's first point. Rows come sorted by cell."""
-    held = None  # the cell that the last batch ended in, and its first point
+        cell, owner, start = _flat(b)
+        yield _batch(cell[start], owner[start])
+
+
+def _crowded_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of cells that hold several within a batch."""
+    for b in batches:
+        cell, owner, start = _flat(b)
+        several = ~(start & np.concatenate([start[1:], [True]])[:len(start)])
+        yield _batch(cell[several], owner[several])
+
+
+def _crowded_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of cells that hold several; rows come sorted by cell."""
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row, or the last cell's first two
     for b in batches:
-        cell, owner = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        cell, owner = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
         if not len(cell):
             continue
         start = np.concatenate([[True], cell[1:] != cell[:-1]])
-        first = owner[start][np.cumsum(start) - 1]
-        if held is not None and held[0] == cell[0]:
-            first[cell == cell[0]] = held[1]
-        held = (cell[-1], first[-1])
-        yield _pairs_batch(np.stack([first, owner], 1))
+        several = ~(start & np.concatenate([start[1:], [True]]))
+        yield _batch(cell[several], owner[several])
+        held = cell[-1:], owner[-1:]  # may come out twice; the rows are made distinct
+
+
+def _bounded(num: int, den: int):
+    """Keep the pairs (a, b, sizes, points) whose summed coordinate minima allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64) for v in (x, y))
+                good.append(enough(overlap_bound(x, y), int(x.sum()), int(y.sum()), num, den))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], names=["a", "b"])
+
+    return run
 
 
 def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs = np.unique(np.sort(pairs, axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -231,7 +264,7 @@ def _tree_pairs(num: int, den: int):
                 continue
             num_ = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             part = [np.stack(num_[:3], 1), num_[3], num_[4],
-                    b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, BOUND_GROUPS).astype(np.int64)]
+                    np.stack([fold(np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64), BOUND_GROUPS) for v in b.column(5)])]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
             # the last cell may go on in the next batch
@@ -246,17 +279,14 @@ def _tree_pairs(num: int, den: int):
 
 
 def _verify(num: int, den: int):
-    """Keep the pairs (a, b, shingles of a, of b) that reach the threshold: first by
-    the summed coordinate minima, then on the whole sets."""
+    """Keep the pairs (a, b, shingles of a, of b) that reach the threshold on the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                bound = int(np.minimum(point(x), point(y)).sum())
-                good.append(enough(bound, len(x), len(y), num, den) and
-                            enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den))
+                good.append(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], names=["a", "b"])
 
@@ -295,41 +325,46 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
 
     text_key = F.xxhash64("text")
     points = written(_describe(docs.select("doc_id", "text", text_key.alias("text_key")), k, num, den), "points")
-    spread = points.filter(F.size("cells") > 0).select("set_id", "cells").mapInArrow(_spread, "cell long, owner long")
-    first = spread.repartition("cell").sortWithinPartitions("cell", "owner").mapInArrow(_first_pairs, "a long, b long")
-    first = written(first.distinct(), "first")
+    listed = points.filter(F.size("cells") > 0).select("set_id", "cells")
+    across = listed.mapInArrow(_one_each, "cell long, owner long").repartition("cell").sortWithinPartitions("cell") \
+        .mapInArrow(_crowded_across, "cell long, owner long")
+    crowd = written(across.unionByName(listed.mapInArrow(_crowded_here, "cell long, owner long")).distinct(), "crowd")
+    shapes = written(points.filter(F.col("point").isNotNull()).select("set_id", "point").dropDuplicates(["set_id"]), "shapes")
+
+    def joined(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(of.select(F.col("set_id").alias(side), F.col(column).alias(f"of_{side}")), side)
+        return pairs.select("a", "b", "of_a", "of_b")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        likely = written(joined(pairs, shapes, "point").mapInArrow(_bounded(num, den), "a long, b long"), f"{name}-likely")
+        ids = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         # a text for each set: the one with the smallest hash
-        keys = written(points.join(ids, "set_id", "left_semi").groupBy("set_id")
+        keys = written(points.select("set_id", "text_key").join(ids, "set_id", "left_semi").groupBy("set_id")
                        .agg(F.min("text_key").alias("text_key")).select("text_key").distinct(), f"{name}-keys")
         texts = docs.select("text", text_key.alias("text_key")).join(keys, "text_key", "left_semi").select("text")
         sets = written(texts.mapInArrow(_sets(k), "set_id long, shingles binary").dropDuplicates(["set_id"]), f"{name}-sets")
-        both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("of_a")), "a") \
-            .join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-        return written(both.select("a", "b", "of_a", "of_b").mapInArrow(_verify(num, den), "a long, b long"), name)
+        return written(joined(likely, sets, "shingles").mapInArrow(_verify(num, den), "a long, b long"), name)
 
+    # first visit: each point of a cell with the cell's first point
+    heads = crowd.groupBy("cell").agg(F.min("owner").alias("a"))
+    first = written(crowd.join(heads, "cell").filter("owner > a").select("a", F.col("owner").alias("b")).distinct(), "first")
     links = verified(first, "links1")
-    part = components(links, f"{path}/components1")
-    # cells that still hold several components; only sets with a partner in some cell can
-    ids = first.select(F.explode(F.array("a", "b")).alias("set_id")).distinct() \
-        .join(part.withColumnRenamed("node", "set_id"), "set_id", "left") \
-        .select("set_id", F.coalesce("component", "set_id").alias("component"))
-    active = points.filter(F.size("cells") > 0).dropDuplicates(["set_id"])
-    inside = written(active.select("set_id", F.explode("cells").alias("cell")).join(ids, "set_id"), "inside")
+    part = components(links, f"{path}/components1").withColumnRenamed("node", "owner")
+    # second visit: cells of three or more points that still hold several components
+    inside = written(crowd.join(part, "owner", "left").withColumn("component", F.coalesce("component", "owner")), "inside")
     open_cells = inside.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
-        .filter("low < high").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
+        .filter("n > 2 AND low < high").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
     # a cell of many points is dealt out as pairs of its parts
     dealt = inside.join(open_cells, "cell") \
-        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")) \
+        .withColumn("own", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "component") \
-        .join(active.select("set_id", "point"), "set_id").select("cell", "i", "j", "set_id", "component", "point")
-    across = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j") \
+        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("owner").alias("set_id"), "component") \
+        .join(shapes, "set_id").select("cell", "i", "j", "set_id", "component", "point")
+    more = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j") \
         .mapInArrow(_tree_pairs(num, den), "a long, b long")
-    across = written(across.distinct().join(first, ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(verified(across, "links2"))
+    more = written(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
+    links = links.unionByName(verified(more, "links2"))
     part = components(links, f"{path}/components2")
 
     # the smallest id of a set, then of a component
