@@ -246,25 +246,32 @@ def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def _tree_pairs(num: int, den: int):
-    """Pairs across components in each cell; rows (cell, i, j, set_id, component, point) come sorted by cell, i, j."""
+    """Pairs across components in each cell; rows (cell, i, j, set_id, component,
+    point, cells of the set) come sorted by cell, i, j. A pair that meets in several
+    cells is given by the first of them only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def solve(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, ids, comp, pts = part
+            key, ids, comp, pts, cells_ = part
             cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for at in np.split(np.arange(len(ids)), cut):
                 if len(at) > 1 and (comp[at] != comp[at[0]]).any():
+                    cell = key[at[0], 0]
+                    earlier = [frozenset(cells_[r][cells_[r] < cell].tolist()) for r in at]
                     for pairs in tree_pairs(pts[at], comp[at], num, den):
-                        yield _pairs_batch(ids[at][pairs])
+                        first = [earlier[x].isdisjoint(earlier[y]) for x, y in pairs.tolist()]
+                        yield _pairs_batch(ids[at][pairs[first]])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            num_ = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            part = [np.stack(num_[:3], 1), num_[3], num_[4],
-                    np.stack([fold(np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64), BOUND_GROUPS) for v in b.column(5)])]
+            plain = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            lists = np.empty(b.num_rows, object)
+            lists[:] = [v.values.to_numpy(zero_copy_only=False) for v in b.column(6)]
+            part = [np.stack(plain[:3], 1), plain[3], plain[4],
+                    np.stack([fold(np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64), BOUND_GROUPS) for v in b.column(5)]), lists]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
             # the last cell may go on in the next batch
@@ -355,12 +362,15 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     inside = written(crowd.join(part, "owner", "left").withColumn("component", F.coalesce("component", "owner")), "inside")
     open_cells = inside.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
         .filter("n > 2 AND low < high").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
+    opened = written(inside.join(open_cells, "cell"), "opened")
+    # what a set brings to its cells: its point, and the list of these cells (as many as it has groups at most)
+    brought = opened.groupBy("owner").agg(F.collect_set("cell").alias("cells")) \
+        .join(shapes.withColumnRenamed("set_id", "owner"), "owner")
     # a cell of many points is dealt out as pairs of its parts
-    dealt = inside.join(open_cells, "cell") \
-        .withColumn("own", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")) \
+    dealt = opened.withColumn("own", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("owner").alias("set_id"), "component") \
-        .join(shapes, "set_id").select("cell", "i", "j", "set_id", "component", "point")
+        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "owner", "component") \
+        .join(brought, "owner").select("cell", "i", "j", F.col("owner").alias("set_id"), "component", "point", "cells")
     more = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j") \
         .mapInArrow(_tree_pairs(num, den), "a long, b long")
     more = written(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
