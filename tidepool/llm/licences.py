@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import without
 
+BROADCAST_ROWS = 50_000
+
 # Licence sentences, normalised, with their identifiers.
 SENTENCES = [
     ("apache2-under", "licensed under the apache license version 2 0"),
@@ -83,6 +85,9 @@ def scan(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]] =
     key = F.sha2(F.col("text"), 256)
     said = docs.filter(F.col("text").isNotNull()).select(
         key.alias("key"), F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
+    # the known sentences are a parameter; they are broadcast up to a checked size
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     said = said.withColumn("sentence", F.trim("sentence")).join(known, "sentence")
     per = said.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "id"))).alias("hits")) \
         .select("key", F.col("hits.id").alias("sentence_ids"))
