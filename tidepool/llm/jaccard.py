@@ -45,6 +45,7 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 BOUND_GROUPS = 64  # fewest coordinates of a point below the top level, and those of the boxes
+MOST_GROUPS = 1024 # most coordinates in a walk
 LEAF = 32          # points in a leaf
 CELL_ROWS = 2048   # points of a cell, or of two parts of one, in one walk, about
 RATIO = 5, 4       # sizes in a band: from n to below n * 5 / 4
@@ -247,7 +248,7 @@ def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 def _tree_pairs(num: int, den: int):
     """Pairs across components in each cell; rows (cell, i, j, set_id, component,
-    point, cells of the set) come sorted by cell, i, j. A pair that meets in several
+    point, the set's smaller cells) come sorted by cell, i, j. A pair that meets in several
     cells is given by the first of them only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +259,10 @@ def _tree_pairs(num: int, den: int):
             cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for at in np.split(np.arange(len(ids)), cut):
                 if len(at) > 1 and (comp[at] != comp[at[0]]).any():
-                    cell = key[at[0], 0]
-                    earlier = [frozenset(cells_[r][cells_[r] < cell].tolist()) for r in at]
-                    for pairs in tree_pairs(pts[at], comp[at], num, den):
+                    earlier = [frozenset(cells_[r].tolist()) for r in at]
+                    groups = min(min(len(pts[r]) for r in at), MOST_GROUPS)
+                    points = np.stack([fold(pts[r].astype(np.int64), groups) for r in at])
+                    for pairs in tree_pairs(points, comp[at], num, den):
                         first = [earlier[x].isdisjoint(earlier[y]) for x, y in pairs.tolist()]
                         yield _pairs_batch(ids[at][pairs[first]])
 
@@ -271,7 +273,8 @@ def _tree_pairs(num: int, den: int):
             lists = np.empty(b.num_rows, object)
             lists[:] = [v.values.to_numpy(zero_copy_only=False) for v in b.column(6)]
             part = [np.stack(plain[:3], 1), plain[3], plain[4],
-                    np.stack([fold(np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64), BOUND_GROUPS) for v in b.column(5)]), lists]
+                    np.empty(b.num_rows, object), lists]
+            part[3][:] = [np.frombuffer(v.as_buffer(), np.uint16) for v in b.column(5)]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
             # the last cell may go on in the next batch
@@ -343,8 +346,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
             pairs = pairs.join(of.select(F.col("set_id").alias(side), F.col(column).alias(f"of_{side}")), side)
         return pairs.select("a", "b", "of_a", "of_b")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        likely = written(joined(pairs, shapes, "point").mapInArrow(_bounded(num, den), "a long, b long"), f"{name}-likely")
+    def verified(likely: DataFrame, name: str) -> DataFrame:
         ids = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         # a text for each set: the one with the smallest hash
         keys = written(points.select("set_id", "text_key").join(ids, "set_id", "left_semi").groupBy("set_id")
@@ -356,7 +358,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     # first visit: each point of a cell with the cell's first point
     heads = crowd.groupBy("cell").agg(F.min("owner").alias("a"))
     first = written(crowd.join(heads, "cell").filter("owner > a").select("a", F.col("owner").alias("b")).distinct(), "first")
-    links = verified(first, "links1")
+    likely = joined(first, shapes, "point").mapInArrow(_bounded(num, den), "a long, b long")
+    links = verified(written(likely, "likely"), "links1")
     part = components(links, f"{path}/components1").withColumnRenamed("node", "owner")
     # second visit: cells of three or more points that still hold several components
     inside = written(crowd.join(part, "owner", "left").withColumn("component", F.coalesce("component", "owner")), "inside")
@@ -370,7 +373,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     dealt = opened.withColumn("own", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
         .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "owner", "component") \
-        .join(brought, "owner").select("cell", "i", "j", F.col("owner").alias("set_id"), "component", "point", "cells")
+        .join(brought, "owner").select("cell", "i", "j", F.col("owner").alias("set_id"), "component", "point",
+                                        F.filter("cells", lambda c: c < F.col("cell")).alias("cells"))
     more = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j") \
         .mapInArrow(_tree_pairs(num, den), "a long, b long")
     more = written(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
