@@ -101,7 +101,7 @@ def main():
     a = ap.parse_args()
     from tidepool.session import build_session
     import __spark_entry__ as E
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=8)
     con = duck_connect(a.sf)
     keys = a.keys or sorted(E.queries())
     bad = 0

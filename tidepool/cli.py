@@ -6,7 +6,7 @@ Commands mirror the usual service commands: ``sql``, ``list-db``,
 ``list-tables``, ``create-db``, ``import``, ``export``, ``backup``,
 ``restore``, ``expired``, ``search``, ``index``, ``topic``, ``produce``,
 ``consume``, ``tail``, ``stats``, ``pi``. Each builds its plan from the
-operators in this package; printing shows at most ``--rows`` rows, the
+operators in this package; printing shows all rows, or at most ``--rows``, the
 only data that reaches the driver.
 
 ``--root`` is where topics, snapshots and databases live; it defaults to
@@ -29,6 +29,7 @@ from .sources.tables import TABLES, register_views
 
 
 def _show(df: DataFrame, rows: int) -> None:
+    rows = rows or df.count()  # 0: all
     df.show(rows, truncate=False)
 
 
@@ -37,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
     ap.add_argument("--master", default=None)
     ap.add_argument("--root", default=None, help="shared folder (default spark.checkpoint.dir)")
     ap.add_argument("--tables", default=None, help="folder of <table>.parquet to expose as views")
-    ap.add_argument("--rows", type=int, default=20)
+    ap.add_argument("--rows", type=int, default=0)
     sub = ap.add_subparsers(dest="cmd", required=True)
 
     p = sub.add_parser("sql"); p.add_argument("query"); p.add_argument("db", nargs="?")
@@ -45,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("list-tables"); p.add_argument("db", nargs="?", default="default")
     p = sub.add_parser("create-db"); p.add_argument("name"); p.add_argument("owner", nargs="?")
     p = sub.add_parser("import"); p.add_argument("path"); p.add_argument("db"); p.add_argument("coll")
+    p.add_argument("--array", action="store_true")
     p = sub.add_parser("export"); p.add_argument("db"); p.add_argument("coll")
     p.add_argument("path", nargs="?"); p.add_argument("--array", action="store_true")
     p = sub.add_parser("backup"); p.add_argument("db", nargs="?", default="default")
@@ -87,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "create-db":
         catalog.create_db(spark, a.name, owner=a.owner, location=f"{root}/db/{a.name}")
     elif a.cmd == "import":
-        _show(docquery.count_docs(jsonio.import_json(spark, a.path, f"{a.db}.{a.coll}")), n)
+        _show(docquery.count_docs(jsonio.import_json(spark, a.path, f"{a.db}.{a.coll}", array=a.array)), n)
     elif a.cmd == "export":
         out = a.path or f"{root}/export/{jsonio.default_export_name(a.coll)}"
         jsonio.export_json(spark.table(f"{a.db}.{a.coll}"), out, array=a.array)

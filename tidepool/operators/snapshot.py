@@ -83,12 +83,15 @@ def restore(spark: SparkSession, root: str, snapshot_id: str, target_db: str,
     # the table list of one snapshot: metadata, one row per table
     names = [r["table"] for r in m.select("table").collect()]
     if tables is not None:
+        absent = sorted(set(tables) - set(names))
+        if absent:
+            raise ValueError(f"snapshot {snapshot_id!r} has no tables {absent}")
         names = [t for t in names if t in set(tables)]
     if not names:
         raise ValueError(f"snapshot {snapshot_id!r} has no such tables")
-    out = {}
-    for name in names:
-        data = spark.read.parquet(f"{root}/{snapshot_id}/{name}")
+    out, read = {}, {}
+    for name in names:  # all are verified before any is written
+        data = read[name] = spark.read.parquet(f"{root}/{snapshot_id}/{name}")
         if verify:
             found = (data.agg(F.count(F.lit(1)).alias("rows"), checksum(data).alias("checksum"))
                      .select(F.lit(name).alias("table"), "rows", "checksum"))
@@ -96,6 +99,7 @@ def restore(spark: SparkSession, root: str, snapshot_id: str, target_db: str,
                   .count())
             if ok != 1:
                 raise ValueError(f"snapshot {snapshot_id}/{name} does not match its manifest")
+    for name, data in read.items():
         data.write.mode(mode).format("parquet").saveAsTable(f"{target_db}.{name}")
         out[name] = spark.table(f"{target_db}.{name}")
     return out

@@ -242,19 +242,19 @@ LOG_FIELDS = (("ts", 1), ("pid", 2), ("line", 3), ("user", 4), ("db", 5), ("app"
 
 
 def parse_server_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(parsed, rejects). One regex per line, all fields from the same match.
+    """(parsed, rejects). The fields are the groups of one pattern.
 
     Parsed columns: ts (wall-clock time as written, timestamp_ntz), pid int, line bigint, user, db, app,
     client, message (empty text -> NULL for user/db/app/client). Lines that
-    do not match go, unchanged, to ``rejects``.
+    do not match, or hold an impossible date or number, go, unchanged, to ``rejects``.
     """
     v = F.col(col)
     g = {name: F.regexp_extract(v, LOG_LINE_RE, i) for name, i in LOG_FIELDS}
-    ok = g["ts"] != F.lit("")  # group 1 is never empty in a matching line
+    ts, pid, line = g["ts"].try_cast("timestamp_ntz"), g["pid"].try_cast("int"), g["line"].try_cast("bigint")
+    # no match, no such date, or a number out of range: the line is a reject
+    ok = ts.isNotNull() & pid.isNotNull() & line.isNotNull()
     parsed = lines.filter(ok).select(
-        F.to_timestamp_ntz(g["ts"], F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        g["pid"].cast("int").alias("pid"),
-        g["line"].cast("bigint").alias("line"),
+        ts.alias("ts"), pid.alias("pid"), line.alias("line"),
         *[F.nullif(g[n], F.lit("")).alias(n) for n in ("user", "db", "app", "client")],
         g["message"].alias("message"))
     rejects = lines.filter(~F.coalesce(ok, F.lit(False)))

@@ -13,7 +13,7 @@ from ..operators import docquery as Q
 from ..sources.tables import load
 
 # Parameters of the registered queries.
-BALANCE = 9000.0
+QUANTITY = 25.0  # occurs in the data, so >= and > differ
 LOOKUP_NAME = "Customer#000000007"
 
 
@@ -22,13 +22,13 @@ def find_all(spark, sf_dir):
 
 
 def find_gte(spark, sf_dir):
-    return Q.find_gte(load(spark, sf_dir, "customer"), "c_acctbal", BALANCE) \
-        .select("c_custkey", "c_name", "c_acctbal")
+    return Q.find_gte(load(spark, sf_dir, "lineitem"), "l_quantity", QUANTITY) \
+        .select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 def find_gt(spark, sf_dir):
-    return Q.find_gt(load(spark, sf_dir, "customer"), "c_acctbal", BALANCE) \
-        .select("c_custkey", "c_name", "c_acctbal")
+    return Q.find_gt(load(spark, sf_dir, "lineitem"), "l_quantity", QUANTITY) \
+        .select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 def find_one(spark, sf_dir):
@@ -70,10 +70,10 @@ QUERIES = {
 
 ORACLE = {
     "find_all": "SELECT * FROM customer",
-    "find_gte": f"SELECT c_custkey, c_name, c_acctbal FROM customer "
-                f"WHERE TRY_CAST(c_acctbal AS DOUBLE) >= {BALANCE}",
-    "find_gt": f"SELECT c_custkey, c_name, c_acctbal FROM customer "
-               f"WHERE TRY_CAST(c_acctbal AS DOUBLE) > {BALANCE}",
+    "find_gte": f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem "
+                f"WHERE TRY_CAST(l_quantity AS DOUBLE) >= {QUANTITY}",
+    "find_gt": f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem "
+               f"WHERE TRY_CAST(l_quantity AS DOUBLE) > {QUANTITY}",
     "find_one": f"SELECT * FROM customer WHERE c_name = '{LOOKUP_NAME}' "
                 f"ORDER BY c_custkey LIMIT 1",
     "count_docs": "SELECT count(*) AS n_all, count(*) FILTER (WHERE event_type = 'purchase') "

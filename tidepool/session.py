@@ -8,7 +8,6 @@ a fresh temporary folder of its own.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,13 +30,14 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tidepool", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:  # else the cluster's own setting holds
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -87,13 +87,3 @@ def work_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     if unique:
         segs.append(uuid.uuid4().hex[:12])
     return "/".join(s.strip("/") if i else s.rstrip("/") for i, s in enumerate(segs))
-
-
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python code can inspect local test output."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-

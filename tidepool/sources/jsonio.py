@@ -65,10 +65,19 @@ def export_json(df: DataFrame, path: str, array: bool = False, mode: str = "erro
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
-              array: bool = False) -> DataFrame:
-    """Read JSON Lines or, with ``array``, files that each hold one array."""
-    r = spark.read.options(**_JSON_OPTS)
+              array: bool = False, mode: str = "FAILFAST") -> DataFrame:
+    """Read JSON Lines or, with ``array``, files that each hold one array.
+
+    A malformed or mistyped document fails the read unless ``mode`` says
+    otherwise. With ``array`` every file is one task, and a file that is not
+    one array is an error (of a file of lines only the first would be read).
+    """
+    r = spark.read.options(**_JSON_OPTS).option("mode", mode)
     if array:
+        whole = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
+        other = whole.filter(~F.col("value").rlike(r"\A\s*\[")).limit(1).count()
+        if other:
+            raise ValueError(f"{path}: a file does not hold a JSON array; import it as JSON Lines")
         r = r.option("multiLine", True)
     if schema is not None:
         r = r.schema(schema)
@@ -76,7 +85,7 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: StructType
 
 
 def import_json(spark: SparkSession, path: str, table: str, schema=None,
-                array: bool = True, mode: str = "append") -> DataFrame:
+                array: bool = False, mode: str = "append") -> DataFrame:
     """``import <file.json> <db> <coll>``: append the file(s) to ``db.coll``.
 
     Returns the target table. The collection is created on first write, as
@@ -89,14 +98,6 @@ def import_json(spark: SparkSession, path: str, table: str, schema=None,
 
 # --- S10: insert documents with a changing shape -------------------------------
 
-def union_docs(frames: Sequence[DataFrame]) -> DataFrame:
-    """Documents of different shapes as one frame: missing fields are NULL."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
-
-
 def insert_docs(docs: DataFrame, path: str) -> None:
     """``insertMany``: append documents to a collection folder.
 
@@ -117,12 +118,15 @@ def index_docs(docs: DataFrame, json_col: str, path: str, id_col: str | None = N
 
     ``_id`` is the given id column or, when none, the 64-bit hash of the JSON
     text (the same document gets the same id). Fields of any shape stay in
-    the ``VARIANT`` column; typed views come from ``variant_get``.
+    the ``VARIANT`` column; typed views come from ``variant_get``. Text that
+    is not JSON goes to ``<path>/_rejects``, which reads of the index skip.
     """
     raw = F.col(json_col)
     _id = F.col(id_col).cast("string") if id_col else F.xxhash64(raw).cast("string")
-    (docs.select(_id.alias("_id"), F.parse_json(raw).alias("doc"), raw.alias("raw"))
-     .write.mode("append").parquet(path))
+    parsed = docs.select(_id.alias("_id"), F.try_parse_json(raw).alias("doc"), raw.alias("raw"))
+    bad = F.col("doc").isNull() & F.col("raw").isNotNull()
+    parsed.filter(~bad).write.mode("append").parquet(path)
+    parsed.filter(bad).select("_id", "raw").write.mode("append").parquet(f"{path}/_rejects")
 
 
 # The document indexed when none is given.
