@@ -124,7 +124,7 @@ def test_kernel_tolerates_gaps_and_inserted_characters():
     assert toxicity.plain('"n-u-m-b.5kull!"') == "numbskull" and "numbskull" in toxicity.words_of("you n u m b s k u l l there")
 
 
-def test_svm_margin_equals_the_kernel_expansion():
+def test_training_learns_the_word_that_sets_toxic_texts_apart():
     s = toxicity.Settings(rounds=1, epochs=2)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -186,6 +186,12 @@ def test_no_card_number_or_address_is_left(spark):
     after = " ".join(r["text"] for r in queries.op2_pseudonyms(spark, SF).collect())
     for pattern in (r"(?<![\w-])\d{16}(?!\w)", r"\(\d{3}\) 555-\d{4}", r"\w+\.\d\d@mail", r"AKIA\w{16}", r"password=(\w{18})", r"(?<![\w.])\d+\.\d+\.\d+\.\d+(?!\w)"):
         old, new = set(re.findall(pattern, before)), set(re.findall(pattern, after))
+        if "{16}(?!" in pattern:  # numbers without a right check digit are no cards, and stay
+            other = {n for n in old if pseudonyms.luhn_digit(n[:-1]) != n[-1]}
+            assert other and other <= new
+            old -= other
+        if r"\d+\.\d+\.\d+" in pattern:
+            old = {n for n in old if all(int(x) < 256 for x in n.split("."))}
         assert old and not old & new, (pattern, list(old & new)[:3])
 
 

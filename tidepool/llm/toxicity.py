@@ -202,12 +202,12 @@ def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, s: Settings, rng)
 
 
 def distinct(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
-    """One text of each group of copies in the sample (texts with the same
+    """One text of each label's groups of copies in the sample (texts with the same
     smallest hash of five words), else a copied text's chance words look toxic."""
     first = {}
     for t, y in zip(texts, labels):
         w = t.split()
-        first.setdefault(min(crc32(" ".join(w[i:i + 5]).encode("utf-8", "replace")) for i in range(max(1, len(w) - 4))), (t, y))
+        first.setdefault((y, min(crc32(" ".join(w[i:i + 5]).encode("utf-8", "replace")) for i in range(max(1, len(w) - 4)))), (t, y))
     return [t for t, _ in first.values()], [y for _, y in first.values()]
 
 
