@@ -1,9 +1,8 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation.
 
 Values are found by their format, checked (card numbers by their check digit,
-bank accounts by their remainder, phone numbers by their area and exchange,
-addresses by their range, dates by the calendar), turned into a whole number
-below the format's count of values, permuted by a Feistel network keyed with a
+bank accounts by their remainder, addresses by their range, dates by the
+calendar; phone numbers have no check), turned into a whole number below the format's count of values, permuted by a Feistel network keyed with a
 secret, and written back in the same format and punctuation. The permutation is
 one to one and depends on the value alone, so equal values stay equal in all
 documents and different ones stay different. Check digits of the result hold.
@@ -34,7 +33,7 @@ CACHE_ENTRIES = 100_000
 # is found first; the formats are then tried inside it.
 _RUN = re.compile(r"\d[\d .\-/()]*")
 _NUMBER = re.compile(r"""
-    (?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ ]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-]))
+    (?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
   | (?P<iso>(?<![\w-])\d{4}-\d\d-\d\d(?![\w-]))
   | (?P<dmy>(?<![\w./])\d{1,2}([./])\d{1,2}\5\d{4}(?![\w/]))
@@ -147,12 +146,17 @@ class Pseudonymiser:
         return _refill(text, new + luhn_digit(new))
 
     def _phone(self, text: str) -> str:
+        """Numbers of the numbering plan (area and exchange from 200) stay in it, others outside it."""
         digits = "".join(c for c in text if c.isdigit())
-        ten, n = digits[-10:], 8 * 100 * 8 * 100 * 10 ** 4
-        x = ((int(ten[:3]) - 200) * 800 + int(ten[3:6]) - 200) * 10 ** 4 + int(ten[6:])
-        x, line = divmod(self.turn(x, n, "phone"), 10 ** 4)
-        area, exchange = divmod(x, 800)
-        return _refill(text, f"{digits[:-10]}{area + 200}{exchange + 200}{line:04d}")
+        planned, ten = self._planned(digits[-10:]), digits[-10:]
+        while True:
+            ten = self._digits(ten, "phone")
+            if self._planned(ten) == planned:
+                return _refill(text, digits[:-10] + ten)
+
+    @staticmethod
+    def _planned(ten: str) -> bool:
+        return ten[0] >= "2" and ten[3] >= "2"
 
     def _ssn(self, text: str) -> str | None:
         a, b, c = map(int, text.split("-"))
