@@ -15,7 +15,7 @@ The points are indexed as an R-tree in two parts.
   group's coordinates; a point lies in one cell per group. No link is lost.
 * Below: the points of a cell are packed into leaves with bounding boxes; pairs
   of boxes, then of points, whose summed coordinate minima are too small are
-  pruned. A point has about a coordinate for four shingles; points of different
+  pruned. A point has a coordinate or two for each shingle; points of different
   lengths, and the boxes, are compared after folding to the shorter length.
 
 Only cells of several points count from there on. They are visited twice. First each point is paired with its cell's first
@@ -89,13 +89,18 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    """Counts per group; the number of groups is a power of two near a quarter of the set's size."""
-    groups = max(BOUND_GROUPS, 1 << max(0, len(hashes) // 4 - 1).bit_length())
-    return np.bincount((hashes >> np.uint64(8)).astype(np.int64) % groups, minlength=groups).astype(np.uint32)
+    """Counts per group, a byte each; the number of groups is the first power of two from the
+    set's size up, doubled for as long as a count needs more than a byte."""
+    groups = max(BOUND_GROUPS, 1 << max(0, len(hashes) - 1).bit_length())
+    while True:
+        counts = np.bincount(((hashes >> np.uint64(8)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
-    return p.reshape(-1, groups).sum(0)
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.int64)
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
@@ -178,7 +183,7 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
-                pa.array([None if r[3] is None else r[3].astype(np.uint16).tobytes() for r in rows], pa.binary())],
+                pa.array([None if r[3] is None else r[3].tobytes() for r in rows], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point"])
 
     return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
@@ -233,7 +238,7 @@ def _bounded(num: int, den: int):
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64) for v in (x, y))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (x, y))
                 good.append(enough(overlap_bound(x, y), int(x.sum()), int(y.sum()), num, den))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], names=["a", "b"])
@@ -261,7 +266,7 @@ def _tree_pairs(num: int, den: int):
                 if len(at) > 1 and (comp[at] != comp[at[0]]).any():
                     earlier = [frozenset(cells_[r].tolist()) for r in at]
                     groups = min(min(len(pts[r]) for r in at), MOST_GROUPS)
-                    points = np.stack([fold(pts[r].astype(np.int64), groups) for r in at])
+                    points = np.stack([fold(pts[r].astype(np.int32), groups) for r in at]).astype(np.int32)
                     for pairs in tree_pairs(points, comp[at], num, den):
                         first = [earlier[x].isdisjoint(earlier[y]) for x, y in pairs.tolist()]
                         yield _pairs_batch(ids[at][pairs[first]])
@@ -274,7 +279,7 @@ def _tree_pairs(num: int, den: int):
             lists[:] = [v.values.to_numpy(zero_copy_only=False) for v in b.column(6)]
             part = [np.stack(plain[:3], 1), plain[3], plain[4],
                     np.empty(b.num_rows, object), lists]
-            part[3][:] = [np.frombuffer(v.as_buffer(), np.uint16) for v in b.column(5)]
+            part[3][:] = [np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(5)]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
             # the last cell may go on in the next batch
