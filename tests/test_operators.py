@@ -172,6 +172,40 @@ def test_diff_is_multiset(spark):
     assert rows(B.diff(a, b)) == [(1, "left_only"), (3, "right_only")]
 
 
+def test_diff_repeats_nulls_and_clashing_names(spark):
+    a = spark.createDataFrame([(None, 1)] * 3 + [(5, None)], "n int, runs int")
+    b = spark.createDataFrame([(None, 1), (7, 7), (7, 7)], "n int, runs int")
+    got = B.diff(a, b)
+    assert got.columns == ["n", "runs", "side"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (None, 1, "left_only"), (None, 1, "left_only"), (5, None, "left_only"),
+        (7, 7, "right_only"), (7, 7, "right_only")]))
+
+
+def test_diff_row_repeated_past_one_run(spark):
+    a = spark.range(B._RUN + 3).select(F.lit("x").alias("v"))
+    b = spark.createDataFrame([("x",)], "v string")
+    assert B.diff(a, b).count() == B._RUN + 2
+    assert B.diff(a, a).count() == 0
+
+
+def test_lookup_layout_splits_a_hot_key(spark):
+    path = work_path(spark, "hot")
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    C.write_lookup_layout(df, path, "k", then=["id"], files=8)
+    per_file = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).count()
+    assert per_file.agg(F.max("count")).first()[0] < 6_000
+    assert C.lookup(spark.read.parquet(path), "k", [7]).count() == df.filter("k = 7").count()
+
+
+def test_server_log_keeps_the_zone(spark):
+    rest = " [42]: [1-1] user=u,db=d,app=a,client=h LOG:  x"
+    lines = spark.createDataFrame([(f"2024-01-02 03:04:05 {z}{rest}",) for z in ("UTC", "+03", "-05:30", "+3", "?")], "value string")
+    parsed, rejects = T.parse_server_log(lines)
+    assert sorted(r["zone"] for r in parsed.collect()) == ["+03", "-05:30", "UTC"]
+    assert rejects.count() == 2
+
+
 def test_retention_whole_days(spark):
     now = dt.datetime(2024, 1, 10, 0, 0, 0)
     days = [7.99, 8.0, 8.01]

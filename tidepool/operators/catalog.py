@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def table_stats(df: DataFrame, name: str | None = None) -> DataFrame:
     has_meta = True
     try:
         df.select("_metadata.file_path")
-    except Exception:  # not a file scan
+    except AnalysisException:  # not a file scan
         has_meta = False
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in cols]
@@ -120,20 +121,23 @@ def table_stats(df: DataFrame, name: str | None = None) -> DataFrame:
 
 # --- C06: layout for fast equality lookups ------------------------------------
 
-def write_lookup_layout(df: DataFrame, path: str, key: str, files: int,
-                        bloom_filter: bool = True) -> None:
+def write_lookup_layout(df: DataFrame, path: str, key: str, then: Sequence[str] = (),
+                        files: int | None = None, bloom_filter: bool = True) -> None:
     """Range-partition and sort by ``key`` so each file holds one key range.
 
     Parquet row-group min/max statistics then let an equality filter on
     ``key`` skip every file and row group that cannot hold the value: the
     file-store equivalent of a secondary index. ``repartitionByRange``
-    samples the key to pick boundaries, so a hot key is split by its
-    sort position rather than sent whole to one task. With ``bloom_filter``
+    samples the key to pick boundaries. Equal keys share a file unless ``then``
+    names further columns: name enough of them to tell a hot key's rows apart
+    and its rows are split over several files. Without ``files`` the number of
+    files follows the data (the session's shuffle partitions, coalesced). With ``bloom_filter``
     each row group also carries a Parquet bloom filter on ``key``, so a
     lookup skips row groups whose range holds the value but whose keys do not.
     """
-    w = (df.repartitionByRange(files, F.col(key))
-         .sortWithinPartitions(key)
+    by = [F.col(c) for c in (key, *then)]
+    dealt = df.repartitionByRange(*by) if files is None else df.repartitionByRange(files, *by)
+    w = (dealt.sortWithinPartitions(*by)
          .write.mode("overwrite"))
     if bloom_filter:
         w = w.option(f"parquet.bloom.filter.enabled#{key}", "true")
@@ -159,8 +163,9 @@ def lookup_join(df: DataFrame, keys: DataFrame, key: str, keys_col: str | None =
     """Rows of ``df`` whose ``key`` is among the keys of another frame.
 
     A left-semi join: AQE broadcasts the key side when its runtime size is
-    small and falls back to a shuffled join when it is not; with dynamic
-    partition pruning and sorted files only matching ranges are read.
+    small and falls back to a shuffled join when it is not. Every file of
+    ``df`` is read: keys from another frame are not pushed into the scan; for a
+    few known values use ``lookup``, which is.
     """
     kc = keys_col or key
     return df.join(keys.select(F.col(kc).alias(key)).distinct(), key, "left_semi")

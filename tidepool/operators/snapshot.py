@@ -122,14 +122,28 @@ def expired(manifest_df: DataFrame, now: Column | None = None, days: int = RETEN
             .filter(F.col("age_days") > F.lit(days)))
 
 
+_RUN = 65_536  # longest list of repeats of one row in ``diff``
+
+
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in one side and not the other, as multisets, with a ``side`` column.
 
-    Empty result = equal tables. Both ``exceptAll`` shuffle on the whole row;
-    compare ``checksum`` first when only a yes/no is needed.
+    Empty result = equal tables. One shuffle on the whole row: both sides are
+    counted together, plus one and minus one, and the sign gives the side. A row
+    that is over several times is given as often, from lists of bounded length.
+    Compare ``checksum`` first when only a yes/no is needed.
     """
-    return (a.exceptAll(b).withColumn("side", F.lit("left_only"))
-            .unionByName(b.exceptAll(a).withColumn("side", F.lit("right_only"))))
+    cols = a.columns
+    n, runs = (next(c for c in (p + "_" * i for i in range(len(cols) + 1)) if c not in cols) for p in ("n", "runs"))
+    keys = [F.col(f"`{c}`") for c in cols]
+    both = a.select(*keys, F.lit(1).cast("bigint").alias(n)) \
+        .union(b.toDF(*cols).select(*keys, F.lit(-1).cast("bigint").alias(n)))
+    over = both.groupBy(*keys).agg(F.sum(n).alias(n)).filter(F.col(n) != 0)
+    times, run = F.abs(n), F.lit(_RUN).cast("bigint")
+    starts = over.withColumn(runs, F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1, run)))
+    each = F.array_repeat(F.lit(True), F.least(run, times - F.col(runs)).cast("int"))
+    return starts.withColumn(runs, F.explode(each)).select(
+        *keys, F.when(F.col(n) > 0, "left_only").otherwise("right_only").alias("side"))
 
 
 def same_checksum(a: DataFrame, b: DataFrame) -> DataFrame:

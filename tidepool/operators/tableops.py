@@ -235,16 +235,17 @@ def json_pretty(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 # The server's log line prefix
 #   '%t [%p]: [%l-1] user=%u,db=%d,app=%a,client=%h '
 # followed by the message. %t is 'yyyy-MM-dd HH:mm:ss <zone>'.
-LOG_LINE_RE = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) [A-Za-z]+ \[(\d+)\]: \[(\d+)-1\] "
+LOG_LINE_RE = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) ([A-Za-z]+|[+-]\d{2}(?::?\d{2})?) \[(\d+)\]: \[(\d+)-1\] "
                r"user=([^,]*),db=([^,]*),app=([^,]*),client=(\S*) (.*)$")
-LOG_FIELDS = (("ts", 1), ("pid", 2), ("line", 3), ("user", 4), ("db", 5), ("app", 6),
-              ("client", 7), ("message", 8))
+LOG_FIELDS = (("ts", 1), ("zone", 2), ("pid", 3), ("line", 4), ("user", 5), ("db", 6),
+              ("app", 7), ("client", 8), ("message", 9))
 
 
 def parse_server_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(parsed, rejects). The fields are the groups of one pattern.
 
-    Parsed columns: ts (wall-clock time as written, timestamp_ntz), pid int, line bigint, user, db, app,
+    Parsed columns: ts (wall-clock time as written, timestamp_ntz), zone (the name or
+    numeric offset written after it), pid int, line bigint, user, db, app,
     client, message (empty text -> NULL for user/db/app/client). Lines that
     do not match, or hold an impossible date or number, go, unchanged, to ``rejects``.
     """
@@ -254,7 +255,7 @@ def parse_server_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, D
     # no match, no such date, or a number out of range: the line is a reject
     ok = ts.isNotNull() & pid.isNotNull() & line.isNotNull()
     parsed = lines.filter(ok).select(
-        ts.alias("ts"), pid.alias("pid"), line.alias("line"),
+        ts.alias("ts"), g["zone"].alias("zone"), pid.alias("pid"), line.alias("line"),
         *[F.nullif(g[n], F.lit("")).alias(n) for n in ("user", "db", "app", "client")],
         g["message"].alias("message"))
     rejects = lines.filter(~F.coalesce(ok, F.lit(False)))

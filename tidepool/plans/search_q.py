@@ -23,6 +23,13 @@ def match_paged(spark, sf_dir):
                               start=0, size=20, stage_path=work_path(spark, "bm25_counts"))
 
 
+def match_page2(spark, sf_dir):
+    """Q09 from the second page of twenty."""
+    docs = load(spark, sf_dir, "documents")
+    return search.match_paged(docs, PAGED_QUERY, fields=["text", "lang", "source"],
+                              start=20, size=20, stage_path=work_path(spark, "bm25_counts"))
+
+
 def match_index(spark, sf_dir):
     """Q08 through a postings index written once; must equal ``match_bm25``."""
     path = work_path(spark, "postings")
@@ -66,6 +73,7 @@ ORDER BY score DESC, doc_id LIMIT {k} OFFSET {offset}
 QUERIES = {
     "match_bm25": match_bm25,
     "match_paged": match_paged,
+    "match_page2": match_page2,
     "match_index": match_index,
     "match_all": match_all,
 }
@@ -74,6 +82,8 @@ ORACLE = {
     "match_bm25": _bm25_sql("text", ["the", "schst", "osbo", "eaure"], 10),
     "match_paged": _bm25_sql("concat_ws(' ', text, lang, source)",
                              ["the", "osbo", "en", "src3"], 20),
+    "match_page2": _bm25_sql("concat_ws(' ', text, lang, source)",
+                             ["the", "osbo", "en", "src3"], 20, 20),
     "match_index": _bm25_sql("text", ["the", "schst", "osbo", "eaure"], 10),
     "match_all": "SELECT doc_id, 1.0::DOUBLE AS score FROM documents ORDER BY doc_id LIMIT 10",
 }

@@ -131,7 +131,8 @@ def server_log_lines(ev: DataFrame) -> DataFrame:
     """
     et = F.col("event_type")
     line = F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC ["),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "),
+        F.when(F.col("user_id") % 3 == 0, "UTC").when(F.col("user_id") % 3 == 1, "CET").otherwise("+03"), F.lit(" ["),
         (F.col("user_id") + 1000).cast("string"), F.lit("]: ["), F.col("event_id").cast("string"),
         F.lit("-1] user="), F.when(et == "signup", F.lit("")).otherwise(
             F.concat(F.lit("u"), F.col("user_id").cast("string"))),
@@ -145,10 +146,11 @@ def server_log_lines(ev: DataFrame) -> DataFrame:
 
 
 def log_summary(parsed: DataFrame) -> DataFrame:
-    """Per (user, db): statements, first time, last line, with app, max pid, min message."""
+    """Per (user, db): statements, first time, last line, with app, zones, max pid, min message."""
     return parsed.groupBy("user", "db").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"),
         F.max("line").alias("last_line"), F.count("app").alias("with_app"),
+        F.min("zone").alias("first_zone"), F.max("zone").alias("last_zone"),
         F.max("pid").alias("max_pid"), F.min("message").alias("min_message"))
 
 
@@ -183,7 +185,7 @@ QUERIES = {
 
 _LOG_LINES_SQL = r"""
 SELECT CASE WHEN event_type = 'error' THEN '	continued statement ' || event_id
-       ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC [' || (user_id + 1000) || ']: ['
+       ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE user_id % 3 WHEN 0 THEN ' UTC' WHEN 1 THEN ' CET' ELSE ' +03' END || ' [' || (user_id + 1000) || ']: ['
             || event_id || '-1] user='
             || CASE WHEN event_type = 'signup' THEN '' ELSE 'u' || user_id END
             || ',db=' || CASE WHEN event_type = 'purchase' THEN 'shop' ELSE 'app' END
@@ -260,15 +262,17 @@ FROM nation""",
 WITH lines AS ({_LOG_LINES_SQL}),
 parsed AS (
   SELECT strptime(regexp_extract(value, '{_RE}', 1), '%Y-%m-%d %H:%M:%S') AS ts,
-         CAST(regexp_extract(value, '{_RE}', 2) AS INT) AS pid,
-         CAST(regexp_extract(value, '{_RE}', 3) AS BIGINT) AS line,
-         nullif(regexp_extract(value, '{_RE}', 4), '') AS "user",
-         nullif(regexp_extract(value, '{_RE}', 5), '') AS db,
-         nullif(regexp_extract(value, '{_RE}', 6), '') AS app,
-         nullif(regexp_extract(value, '{_RE}', 7), '') AS client,
-         regexp_extract(value, '{_RE}', 8) AS message
+         regexp_extract(value, '{_RE}', 2) AS zone,
+         CAST(regexp_extract(value, '{_RE}', 3) AS INT) AS pid,
+         CAST(regexp_extract(value, '{_RE}', 4) AS BIGINT) AS line,
+         nullif(regexp_extract(value, '{_RE}', 5), '') AS "user",
+         nullif(regexp_extract(value, '{_RE}', 6), '') AS db,
+         nullif(regexp_extract(value, '{_RE}', 7), '') AS app,
+         nullif(regexp_extract(value, '{_RE}', 8), '') AS client,
+         regexp_extract(value, '{_RE}', 9) AS message
   FROM lines WHERE regexp_matches(value, '{_RE}'))
 SELECT "user", db, count(*) AS n, min(ts) AS first_ts, max(line) AS last_line,
+       min(zone) AS first_zone, max(zone) AS last_zone,
        count(app) AS with_app, max(pid) AS max_pid, min(message) AS min_message
 FROM parsed GROUP BY "user", db""",
     "server_log_rejects": f"""
