@@ -22,7 +22,10 @@ Only cells of several points count from there on. They are visited twice. First
 point only; verified pairs give provisional components. Then cells that still
 hold several components give the pairs across them, through the tree. So
 groups of copies and near copies cost one pair per member, yet every link
-between different components is tried. Pairs are verified on the whole sets.
+between different components is tried. The tree is walked twice: once to drop
+the points that have no partner left in a cell, which needs their counts only,
+and once to give the pairs of the others, which also needs the list of a set's
+cells, so that a pair is given once. Pairs are verified on the whole sets.
 
 Sets are known by 64-bit hashes of shingles and of sets. Results by case: null
 and empty texts have no shingles, no links and themselves as component;
@@ -32,6 +35,7 @@ repeated rows and ids are one group; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +103,15 @@ def point(hashes: np.ndarray) -> np.ndarray:
         groups *= 2
 
 
+def pack(p: np.ndarray) -> bytes:
+    """A point as it is stored and shuffled: the counts are small, so deflated."""
+    return zlib.compress(p.tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint8)
+
+
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
     return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.int64)
 
@@ -183,7 +196,7 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
-                pa.array([None if r[3] is None else r[3].tobytes() for r in rows], pa.binary())],
+                pa.array([None if r[3] is None else pack(r[3]) for r in rows], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point"])
 
     return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
@@ -238,7 +251,7 @@ def _bounded(num: int, den: int):
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (x, y))
+                x, y = (unpack(v.as_buffer()).astype(np.int64) for v in (x, y))
                 good.append(enough(overlap_bound(x, y), int(x.sum()), int(y.sum()), num, den))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2)], names=["a", "b"])
@@ -251,44 +264,62 @@ def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _tree_pairs(num: int, den: int):
-    """Pairs across components in each cell; rows (cell, i, j, set_id, component,
-    point, the set's smaller cells) come sorted by cell, i, j. A pair that meets in several
-    cells is given by the first of them only."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The cells (or pairs of parts of one) of several components, each with its rows
+    and points. Rows (cell, i, j, set_id, component, point, ...) come sorted by cell, i, j."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def solve(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, ids, comp, pts, cells_ = part
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for at in np.split(np.arange(len(ids)), cut):
-                if len(at) > 1 and (comp[at] != comp[at[0]]).any():
-                    earlier = [frozenset(cells_[r].tolist()) for r in at]
-                    groups = min(min(len(pts[r]) for r in at), MOST_GROUPS)
-                    points = np.stack([fold(pts[r].astype(np.int32), groups) for r in at]).astype(np.int32)
-                    for pairs in tree_pairs(points, comp[at], num, den):
-                        first = [earlier[x].isdisjoint(earlier[y]) for x, y in pairs.tolist()]
-                        yield _pairs_batch(ids[at][pairs[first]])
+    def split(rows: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        key, comp = np.stack([rows.column(i).to_numpy() for i in range(3)], 1), rows.column(4).to_numpy()
+        for at in np.split(np.arange(len(key)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1):
+            if len(at) > 1 and (comp[at] != comp[at[0]]).any():
+                part = rows.slice(int(at[0]), len(at))
+                points = [unpack(v.as_buffer()) for v in part.column(5)]
+                groups = min(min(map(len, points)), MOST_GROUPS)
+                yield part, np.stack([fold(p.astype(np.int32), groups) for p in points]).astype(np.int32)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            plain = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            lists = np.empty(b.num_rows, object)
-            lists[:] = [v.values.to_numpy(zero_copy_only=False) for v in b.column(6)]
-            part = [np.stack(plain[:3], 1), plain[3], plain[4],
-                    np.empty(b.num_rows, object), lists]
-            part[3][:] = [np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(5)]
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part)]
-            # the last cell may go on in the next batch
-            last = np.flatnonzero((part[0] != part[0][-1]).any(1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held = [x[cut:] for x in part]
-            yield from solve([x[:cut] for x in part])
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b])
         if held is not None:
-            yield from solve(held)
+            rows = pa.concat_tables([held, rows])
+        # the last cell may go on in the next batch
+        key = np.stack([rows.column(i).to_numpy() for i in range(3)], 1)
+        last = np.flatnonzero((key != key[-1]).any(1))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        held = rows.slice(cut)
+        if cut:
+            yield from split(rows.slice(0, cut))
+    if held is not None:
+        yield from split(held)
+
+
+def _partnered(num: int, den: int):
+    """The rows (cell, i, j, set_id, component) of the points that have a partner of another
+    component in their cell: no more rows than come in, however many the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, points in _cells(batches):
+            found = np.zeros(len(points), bool)
+            for pairs in tree_pairs(points, part.column(4).to_numpy(), num, den):
+                found[pairs.ravel()] = True
+            if found.any():
+                yield from part.select(range(5)).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return run
+
+
+def _tree_pairs(num: int, den: int):
+    """Pairs across components in each cell; a row's last column lists the set's smaller cells. A pair that
+    meets in several cells is given by the first of them only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, points in _cells(batches):
+            ids, earlier = part.column(3).to_numpy(), [frozenset(v) for v in part.column(6).to_pylist()]
+            for pairs in tree_pairs(points, part.column(4).to_numpy(), num, den):
+                first = [earlier[x].isdisjoint(earlier[y]) for x, y in pairs.tolist()]
+                yield _pairs_batch(ids[pairs[first]])
 
     return run
 
@@ -371,17 +402,20 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     open_cells = inside.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
         .filter("n > 2 AND low < high").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
     opened = written(inside.join(open_cells, "cell"), "opened")
-    # what a set brings to its cells: its point, and the list of these cells (as many as it has groups at most)
-    brought = opened.groupBy("owner").agg(F.collect_set("cell").alias("cells")) \
-        .join(shapes.withColumnRenamed("set_id", "owner"), "owner")
+    keys = ["cell", "i", "j"]
     # a cell of many points is dealt out as pairs of its parts
     dealt = opened.withColumn("own", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "owner", "component") \
-        .join(brought, "owner").select("cell", "i", "j", F.col("owner").alias("set_id"), "component", "point",
-                                        F.filter("cells", lambda c: c < F.col("cell")).alias("cells"))
-    more = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j") \
-        .mapInArrow(_tree_pairs(num, den), "a long, b long")
+        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                F.col("owner").alias("set_id"), "component")
+    near = written(dealt.join(shapes, "set_id").select(*keys, "set_id", "component", "point")
+                   .repartition(*keys).sortWithinPartitions(*keys)
+                   .mapInArrow(_partnered(num, den), "cell long, i int, j int, set_id long, component long"), "near")
+    # what a set still brings to its cells: its point, and the list of these cells (as many as it has groups at most)
+    brought = near.groupBy("set_id").agg(F.collect_set("cell").alias("cells")).join(shapes, "set_id")
+    more = near.join(brought, "set_id").select(*keys, "set_id", "component", "point",
+                                               F.filter("cells", lambda c: c < F.col("cell")).alias("cells")) \
+        .repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(num, den), "a long, b long")
     more = written(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(verified(more, "links2"))
     part = components(links, f"{path}/components2")
