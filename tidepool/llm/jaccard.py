@@ -52,6 +52,7 @@ BOUND_GROUPS = 64  # fewest coordinates of a point below the top level, and thos
 MOST_GROUPS = 1024 # most coordinates in a walk
 LEAF = 32          # points in a leaf
 CELL_ROWS = 2048   # points of a cell, or of two parts of one, in one walk, about
+BAND_BITS = 3      # bits of a cell that tell its band from its neighbours
 RATIO = 5, 4       # sizes in a band: from n to below n * 5 / 4
 
 
@@ -65,7 +66,7 @@ def bands(limit: int) -> np.ndarray:
 
 def cells(hashes: np.ndarray, num: int, den: int, edges: np.ndarray) -> np.ndarray:
     """The cells of a set: in its own band, and in those bands where a larger
-    set that it may be linked with lies."""
+    set that it may be linked with lies. A cell's lowest bits are those of its band's number."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.uint64)
@@ -84,7 +85,8 @@ def cells(hashes: np.ndarray, num: int, den: int, edges: np.ndarray) -> np.ndarr
         # an empty group is a cell only for sets with so many of them that a
         # linked set might agree in empty groups alone
         keep = np.flatnonzero(filled if groups - int(filled.sum()) < slack else np.ones(groups, bool))
-        out.append(mix(coordinates[keep] + mix(keep.astype(np.uint64) + np.uint64(band << 32))))
+        cell = mix(coordinates[keep] + mix(keep.astype(np.uint64) + np.uint64(band << 32)))
+        out.append(cell & np.uint64(~BAND_BITS % (1 << 64)) | np.uint64(band & BAND_BITS))
     return np.concatenate(out)
 
 
@@ -311,8 +313,8 @@ def _partnered(num: int, den: int):
 
 
 def _tree_pairs(num: int, den: int):
-    """Pairs across components in each cell; a row's last column lists the set's smaller cells. A pair that
-    meets in several cells is given by the first of them only."""
+    """Pairs across components in each cell; a row's last column lists the set's smaller cells of the
+    same band. A pair that meets in several cells of a band is given by the first of them only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, points in _cells(batches):
@@ -413,8 +415,9 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
                    .mapInArrow(_partnered(num, den), "cell long, i int, j int, set_id long, component long"), "near")
     # what a set still brings to its cells: its point, and the list of these cells (as many as it has groups at most)
     brought = near.groupBy("set_id").agg(F.collect_set("cell").alias("cells")).join(shapes, "set_id")
+    earlier = lambda c: (c < F.col("cell")) & (c.bitwiseAND(BAND_BITS) == F.col("cell").bitwiseAND(BAND_BITS))
     more = near.join(brought, "set_id").select(*keys, "set_id", "component", "point",
-                                               F.filter("cells", lambda c: c < F.col("cell")).alias("cells")) \
+                                               F.filter("cells", earlier).alias("cells")) \
         .repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(num, den), "a long, b long")
     more = written(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(verified(more, "links2"))
