@@ -157,6 +157,25 @@ def test_invalid_values_stay():
         assert p.replace(text) == (text, 0), text
 
 
+@pytest.mark.parametrize("value,around", [
+    ("2024-02-29", "at {}T10:00:00Z"), ("2024-02-29", "{}t10:00"), ("31/12/2020", "on {}, so"), ("13/01/1999", "{}"), ("12/31/2020", "{}"),
+    ("DE89 3704 0044 0532 0130 00", "{} BIC COBADEFFXXX"), ("DE89370400440532013000", "{} EUR"), ("DE89370400440532013000", "{}EUR"),
+    ("GB82 WEST 1234 5698 7654 32", "to {} SWIFT ABCDGB22 9 12/31/2020"), ("NO9386011117947", "{} A B")])
+def test_values_are_found_whatever_follows(value, around):
+    there, back = pseudonyms.Pseudonymiser(b"k"), pseudonyms.Pseudonymiser(b"k", forward=False)
+    text = around.format(value)
+    new, n = there.replace(text)
+    assert n >= 1 and value not in new and len(new) == len(text) and back.replace(new) == (text, n)
+    assert around.split("{}")[1][:5] == new[len(around.split("{}")[0]) + len(value):][:5]
+
+
+def test_slash_dates_stay_one_to_one():
+    p, days = pseudonyms.Pseudonymiser(b"k"), [dt.date(2019, 1, 1) + dt.timedelta(i) for i in range(1000)]
+    texts = {f"{d:%m/%d/%Y}" for d in days} | {f"{d:%d/%m/%Y}" for d in days}
+    new = {p.replace(t)[0] for t in texts}
+    assert len(new) == len(texts) and all(p.replace(t)[1] == 1 for t in texts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(n=st.integers(1, 10 ** 30), x=st.integers(0, 10 ** 30))
 def test_feistel_is_a_permutation(n, x):

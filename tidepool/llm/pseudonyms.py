@@ -35,12 +35,19 @@ _RUN = re.compile(r"\d[\d .\-/()]*")
 _NUMBER = re.compile(r"""
     (?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
-  | (?P<iso>(?<![\w-])\d{4}-\d\d-\d\d(?![\w-]))
+  | (?P<iso>(?<![\w-])\d{4}-\d\d-\d\d(?!(?![Tt]\d)[\w-]))
   | (?P<dmy>(?<![\w./])\d{1,2}([./])\d{1,2}\5\d{4}(?![\w/]))
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
   | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
 """.replace(r"\5", r"(?P=sep)").replace("([./])", "(?P<sep>[./])"), re.X | re.A)
-_IBAN = re.compile(r"[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]){11,30}")
+# Letters and digits of a bank account number by country.
+IBAN_SIZES = {c: int(n) for n, cs in {
+    "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU XK MN",
+    "21": "CH HR LI LV", "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL",
+    "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM",
+    "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC",
+    "33": "RU"}.items() for c in cs.split()}
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+$")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(r"(?:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?([A-Za-z0-9_\-]{8,})|(?<![A-Za-z0-9])AKIA([A-Z0-9]{16})(?![A-Za-z0-9])")
@@ -183,9 +190,14 @@ class Pseudonymiser:
         sep = "." if "." in text else "/"
         a, b, year = text.split(sep)
         # month first with a slash where that is a date, else day first
-        first = (int(year), int(a), int(b)) if sep == "/" else (int(year), int(b), int(a))
-        d = self._day(*first)
-        return d and (f"{d.month:02d}/{d.day:02d}/{d.year}" if sep == "/" else f"{d.day:02d}.{d.month:02d}.{d.year}")
+        if sep == "/" and int(a) <= 12:
+            d = self._day(int(year), int(a), int(b))
+            return d and f"{d.month:02d}/{d.day:02d}/{d.year}"
+        d = self._day(int(year), int(b), int(a))
+        # days that only fit day first stay among themselves, so no two dates meet in one
+        while d and sep == "/" and d.day <= 12:
+            d = self._day(d.year, d.month, d.day)
+        return d and f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year}"
 
     def _ip(self, text: str) -> str | None:
         parts = text.split(".")
@@ -198,8 +210,22 @@ class Pseudonymiser:
         plain = text.replace(" ", "")
         if iban_rest(plain[:2], plain[4:], plain[2:4]) != 1:
             return None
-        body = self._mixed(plain[4:], "iban" + plain[:2])
-        return _refill(text, f"{plain[:2]}{98 - iban_rest(plain[:2], body):02d}{body}")
+        country, size, body = plain[:2], IBAN_SIZES.get(plain[:2], len(plain)), plain[4:]
+        while True:
+            body = self._mixed(body, "iban" + country)
+            new = f"{country}{98 - iban_rest(country, body):02d}{body}"
+            # a longer one must not begin with one of the country's length
+            if len(plain) <= size or iban_rest(country, new[4:size], new[2:4]) != 1:
+                return _refill(text, new)
+
+    def _iban_end(self, text: str, m: re.Match) -> int | None:
+        """Where the account number ends: at its country's length, else at the last place
+        before a sign that is no letter or digit where the remainder is right."""
+        start, end = m.span()
+        places = [i + 1 for i in range(start, end) if text[i] != " "]
+        size = IBAN_SIZES.get(text[start:start + 2], 0)
+        ends = [p for p in reversed(places[14:]) if not text[p:p + 1].isalnum()]
+        return next((p for p in places[size - 1:size] * bool(size) + ends if self.value("iban", text[start:p])), None)
 
     def _email(self, text: str) -> str:
         local, domain = text.rsplit("@", 1)
@@ -224,13 +250,13 @@ class Pseudonymiser:
             start, end = run.span()
             if start >= 2 and text[start - 2:start].isupper() and text[start - 2:start].isascii() and not text[start - 3:start - 2].isalnum():
                 if m := _IBAN.match(text, start - 2):
-                    if self.value("iban", m[0]):
-                        found.append((*m.span(), "iban"))
-                        done = m.end()
+                    if iban_end := self._iban_end(text, m):
+                        found.append((m.start(), iban_end, "iban"))
+                        done = iban_end
                         continue
             if end - start >= 7 and start >= done:
                 found += [(*m.span(), m.lastgroup if m.lastgroup != "sep" else "dmy")
-                          for m in _NUMBER.finditer(text, max(0, start - 2), end + 1)]
+                          for m in _NUMBER.finditer(text, max(0, start - 2), end + 2)]
         found.sort()
         out, last = [], 0
         for s, e, kind in found:
