@@ -185,6 +185,50 @@ def test_feistel_is_a_permutation(n, x):
     assert 0 <= y < n and f.restore(y, n, "t") == x
 
 
+@pytest.mark.parametrize("bits", [129, 400, 1003, 4096, 20_001])
+def test_feistel_changes_all_of_large_values(bits):
+    f, rng = pseudonyms.Feistel(b"key"), random.Random(bits)
+    n = (1 << bits) - rng.getrandbits(bits // 2)
+    for _ in range(5):
+        x = rng.randrange(n)
+        y = f.permute(x, n, "t")
+        assert 0 <= y < n and f.restore(y, n, "t") == x
+        assert (x ^ y) >> (bits - 60) and len({(x ^ y) >> i & 255 for i in range(0, bits - 8, 8)}) > min(60, bits // 16)
+
+
+@pytest.mark.parametrize("size", [20, 100, 128, 200, 5000])
+def test_long_credentials_change_from_end_to_end(size):
+    there, back = pseudonyms.Pseudonymiser(b"k"), pseudonyms.Pseudonymiser(b"k", forward=False)
+    rng = random.Random(size)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    new, n = there.replace("token=" + value)
+    same = [a == b for a, b in zip(new[6:], value)]
+    assert n == 1 and sum(same) < max(size // 8, 6) and not all(same[:4]) and back.replace(new) == ("token=" + value, 1)
+
+
+@pytest.mark.parametrize("text,value", [
+    ("secret=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq and", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq"),
+    ("token: eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJ_-x~a==\n", "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJ_-x~a=="),
+    ('{"password": "abcd efgh+Z9", "x": 1}', "abcd efgh+Z9"), ("PASSWORD=Hunter2Hunter2", "Hunter2Hunter2"),
+    ("{'Api_Key':'k1k2k3k4!k5'}", "k1k2k3k4!k5"), ('{\\"token\\":\\"abcdEFGH0123\\"}', "abcdEFGH0123"),
+    ("passwd = abcdefgh@Home99, next", "abcdefgh@Home99")])
+def test_credentials_are_replaced_whole(text, value):
+    there, back = pseudonyms.Pseudonymiser(b"k"), pseudonyms.Pseudonymiser(b"k", forward=False)
+    new, n = there.replace(text)
+    at = text.index(value)
+    got = new[at:at + len(value)]
+    assert n == 1 and new[:at] == text[:at] and new[at + len(value):] == text[at + len(value):]
+    for cut in range(0, len(value) - 4, 4):
+        assert got[cut:cut + 5] != value[cut:cut + 5]
+    assert [c for c in got if not c.isalnum()] == [c for c in value if not c.isalnum()] and back.replace(new) == (text, 1)
+
+
+def test_keys_without_letters_or_digits_after_them_are_no_credentials():
+    p = pseudonyms.Pseudonymiser(b"k")
+    for text in ("token=........", "secret: ---------- ", "password=\u6f22\u5b57\u6f22\u5b57\u6f22\u5b57\u6f22\u5b57"):
+        assert p.replace(text) == (text, 0), text
+
+
 def test_feistel_reaches_every_value():
     f = pseudonyms.Feistel(b"key")
     assert sorted(f.permute(x, 97, "t") for x in range(97)) == list(range(97))

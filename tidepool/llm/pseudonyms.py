@@ -27,6 +27,7 @@ from .common import map_column
 
 ROUNDS = 10
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
+SMALL_BITS = 128
 CACHE_ENTRIES = 100_000
 
 # Formats. A run of digits and the signs that stand in numbers
@@ -50,7 +51,12 @@ IBAN_SIZES = {c: int(n) for n, cs in {
     "33": "RU"}.items() for c in cs.split()}
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+$")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
-_SECRET = re.compile(r"(?:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?([A-Za-z0-9_\-]{8,})|(?<![A-Za-z0-9])AKIA([A-Z0-9]{16})(?![A-Za-z0-9])")
+# The value of a key is quoted, or goes on to a space or a sign that stands between values.
+_SECRET = re.compile(r"""
+    (?i:password|passwd|secret|token|api_key)\\?["']?[ \t]*[=:][ \t]*
+    (?: \\?"((?:\\[^"]|[^"\\\n]){8,})\\?" | '((?:\\.|[^'\\\n]){8,})' | \\?["']?([^\s"'`<>,;&|(){}\[\]\\]{8,}) )
+  | (?<![A-Za-z0-9])AKIA([A-Z0-9]{16})(?![A-Za-z0-9])
+""", re.X)
 _ALPHABETS = {"0": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz"}
 
 
@@ -63,8 +69,11 @@ class Feistel:
         self.key = key
 
     def _shift(self, tag: str, n: int, i: int, half: int) -> int:
-        mac = hashlib.blake2b(f"{tag}|{n}|{i}|{half}".encode(), key=self.key, digest_size=24)
-        return int.from_bytes(mac.digest(), "big")
+        """A keyed number of 192 bits, for larger n of 128 bits more than a half has."""
+        bits = n.bit_length()
+        text = f"{tag}|{n}|{i}|{half}" if bits <= SMALL_BITS else f"{tag}|{n:x}|{i}|{half:x}"
+        mac = hashlib.blake2b(text.encode(), key=self.key, digest_size=24 if bits <= SMALL_BITS else 64).digest()
+        return int.from_bytes(mac if bits <= SMALL_BITS else hashlib.shake_256(mac).digest(bits // 16 + 18), "big")
 
     @staticmethod
     def _sides(n: int) -> tuple[int, int]:
@@ -108,10 +117,15 @@ def iban_rest(country: str, body: str, check: str = "00") -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
+def _own(c: str) -> bool:
+    """ASCII letters and digits are replaced, other characters stay."""
+    return c.isascii() and c.isalnum()
+
+
 def _refill(pattern: str, new: str) -> str:
     """The characters of ``new`` in the places where ``pattern`` has letters or digits."""
     it = iter(new)
-    return "".join(next(it) if c.isalnum() else c for c in pattern)
+    return "".join(next(it) if _own(c) else c for c in pattern)
 
 
 class Pseudonymiser:
@@ -127,9 +141,9 @@ class Pseudonymiser:
 
     def _mixed(self, text: str, tag: str) -> str:
         """Letters and digits permuted together, each place keeping its kind; other characters stay."""
-        kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in text if c.isalnum()]
+        kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in text if _own(c)]
         x, n = 0, 1
-        for c, k in zip([c for c in text if c.isalnum()], kinds):
+        for c, k in zip([c for c in text if _own(c)], kinds):
             x, n = x * len(_ALPHABETS[k]) + _ALPHABETS[k].index(c), n * len(_ALPHABETS[k])
         x, out = self.turn(x, n, f"{tag}:{''.join(kinds)}"), []
         for k in reversed(kinds):
@@ -231,8 +245,8 @@ class Pseudonymiser:
         local, domain = text.rsplit("@", 1)
         return self._mixed(local, "email") + "@" + domain
 
-    def _secret(self, text: str) -> str:
-        return self._mixed(text, "secret")
+    def _secret(self, text: str) -> str | None:
+        return self._mixed(text, "secret") if any(map(_own, text)) else None
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of what looks like a value, in order, without overlaps."""
@@ -244,7 +258,7 @@ class Pseudonymiser:
                 found.append((a.start(), b.end(), "email"))
             at = text.find("@", at + 1)
         for m in _SECRET.finditer(text):
-            found.append((*m.span(1 if m[1] else 2), "secret"))
+            found.append((*m.span(m.lastindex), "secret"))
         done = 0
         for run in _RUN.finditer(text):
             start, end = run.span()
