@@ -23,11 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by five-word
-    shingles at 0.8 or more; documents without words or without an id stay."""
-    joined = jaccard.jaccard_join(docs, 5, 80, 100)
-    drop = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group linked by five-word shingles at 0.8 or more, the
+    one with the smallest id (null last); documents without words stay."""
+    return jaccard.keep_first(docs, 5, 80, 100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,3 +288,22 @@ def test_pipeline(spark):
     kept = steps[1].join(load(spark, SF_SMALL, "labels").filter("toxic = 0"), "doc_id", "left_semi").count()
     assert kept >= 0.97 * clean
     assert P.run(spark, SF_SMALL).count() == steps[-1].count() > 0
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    import corpus_pipeline as P
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, "x"), (2, a + " more", "x"), (2, b, "x"),  # an id shared by a copy and a clean document
+            (3, c, "x"), (3, c, "x"), (3, c, "y"), (3, c, None),  # repeated rows, and an id shared by copies
+            (None, d, "x"), (None, d, "x"), (None, d + " more", "x"), (None, a, "x"),  # no id
+            (4, None, "x"), (4, "", "x"), (4, "", "x"), (None, " \n", None), (5, "one", "x"), (6, "ONE", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("made", F.lit("2024-01-01").cast("timestamp"))
+    out = P.drop_near_copies(spark, docs, SF_SMALL)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    group = lambda t: (t or "").removesuffix(" more").strip().lower()
+    assert out.columns == docs.columns
+    assert sorted(group(t) for _, t in got if group(t)) == sorted([a, b, c, d, "one"])
+    by = {group(t): i for i, t in got if group(t)}
+    assert by == {a: 1, b: 2, c: 3, d: None, "one": 5}
+    assert sum(not group(t) for _, t in got) == 4
+    assert P.drop_near_copies(spark, docs.limit(0), SF_SMALL).collect() == []

@@ -360,9 +360,9 @@ def _sets(k: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id
-    reachable by links ``den * intersection >= num * union`` of k-word shingle sets)."""
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, str]:
+    """The points (a row per document: doc_id, text_key, set_id, n_shingles), the component of
+    every set (set_id, doc_id: its smallest, component) and the folder they are in."""
     spark = docs.sparkSession
     path = work_path(spark, "jaccard")
 
@@ -427,7 +427,48 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     sets = points.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     named = sets.join(part.withColumnRenamed("node", "set_id"), "set_id", "left") \
         .withColumn("component", F.coalesce("component", "set_id"))
+    return points, named, path
+
+
+def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id
+    reachable by links ``den * intersection >= num * union`` of k-word shingle sets)."""
+    points, named, path = _grouped(docs, k, num, den)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = written(named.join(least, "component").select("set_id", "component_id"), "of_set")
+    named.join(least, "component").select("set_id", "component_id").write.parquet(f"{path}/of_set")
+    of_set = docs.sparkSession.read.parquet(f"{path}/of_set")
     return points.join(of_set, "set_id").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """One row of each component: the one with the smallest doc_id (null last), then row key.
+
+    The row key is a digest of all columns, so it is the same whenever a row is
+    read; of rows equal in all columns one is kept. Rows without words stay.
+    """
+    points, named, path = _grouped(docs, k, num, den)
+    spark = docs.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    everything = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
+                           {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                            "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    keyed = docs.withColumn("_row", F.unhex(F.sha2(everything, 256)))
+    # the rows by key, and the first one of each text
+    rows = keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")) \
+        .select("_row", "doc_id", F.xxhash64("text").alias("text_key"))
+    rows = written(rows.groupBy("_row", "doc_id", "text_key").agg(F.count("*").alias("n")), "row_keys")
+    best = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    of_text = rows.groupBy("text_key").agg(F.min(best).alias("best"))
+    in_component = points.filter("n_shingles > 0").select("text_key", "set_id").distinct() \
+        .join(named.select("set_id", "component"), "set_id").select("text_key", "component")
+    first = written(of_text.join(in_component, "text_key").groupBy("component").agg(F.min("best").alias("best"))
+                    .select("best._row"), "kept")
+    again = rows.filter("n > 1").join(first, "_row", "left_semi").select("_row")
+    apart = written(rows.join(first, "_row", "left_anti").select("_row").unionByName(again), "apart")
+    one = keyed.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return keyed.join(apart, "_row", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
