@@ -272,6 +272,131 @@ def test_licence_rules(spark):
     assert licences.scan(df.limit(0), licences.known_table(spark)).collect() == []
 
 
+NOTICES = {
+    "Apache-2.0": """Copyright 2020 A. Writer
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+""",
+    "BSD-3-Clause": """Copyright (c) 2009 The Example Authors.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+   * Neither the name of Example Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all
+copyright and related and neighboring rights to this software to the
+public domain worldwide. This software is distributed without any warranty.
+""",
+    "CC-BY-SA-4.0": """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.
+""",
+}
+
+
+def test_licences_of_verbatim_notices(spark):
+    forms = {"wrapped": lambda t: t, "one line": lambda t: " ".join(t.split()), "crlf": lambda t: t.replace("\n", "\r\n"),
+             "comment": lambda t: "".join(f" * {x}\n" for x in t.splitlines()), "hash": lambda t: "".join(f"# {x}\n" for x in t.splitlines()),
+             "inside": lambda t: f"Some words before\n\n{t}\n\nand after", "close": lambda t: f"Some words before\n{t}and after"}
+    rows = [(name, form, f(t)) for name, t in NOTICES.items() for form, f in forms.items()]
+    df = spark.createDataFrame(rows, "name string, form string, text string")
+    got = {(r["name"], r["form"]): r["licences"] for r in licences.scan(df, licences.known_table(spark)).collect()}
+    wrong = {k: v for k, v in got.items() if v != [k[0]]}
+    assert not wrong, wrong
+
+
+def test_licence_sentences_do_not_cross_paragraphs(spark):
+    rows = [(1, "Released under the\n\nMIT License"), (2, "Released under the\nMIT License\nAll rights reserved"),
+            (3, "Released\nunder\nthe\nMIT\nLicense"), (4, "permission\n" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(df, licences.known_table(spark)).collect()}
+    assert got == {1: [], 2: ["MIT", "Proprietary"], 3: ["MIT"], 4: []}
+    none = licences.scan(df, licences.known_table(spark).limit(0)).collect()
+    assert all(r["licences"] == [] and r["sentence_ids"] == [] for r in none)
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLE))
 def test_queries_match_their_sql(spark, duck, key):
     assert compare(spark, key, SF_SMALL, duck)["status"] == "match"
