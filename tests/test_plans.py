@@ -66,3 +66,12 @@ def test_aggregates_are_partial_before_shuffle(spark):
 def test_top1_per_group_is_limited_before_shuffle(spark, key):
     p = plan(spark, key)
     assert "WindowGroupLimit" in p and "Partial" in p, p[:3000]
+
+
+def test_recursion_follows_a_chain_of_more_than_100_orders(spark, tmp_path):
+    orders = spark.range(112).selectExpr("id AS o_orderkey", "if(id < 109, 1L, 2L) AS o_custkey", "timestamp_ntz '1996-01-01 00:00:00' AS o_orderdate")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    limit = spark.conf.get("spark.sql.cteRecursionLevelLimit", "100")
+    rows = E.queries()["sql_recursive"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 109, 109), (2, 3, 3)]
+    assert spark.conf.get("spark.sql.cteRecursionLevelLimit", "100") == limit
