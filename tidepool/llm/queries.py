@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import bitslice, bpe, decontaminate, jaccard, kdshards, licences, pseudonyms, quality, toxicity, urlrules
+from . import (bitslice, bpe, conversations, decontaminate, divergence, jaccard, kdshards, leaks, licences, pseudonyms, quality,
+               toxicity, urlrules)
 from .common import is_held_out
 
 # The secret of the registered query and pipeline; a deployment names its own.
@@ -102,9 +105,34 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source of a language from the others and from the language."""
+    return divergence.audit(load(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after the planted damage."""
+    rows = load(spark, sf_dir, "conversations")
+    edits = conversations.repair(rows, conversations.damage(rows))
+    said = conversations.digests(edits.turns).withColumnRenamed("conv_id", "said_of")
+    empty = hashlib.sha256(b"").hexdigest()
+    return edits.report.join(said, F.col("conv_id").eqNullSafe(F.col("said_of")), "left").select(
+        *edits.report.columns, F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+def op13_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base formats, and values that are costly to guess."""
+    found = leaks.scan(load(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(of_kind, leaks.KINDS[:3]), F.sha2(named(base), 256).alias("base_sha256"),
+                        named(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_pseudonyms, op3_licences, op4_quality, op5_jaccard, op6_bitslice, op7_kdshards,
-    op8_decontaminate, op9_urlrules, op10_bpe)}
+    op8_decontaminate, op9_urlrules, op10_bpe, op11_divergence, op12_conversations, op13_leaks)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = ("list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')") +
@@ -156,6 +184,26 @@ ORACLE = {
         sha256(coalesce(array_to_string(list_sort(l), ','), '')) AS items_sha256,
         coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
+    "op11_divergence": rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+    c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+    g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS s FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (s + 5 * v) AS p
+        FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+    q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q
+        FROM c JOIN v USING (lang) GROUP BY lang, term),
+    f AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term)
+            WHERE x.lang = g.lang AND x.source = g.source AND y.source = h.source), 0) AS value
+        FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+        UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM f QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50""",
     "op9_urlrules": rf"""
     WITH p AS (SELECT page_id, coalesce({_LOWER.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
