@@ -276,7 +276,7 @@ def test_scan_finds_planted_secrets_and_leaves_words(spark):
     prose = "the thention of whaning is here and there was thention in whaning "
     rows = [(1, "login pwd is hT7$kq2Zp! and so"), (2, "password: hunter"), (3, "the secret: thention of it, token = whaning."),
             (4, "Authorization: Bearer x9fK2mQ7vB8 end"), (5, "é😀 pass=Zk8#mmQ1p, next"), (6, 'token = "6838a6ec953eec92e8f68d7c24ee4c3f"'),
-            (7, None), (8, ""), (9, prose * 3000), (9, "passphrase: " + "q7" * 200 + "X"), (None, "api key: yT5#wq88Lk"), (10, "pin: changeme1")]
+            (7, None), (8, ""), (9, prose * 3000), (9, "passphrase: " + "q7" * 60 + "X"), (None, "api key: yT5#wq88Lk"), (10, "pin: changeme1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for name in ("row", "id", "base", "spans", "values", "word"):
         docs = docs.withColumn(name, F.lit("clash"))

@@ -185,10 +185,12 @@ def guess_bits(piece: str, word_bits: dict[str, float]) -> float:
             way, j = now, j + 1
             if j - i >= 3:
                 offer(j, here + log2(47) + 2 * turns + log2(j - i) + (low[i:j] != keys[i:j] or piece[i:j] != low[i:j]))
-        # what came just before, once more
+        # what came just before, once more or several times
         for size in range(2, min(MOST_REPEATED, i, n - i) + 1):
-            if piece[i:i + size] == piece[i - size:i]:
-                offer(i + size, here + log2(size) + 1)
+            j = i
+            while piece[j:j + size] == piece[i - size:i]:
+                j += size
+                offer(j, here + 1 + log2(size) + log2((j - i) // size))
     return best[n]
 
 
