@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,9 @@ BOUND_GROUPS = 64  # fewest coordinates of a point below the top level, and thos
 MOST_GROUPS = 1024 # most coordinates in a walk
 LEAF = 32          # points in a leaf
 CELL_ROWS = 2048   # points of a cell, or of two parts of one, in one walk, about
+SLICE = 500_000    # characters or cells that a worker holds at a time, besides one text's
+SLICE_ROWS = 2_000 # rows that it holds at a time
+SEEN = 200_000     # sets that a task remembers, so that copies are sent once
 BAND_BITS = 3      # bits of a cell that tell its band from its neighbours
 RATIO = 5, 4       # sizes in a band: from n to below n * 5 / 4
 
@@ -187,14 +191,14 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     edges = bands(2 * len(h) * den // num)
                 one = set_id(h)
                 new = len(h) > 0 and one not in seen
-                if new and len(seen) < 1_000_000:
+                if new and len(seen) < SEEN:
                     seen.add(one)
                 out.append((len(h), one, cells(h, num, den, edges).view(np.int64) if new else None, point(h) if new else None))
             return out
 
-        for b in batches:
+        blank = np.zeros(0, np.int64)
+        for b in (part for whole in batches for part in _slices(whole, 1)):
             rows = in_parts(b.column(1), work)
-            blank = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
@@ -204,6 +208,17 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
 
 
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of bounded size: a column's characters or list entries, and the rows."""
+    col = b.column(column)
+    sizes = (pc.binary_length(col) if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else pc.list_value_length(col)) \
+        .fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes + SLICE // SLICE_ROWS) - 1) // SLICE
+    borders = np.flatnonzero(np.diff(run, prepend=-1))
+    for start, stop in zip(borders.tolist(), [*borders[1:].tolist(), b.num_rows]):
+        yield b.slice(start, stop - start)
+
+
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, owner) of a batch of (set_id, cells), sorted by cell, and where cells start."""
     col = b.column(1)
@@ -219,15 +234,15 @@ def _batch(cell: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
 
 
 def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first point of each cell of a batch: a cell of very many points sends one per batch."""
-    for b in batches:
+    """The first point of each cell of a slice: a cell of very many points sends one per slice."""
+    for b in (part for whole in batches for part in _slices(whole, 1)):
         cell, owner, start = _flat(b)
         yield _batch(cell[start], owner[start])
 
 
 def _crowded_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The points of cells that hold several within a batch."""
-    for b in batches:
+    """The points of cells that hold several within a slice."""
+    for b in (part for whole in batches for part in _slices(whole, 1)):
         cell, owner, start = _flat(b)
         several = ~(start & np.concatenate([start[1:], [True]])[:len(start)])
         yield _batch(cell[several], owner[several])
@@ -346,12 +361,12 @@ def _sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, 0)):
             ids, raw = [], []
             for h in in_parts(b.column(0), lambda texts: shingle_sets(texts, k)):
                 one = set_id(h)
                 if len(h) and one not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(one)
                     ids.append(one)
                     raw.append(h.tobytes())
@@ -457,7 +472,8 @@ def keep_first(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     everything = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
                            {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    keyed = docs.withColumn("_row", F.unhex(F.sha2(everything, 256)))
+    # the user's columns in one, so that none of their names can clash
+    keyed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.unhex(F.sha2(everything, 256)).alias("_row"))
     # the rows by key, and the first one of each text
     rows = keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")) \
         .select("_row", "doc_id", F.xxhash64("text").alias("text_key"))
@@ -471,4 +487,4 @@ def keep_first(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     again = rows.filter("n > 1").join(first, "_row", "left_semi").select("_row")
     apart = written(rows.join(first, "_row", "left_anti").select("_row").unionByName(again), "apart")
     one = keyed.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return keyed.join(apart, "_row", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(apart, "_row", "left_anti").unionByName(one).select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])
