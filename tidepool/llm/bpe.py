@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_column
+from .common import in_parts, map_column
 
-CACHE_ENTRIES = 300_000  # pre-tokens and token pairs remembered per task (memory bound)
+CACHE_ENTRIES = 300_000  # pre-tokens remembered per task, and a quarter of the token pairs (memory bound)
 _NEVER = 1 << 40
 
 
@@ -41,7 +41,7 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks), default=1)
         self.raw = {r: b for b, r in ranks.items()}
         self._edges: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left rank << 32 | right rank
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes ``token``; None if merging never makes it."""
@@ -81,7 +81,7 @@ class PrefixEncoder:
         merge inside ``a`` stands left of the border and wins a tie with it;
         one inside ``b`` stands right and loses it.
         """
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 32 | b)
         if known is None:
             left, right = self._edge(a, True), self._edge(b, False)
             known = left is not None and right is not None
@@ -99,21 +99,23 @@ class PrefixEncoder:
                     j += 1
             if len(self._pairs) >= 4 * CACHE_ENTRIES:
                 self._pairs.clear()
-            self._pairs[a, b] = known
+            self._pairs[a << 32 | b] = known
         return known
 
     def extend(self, data: bytes, last: list[int], upto: int) -> None:
         """Grow ``last`` (``last[e]``: the token that ends prefix ``e``) to ``upto``."""
-        get, fits = self.ranks.get, self.fits
+        get, pairs, longest = self.ranks.get, self._pairs, self.longest
         for end in range(len(last), upto + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = get(data[start:end])
                 if token is None:
                     continue
                 if start == 0:
                     if self._edge(token, True) is not None:
                         break
-                elif fits(last[start], token):
+                    continue
+                known = pairs.get(last[start] << 32 | token)
+                if known or known is None and self.fits(last[start], token):
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
@@ -175,18 +177,55 @@ class EditableEncoding:
 
 
 class _Pieces(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes, filled on first use."""
+    """Pre-token -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not known yet, in byte order: what a piece shares
+        with the one before is a stored prefix, and only its own bytes are appended."""
+        new = {p for p in pieces if p not in self}
+        if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-        made = np.array(self.encoder.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = made
-        return made
+            new = pieces
+        encoder, last, before = self.encoder, [-1], b""
+        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in new):
+            whole = encoder.ranks.get(data)
+            if whole is not None:
+                ids = [whole]
+            else:
+                shared, most = 0, min(len(data), len(before))
+                while shared < most and data[shared] == before[shared]:
+                    shared += 1
+                del last[shared + 1:]
+                encoder.extend(data, last, len(data))
+                ids, before = encoder.walk(last), data
+            self[piece] = np.array(ids, "<u4").tobytes()
+
+
+class Vocabulary:
+    """All tokens' bytes in one buffer, so that ids become bytes by one gather."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        top = max(ranks.values(), default=-1) + 1
+        self.size = np.full(top + 1, -1, np.int64)
+        self.first = np.zeros(top + 1, np.int64)
+        at, parts = 0, []
+        for token, rank in ranks.items():
+            self.size[rank], self.first[rank] = len(token), at
+            at += len(token)
+            parts.append(token)
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        size = self.size[np.minimum(ids, len(self.size) - 1)]
+        if (size < 0).any():
+            raise ValueError("an id outside the vocabulary")
+        end = np.cumsum(size)
+        if not len(end):
+            return b""
+        return self.bytes[np.repeat(self.first[ids] - (end - size), size) + np.arange(end[-1])].tobytes()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
@@ -203,9 +242,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         import regex
         split, pieces = regex.compile(pattern).findall, _Pieces(PrefixEncoder(vocabulary.value))
 
+        def part(texts: list) -> list[bytes]:
+            cut = [split(t or "") for t in texts]
+            pieces.learn(set().union(*cut))
+            return [b"".join(map(pieces.__getitem__, c)) for c in cut]
+
         def work(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array((b"".join(map(pieces.__getitem__, split(t.as_py() or ""))) for t in texts),
-                             pa.binary())]
+            return [pa.array(in_parts(texts, part), pa.binary())]
         return work
 
     return map_column(docs, text, T.StructType([_through(docs, text), T.StructField(ids, T.BinaryType())]),
@@ -219,11 +262,10 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids",
     vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        raw = {r: b for b, r in vocabulary.value.items()}
+        known = Vocabulary(vocabulary.value)
 
         def work(col: pa.Array) -> list[pa.Array]:
-            return [col, pa.array((b"".join(map(raw.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist()))
-                                   for v in col), pa.binary())]
+            return [col, pa.array((known.decode(np.frombuffer(v.as_py() or b"", "<u4")) for v in col), pa.binary())]
         return work
 
     return map_column(docs, ids, T.StructType([_through(docs, ids), T.StructField(decoded, T.BinaryType())]), make)
