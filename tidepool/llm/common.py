@@ -31,6 +31,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def shielded(df: DataFrame, keep: Iterable[str], added: Iterable[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` over the columns ``keep`` alone, the others packed in one column and put back
+    afterwards: whatever they are named, no name that ``work`` uses inside can clash with them.
+    The columns ``added`` come last; columns of ``df`` with their names are replaced."""
+    plain = without(df, added)
+    rest = [c for c in plain.columns if c not in keep]
+    packed = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    out = work(plain.select(*[f"`{c}`" for c in plain.columns if c in keep], packed.alias("_rest")))
+    return out.select(*[F.col("_rest").getField(c).alias(c) if c in rest else F.col(f"`{c}`") for c in plain.columns], *added)
+
+
 def map_column(df: DataFrame, column: str, added: T.StructType,
                make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Append columns computed from one column, batch by batch, on the executors.

@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, without
+from ..session import work_path
+from .common import ascii_lower, shielded
 
 # What is not part of a word, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3            # words in a shingle
-BROADCAST_ROWS = 200_000  # most rows of the prefix table that are sent to every executor
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20  # most rows, and bytes of words and ids, that are sent to every executor
 
 
 def words(text: Column) -> Column:
@@ -37,8 +38,10 @@ def _shingle(words_: Column, at: Column, size: int) -> Column:
 
 
 def _fits(df: DataFrame) -> bool:
-    """Whether a table is small enough to be sent to every executor."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether a written table is small enough to be sent to every executor."""
+    size = [F.octet_length(F.concat_ws(" ", c)) for c, t in df.dtypes if t.startswith("array")]
+    n, most = df.agg(F.count("*"), F.coalesce(F.sum(sum(size, F.lit(0))), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and most <= BROADCAST_BYTES
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -70,14 +73,21 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
         "gram", "items", "size", F.explode(F.sequence(F.lit(0), F.size("gram") - n)).alias("offset"))
         .withColumn("shingle", _shingle(F.col("gram"), F.col("offset"), n)) for n in sizes])
     # rarity over all documents, of the shingles that windows hold
-    wanted = places.select("shingle").distinct()
+    path = work_path(docs.sparkSession, "decontaminate")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """A table in the shared folder: computed once, however often it is used."""
+        df.write.parquet(f"{path}/{name}")
+        return docs.sparkSession.read.parquet(f"{path}/{name}")
+
+    wanted = written(places.select("shingle").distinct(), "wanted")
     wanted = F.broadcast(wanted) if _fits(wanted) else wanted
     counts = _union([shingles_of(docs.select("text"), n).select("shingle") for n in sizes]) \
         .join(wanted, "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
     # a window with a shingle that no document holds occurs nowhere
-    prefix = places.join(counts, "shingle", "left").groupBy("gram", "items", "size").agg(
+    prefix = written(places.join(counts, "shingle", "left").groupBy("gram", "items", "size").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("rarest")) \
-        .filter("rarest.n > 0").select("gram", "items", "size", "rarest.offset", "rarest.shingle")
+        .filter("rarest.n > 0").select("gram", "items", "size", "rarest.offset", "rarest.shingle"), "prefix")
     small, found = _fits(prefix), []
     start, size = F.col("_at") - F.col("offset"), F.size("gram")
     for n in sizes:
@@ -104,7 +114,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """Append n_words, n_hit, items (ids of occurring items as strings, sorted)
     and contaminated (some hit, and ``share * n_hit >= n_words``)."""
-    docs = without(docs, ("n_words", "n_hit", "items", "contaminated"))
+    return shielded(docs, ("text",), ("n_words", "n_hit", "items", "contaminated"), lambda d: _judged(d, items, window, share))
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
     # the same text has the same hits: texts are the key, so repeated rows and ids do no harm
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     occ = hits(docs.select(key.alias("key"), "text").filter(F.col("text").isNotNull()), items, window) \
