@@ -18,6 +18,9 @@ Scaled components beyond 2**27 are an error, for scores could overflow.
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +130,18 @@ class Block:
         return np.nonzero(flags)[0]
 
 
+def _search_wide(query_ids: list[int], queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The same for a block with components too wide for the slices: every row scored in
+    whole numbers of any size. Only a score among the best that is no long is an error."""
+    wide, out = x.astype(object), []
+    for qid, one in zip(query_ids, queries.astype(object)):
+        scored = heapq.nsmallest(k, ((-sum(map(operator.mul, row, one)), i) for row, i in zip(wide, ids.tolist()) if i != qid))
+        if any(not -1 << 63 <= -s < 1 << 63 for s, _ in scored):
+            raise ValueError("a score beyond 64 bits")
+        out.append(pd.DataFrame({"query_id": qid, "vec_id": [i for _, i in scored], "score": [-s for s, _ in scored]}, dtype="int64"))
+    return pd.concat(out)
+
+
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of one block for each query."""
     empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
@@ -134,9 +149,10 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
         return empty
     x = np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1)
     q = np.array(queries["v"].tolist(), np.int64).reshape(len(queries), -1)
-    if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) > 1 << 27:
-        raise ValueError("scaled components beyond 2**27")
-    ids, block = rows["vec_id"].to_numpy(np.int64), Block(x) if x.shape[1] else None
+    ids = rows["vec_id"].to_numpy(np.int64)
+    if max(int(x.max(initial=0)), -int(x.min(initial=0)), int(q.max(initial=0)), -int(q.min(initial=0))) > 1 << 27:
+        return _search_wide(queries["vec_id"].tolist(), q, ids, x, k)
+    block = Block(x) if x.shape[1] else None
     place = {}
     for i, v in enumerate(ids.tolist()):
         place.setdefault(v, []).append(i)

@@ -93,8 +93,10 @@ def shard(rows: DataFrame, shards: int, weight: Column, dims: dict[str, Column],
     rows = without(rows, ("shard", "slot"))
     staged = work_path(spark, "kdshards")
     names = [f"_d{i}" for i in range(len(dims))]
-    rows.withColumns({"_w": weight, **{n: c.cast("long") for n, c in zip(names, dims.values())},
-                      "_o": F.xxhash64(*order).bitwiseAND(F.lit((1 << 31) - 1))}).write.parquet(f"{staged}/rows")
+    # the user's columns in one, so that none of their names can clash; a row's place divides equal rows
+    rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_rest"), weight.alias("_w"),
+                *[c.cast("long").alias(n) for n, c in zip(names, dims.values())], order[0].alias("_first"),
+                F.xxhash64(*order, F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 31) - 1)).alias("_o")).write.parquet(f"{staged}/rows")
     base = spark.read.parquet(f"{staged}/rows")
     dims_all = [*names, "_o"]
     points = base.select(*[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in dims_all], F.col("_w").alias("weight"))
@@ -162,7 +164,7 @@ def shard(rows: DataFrame, shards: int, weight: Column, dims: dict[str, Column],
     shard_of = _of_node(done, "int", "_node") if done else F.lit(0)
     out = base.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in dims_all}).withColumn("_node", node) \
         .withColumn("shard", shard_of).drop("_node", "_w", *names)
-    return number(out, f"{staged}/placed").drop("_o")
+    return number(out, f"{staged}/placed").select(*[F.col("_rest").getField(c).alias(c) for c in rows.columns], "shard", "slot")
 
 
 def _walk(n: int, rules: dict[int, tuple[Column, int, int]]) -> Column:
@@ -183,7 +185,6 @@ def number(rows: DataFrame, path: str) -> DataFrame:
     sizes = rows.groupBy("shard", "_run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     start = sizes.select("shard", "_run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    order = [F.col(c) for c, t in rows.dtypes if c == "doc_id"] + [F.col("_o")]
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_run").orderBy(*order))) \
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_run").orderBy("_first", "_o"))) \
         .join(start, ["shard", "_run"]).withColumn("slot", (F.col("_start") + F.col("_n") - 1).cast("long")) \
-        .drop("_run", "_n", "_start")
+        .drop("_run", "_n", "_start", "_first", "_o")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import shielded
 
 BROADCAST_ROWS = 50_000
 BROADCAST_RUNS = 1_000_000
@@ -260,7 +260,10 @@ def outermost(hits: Column) -> Column:
 
 def scan(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Append sentence_ids (known ones, in order) and licences."""
-    docs = without(docs, ("sentence_ids", "licences"))
+    return shielded(docs, ("text",), ("sentence_ids", "licences"), lambda d: _scanned(d, known, rules))
+
+
+def _scanned(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     # the text is the key, so repeated rows and ids do no harm
     key = F.sha2(F.col("text"), 256)
     said = docs.filter(F.col("text").isNotNull()).select(

@@ -49,7 +49,7 @@ IBAN_SIZES = {c: int(n) for n, cs in {
     "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM",
     "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC",
     "33": "RU"}.items() for c in cs.split()}
-_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 # The value of a key is quoted, or goes on to a space or a sign that stands between values.
 _SECRET = re.compile(r"""
@@ -253,9 +253,11 @@ class Pseudonymiser:
         found = []
         at = text.find("@")
         while at >= 0:
-            a, b = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-            if a and b:
-                found.append((a.start(), b.end(), "email"))
+            a, b = at, _DOMAIN.match(text, at + 1)
+            while b and a and text[a - 1] in _LOCAL:  # no "@" in it, so no sign is passed twice
+                a -= 1
+            if b and a < at:
+                found.append((a, b.end(), "email"))
             at = text.find("@", at + 1)
         for m in _SECRET.finditer(text):
             found.append((*m.span(m.lastindex), "secret"))

@@ -160,7 +160,7 @@ class Scorer:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list, list]:
     """At most ``per_class`` rows of either label, by hash of the id, for the
-    driver to learn from. The bound holds whatever the input's size."""
+    driver to learn from, one text of each id. The bound holds whatever the input's size."""
     low = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     ids = None
     for k in (0, 1):
@@ -168,7 +168,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
         ids = part if ids is None else ids.unionByName(part)
     rows = (docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-            .join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").toPandas())
+            .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+            .orderBy("doc_id").toPandas())
     return rows["text"].tolist(), [int(x) for x in rows["label"]]
 
 

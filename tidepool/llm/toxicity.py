@@ -211,10 +211,22 @@ def distinct(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]
     return [t for t, _ in first.values()], [y for _, y in first.values()]
 
 
+def forms_of(sentence: set[str] | list[str], s: Settings) -> list[str]:
+    """The plain words of a sentence; a long one in the overlapping pieces that are scored, too."""
+    out = set()
+    for f in filter(None, map(plain, sentence)):
+        out.update([f] if len(f) <= s.longest else pieces_of(f, s))
+    return sorted(out)
+
+
+def pieces_of(form: str, s: Settings) -> list[str]:
+    return [form[at:at + s.longest] for at in range(0, len(form) - s.longest // 2, s.longest // 2)]
+
+
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
     texts, labels = distinct(texts, labels)
-    split = [[sorted({p for p in map(plain, sent) if p}) for sent in sentences(t)] for t in texts]
+    split = [[forms_of(sent, s) for sent in sentences(t)] for t in texts]
     bags = [sorted({w for sent in doc for w in sent}) for doc in split]
     toxic = [b for b, y in zip(bags, labels) if y == 1 and b]
     clean = [b for b, y in zip(bags, labels) if y == 0 and b]
@@ -307,7 +319,7 @@ class Scorer:
         margins = self.model.margins(forms)
         for i, f in enumerate(forms):
             if len(f) > longest:  # overlapping pieces of a long word
-                margins[i] = self.model.margins([f[at:at + longest] for at in range(0, len(f) - longest // 2, longest // 2)]).max()
+                margins[i] = self.model.margins(pieces_of(f, self.model.settings)).max()
             elif not f:
                 margins[i] = self.model.bias
         self.known.update(zip(names, margins.tolist()))

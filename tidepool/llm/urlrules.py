@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from .common import ascii_lower, without
+from .common import ascii_lower, shielded
 
 _LAST = "\U0010FFFF"  # sorts after every character of a host
 
@@ -50,8 +50,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     ``rules``: columns host, path, verdict. A rule's name is host followed by path.
     """
+    return shielded(pages, (url,), ("host", "path", "rule", "verdict"), lambda p: _judged(p, rules, url, default))
+
+
+def _judged(pages: DataFrame, rules: DataFrame, url: str, default: str) -> DataFrame:
     spark = pages.sparkSession
-    pages = without(pages, ("host", "path", "rule", "verdict"))
     # rows keep a number of their own through the sweep: a table written once,
     # so that a task that runs again finds the same numbers
     staged = work_path(spark, "urlrules")
