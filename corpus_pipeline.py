@@ -15,11 +15,25 @@ from tidepool.session import work_path
 from tidepool.sources.tables import load
 
 
+def _boxed(docs: DataFrame) -> DataFrame:
+    """``text``, and all other columns in one (``rest``): no column of the caller's can
+    clash with those that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("text", F.struct(*rest).alias("rest"))
+
+
+def _unboxed(done: DataFrame, docs: DataFrame) -> DataFrame:
+    return done.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose worst sentence scores as toxic (0.7 or more)."""
+    """Rejects documents whose worst sentence scores as toxic (0.7 or more).
+
+    Null and empty texts score as the model's bias alone and stay; rows of one text
+    fare alike; an empty table, or one without both labels, loses nothing."""
     model = toxicity.fit(load(spark, sf_dir, "documents"), queries.learnable(spark, sf_dir))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < model.settings.threshold).select(*docs.columns)
+    scored = toxicity.score(_boxed(docs), model, out="toxicity")
+    return _unboxed(scored.filter(F.col("toxicity") < model.settings.threshold), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,21 +43,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of which benchmark windows cover a twentieth or more."""
-    judged = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    """Rejects documents of which benchmark windows cover a twentieth or more.
+
+    Null and empty texts have no words and stay; rows of one text fare alike; an
+    empty table, or an empty benchmark, loses nothing."""
+    judged = decontaminate.decontaminate(_boxed(docs), load(spark, sf_dir, "benchmark"))
+    return _unboxed(judged.filter(~F.col("contaminated")), docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts pseudonyms for personal values; n_chars follows the new text."""
-    done = pseudonyms.pseudonymise(docs, queries.PSEUDONYM_KEY)
+    """Puts pseudonyms for personal values; n_chars follows the new text (null for a null one).
+
+    Keeps every row; null and empty texts and all other columns stay as they are."""
+    done = _unboxed(pseudonyms.pseudonymise(_boxed(docs), queries.PSEUDONYM_KEY), docs)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (little-endian 32-bit), their count, and digests."""
+    """Token ids of each document (little-endian 32-bit), their count, and digests.
+
+    A row for every row, repeated ones included; a null text has the ids of the empty one: none."""
     ranks, pattern = queries.bpe_parts()
     coded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
     return bpe.decode(coded, ranks).select(
