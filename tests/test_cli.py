@@ -16,11 +16,6 @@ def test_cli_commands(spark, capsys, tmp_path):
     assert "25" in capsys.readouterr().out
     lines = tmp_path / "lines.txt"
     lines.write_text("first\nsecond\nthird\n")
-    cli.main(base + ["topic", "create", "t1", "2"])
-    cli.main(base + ["produce", "t1", str(lines)])
-    cli.main(base + ["consume", "t1"])
-    out = capsys.readouterr().out
-    assert all(w in out for w in ("first", "second", "third"))
     cli.main(base + ["tail", str(lines), "2"])
     out = capsys.readouterr().out
     assert "second" in out and "third" in out and "first" not in out
@@ -30,6 +25,21 @@ def test_cli_commands(spark, capsys, tmp_path):
     cli.main(base + ["index", "add", "idx1", '{"message": "hello", "n": 1}'])
     cli.main(base + ["index", "count", "idx1"])
     assert re.search(r"\|\s*2\s*\|", capsys.readouterr().out)
+    cli.main(base + ["index", "search", "idx1", "hello"])
+    out = capsys.readouterr().out
+    assert "hello" in out and "test document" not in out
+    cli.main(base + ["index", "list"])
+    assert re.search(r"idx1\s*\|\s*2\s*\|\s*2\s*\|", capsys.readouterr().out)
+    cli.main(base + ["index", "compact", "idx1"])
+    cli.main(base + ["index", "drop", "idx1"])
+    cli.main(base + ["index", "list"])
+    assert "idx1" not in capsys.readouterr().out
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("one\ntwo\nhal")
+    cli.main(base + ["follow", str(folder), "--seconds", "6"])
+    out = capsys.readouterr().out.split()
+    assert "one" in out and "two" in out and "hal" not in out
     cli.main(base + ["pi", "4"])
     assert "pi" in capsys.readouterr().out
     assert os.path.isabs(root.replace("file:", "")) or "://" in root
@@ -39,8 +49,7 @@ def test_cli_collections_and_snapshots(spark, capsys, tmp_path):
     root = work_path(spark, "t_cli2")
     base = ["--root", root, "--rows", "50"]
     src = tmp_path / "users.json"
-    src.write_text('[{"name": "Alice", "email": "alice@example.com", "age": 30},'
-                   ' {"name": "Bob", "email": "bob@example.com", "age": 25}]')
+    src.write_text('[{"name": "Customer#1", "segment": "BUILDING", "size": 7}, {"name": "Customer#2", "segment": "AUTO", "size": 5}]')
     cli.main(base + ["create-db", "cli_app", "analyst"])
     cli.main(base + ["import", "--array", str(src), "cli_app", "users"])
     assert re.search(r"\|\s*2\s*\|", capsys.readouterr().out)

@@ -10,7 +10,6 @@ from tidepool.functions.text import BM25_B, BM25_K1, query_terms
 from tidepool.operators import search
 from tidepool.operators import snapshot as B
 from tidepool.session import work_path
-from tidepool.sources import topics
 
 try:
     import regex as _re
@@ -62,26 +61,6 @@ def test_bm25_equals_brute_force(spark, texts, query):
     assert all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got, want))
 
 
-@SETTINGS
-@given(parts=st.integers(1, 5), sizes=st.lists(st.integers(0, 60), min_size=1, max_size=3),
-       hot=st.booleans())
-def test_topic_offsets_dense_for_any_batches(spark, parts, sizes, hot):
-    root = work_path(spark, "p_topics")
-    topics.create_topic(spark, root, "t", partitions=parts)
-    for n in sizes:
-        key = F.lit("k") if hot else F.col("id").cast("string")
-        topics.produce(spark, root, "t", spark.range(0, n, numPartitions=3), key=key)
-    m = topics.consume(spark, root, "t")
-    per = m.groupBy("partition").agg(F.count(F.lit(1)).alias("n"),
-                                     F.countDistinct("offset").alias("nd"),
-                                     F.min("offset").alias("lo"), F.max("offset").alias("hi"))
-    total = 0
-    for r in per.collect():
-        assert r["n"] == r["nd"] == r["hi"] + 1 and r["lo"] == 0
-        total += r["n"]
-    assert total == sum(sizes)
-
-
 @SETTINGS
 @given(a=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 3)),
                   max_size=10),

@@ -4,13 +4,14 @@
 
 Commands mirror the usual service commands: ``sql``, ``list-db``,
 ``list-tables``, ``create-db``, ``import``, ``export``, ``backup``,
-``restore``, ``expired``, ``search``, ``index``, ``topic``, ``produce``,
-``consume``, ``tail``, ``stats``, ``pi``. Each builds its plan from the
+``restore``, ``expired``, ``expire``, ``search``, ``index``, ``tail``, ``follow``,
+``stats``, ``pi``. Each builds its plan from the
 operators in this package; printing shows all rows, or at most ``--rows``, the
 only data that reaches the driver.
 
-``--root`` is where topics, snapshots and databases live; it defaults to
-the session's ``spark.checkpoint.dir``.
+``--root`` is where indexes, snapshots and databases live; it defaults to
+the session's ``spark.checkpoint.dir``. Databases outlive a command: each
+command finds those that earlier ones made below it.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import catalog, docquery, jobs, search, snapshot
+from .operators import catalog, docquery, jobs, search, snapshot, textindex
 from .operators.sqlpass import run_sql
 from .session import build_session, shared_root
-from .sources import jsonio, logs, topics
+from .sources import jsonio, logs
 from .sources.tables import TABLES, register_views
+from .streaming import appended
 
 
 def _show(df: DataFrame, rows: int) -> None:
@@ -56,15 +58,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--field", default="text"); p.add_argument("--id", default="doc_id")
     p.add_argument("--from", dest="start", type=int, default=None)
     p.add_argument("--size", type=int, default=None)
-    p = sub.add_parser("index"); p.add_argument("action", choices=["create", "delete", "add", "count"])
-    p.add_argument("name"); p.add_argument("json", nargs="?")
-    p.add_argument("--key", default="_id"); p.add_argument("--shards", type=int, default=1)
-    p = sub.add_parser("topic"); p.add_argument("action", choices=["create", "list"])
-    p.add_argument("name", nargs="?", default=topics.DEFAULT_TOPIC)
-    p.add_argument("partitions", nargs="?", type=int, default=topics.DEFAULT_PARTITIONS)
-    p.add_argument("replicas", nargs="?", type=int, default=topics.DEFAULT_REPLICAS)
-    p = sub.add_parser("produce"); p.add_argument("topic"); p.add_argument("path")
-    p = sub.add_parser("consume"); p.add_argument("topic")
+    p = sub.add_parser("expire"); p.add_argument("--days", type=int, default=snapshot.RETENTION_DAYS)
+    p = sub.add_parser("index")
+    p.add_argument("action", choices=["create", "drop", "add", "delete", "search", "count", "compact", "list"])
+    p.add_argument("name", nargs="?"); p.add_argument("value", nargs="?")
+    p.add_argument("--field", default="message"); p.add_argument("--size", type=int, default=10)
+    p = sub.add_parser("follow"); p.add_argument("path"); p.add_argument("--seconds", type=int, default=None)
     p = sub.add_parser("tail"); p.add_argument("path"); p.add_argument("lines", nargs="?", type=int,
                                                                       default=logs.DEFAULT_TAIL)
     p = sub.add_parser("stats"); p.add_argument("table")
@@ -78,6 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     root = (a.root or shared_root(spark)).rstrip("/")
     if a.tables:
         register_views(spark, a.tables, TABLES)
+    catalog.attach(spark, f"{root}/db")
     n = a.rows
 
     if a.cmd == "sql":
@@ -88,6 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         _show(catalog.list_tables(spark, a.db), n)
     elif a.cmd == "create-db":
         catalog.create_db(spark, a.name, owner=a.owner, location=f"{root}/db/{a.name}")
+        catalog.describe_db(spark, a.name, a.owner, f"{root}/db/{a.name}")
     elif a.cmd == "import":
         _show(docquery.count_docs(jsonio.import_json(spark, a.path, f"{a.db}.{a.coll}", array=a.array)), n)
     elif a.cmd == "export":
@@ -112,32 +113,45 @@ def main(argv: list[str] | None = None) -> int:
                                      id_col=a.id), n)
         else:
             _show(search.match(docs, a.text, field=a.field, id_col=a.id), n)
+    elif a.cmd == "expire":
+        _show(snapshot.expire(spark, f"{root}/snapshots", days=a.days).select("snapshot_id", "table", "rows"), n)
     elif a.cmd == "index":
         path = f"{root}/indexes/{a.name}"
         if a.action == "create":
-            catalog.create_index(spark, a.name, f"`{a.key}` STRING, doc VARIANT", a.key, a.shards)
-        elif a.action == "delete":
-            catalog.drop_index(spark, a.name)
-        elif a.action == "add":  # one document, the default one when none is given
-            docs = (spark.createDataFrame([(a.json,)], "json string") if a.json
+            textindex.create(spark, path)
+        elif a.action == "drop":
+            textindex.drop(spark, path)
+        elif a.action == "add":  # one document, the default one when none is given; makes the index
+            if not textindex.exists(spark, path):
+                textindex.create(spark, path)
+            docs = (spark.createDataFrame([(a.value,)], "json string") if a.value
                     else jsonio.default_doc(spark))
-            jsonio.index_docs(docs, "json", path)
+            textindex.append(textindex.json_documents(docs, "json"), path)
+        elif a.action == "delete":
+            print(textindex.delete(spark, path, spark.createDataFrame([(a.value,)], "_id string")))
+        elif a.action == "search":
+            found = textindex.search(spark, path, a.value or "*", field=a.field, k=a.size)
+            _show(found.join(textindex.documents(spark, path), "_id").orderBy(F.desc("score"), "_id"), n)
+        elif a.action == "compact":
+            textindex.compact(spark, path)
+        elif a.action == "list":
+            _show(textindex.listing(spark, f"{root}/indexes"), n)
         else:
-            _show(docquery.count_docs(spark.read.parquet(path)), n)
-    elif a.cmd == "topic":
-        if a.action == "create":
-            topics.create_topic(spark, f"{root}/topics", a.name, a.partitions, a.replicas)
+            _show(docquery.count_docs(textindex.documents(spark, path)), n)
+    elif a.cmd == "follow":  # until stopped, or for some seconds
+        lines = appended.follow(spark, a.path).select("value")
+        q = lines.writeStream.foreachBatch(lambda b, _: [print(r["value"], flush=True) for r in b.toLocalIterator()]).start()
+        if a.seconds is None:
+            q.awaitTermination()
         else:
-            _show(topics.list_topics(spark, f"{root}/topics"), n)
-    elif a.cmd == "produce":
-        print(topics.produce_text(spark, f"{root}/topics", a.topic, a.path))
-    elif a.cmd == "consume":
-        _show(topics.consume(spark, f"{root}/topics", a.topic).orderBy("partition", "offset"), n)
+            q.awaitTermination(a.seconds)
+            q.stop()
     elif a.cmd == "tail":
         lines = spark.read.text(a.path).select(
             F.col("_metadata.file_modification_time").alias("ts"),
             F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("seq"), "value")
+            F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value") \
+            .withColumn("seq", F.struct("file", "start", "place"))  # files of one time by name, then by the place in the file
         _show(logs.tail(lines, "ts", "seq", a.lines).select("value"), a.lines)
     elif a.cmd == "stats":
         _show(catalog.table_stats(spark.table(a.table), a.table), n)

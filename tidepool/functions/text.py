@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-try:
-    import regex as _re  # supports \p{L} / \p{N} like the JVM pattern
-except ImportError:  # pragma: no cover
-    _re = None
-
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Tokeniser rule. Lower-case, then split on every run of
@@ -37,17 +32,10 @@ def token_count(raw: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query string, same rule as ``tokens``, first-seen order."""
-    if _re is not None:
-        pieces = _re.split(TOKEN_SPLIT, query.lower())
-    else:  # pragma: no cover
-        import re
-        pieces = re.split(r"[\W_]+", query.lower())
-    seen: list[str] = []
-    for t in pieces:
-        if t and t not in seen:
-            seen.append(t)
-    return seen
+    """Distinct terms of a query string, by the documents' own expression, first-seen order.
+    (Of one literal row, which Spark folds: no job runs.)"""
+    one = SparkSession.active().sql("SELECT 1").select(F.array_distinct(tokens(F.lit(query))))
+    return list(one.first()[0])
 
 
 def term_count(raw: Column, term: str) -> Column:

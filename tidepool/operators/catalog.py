@@ -59,6 +59,39 @@ def create_db(spark: SparkSession, name: str, owner: str | None = None,
     spark.sql(q)
 
 
+ABOUT = "_about"
+
+
+def describe_db(spark: SparkSession, name: str, owner: str | None, location: str) -> None:
+    """Write beside a database's tables what ``attach`` needs to know of it."""
+    spark.createDataFrame([(name, owner)], "name string, owner string").coalesce(1).write.mode("overwrite").json(f"{location}/{ABOUT}")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory() and not s.getPath().getName().startswith("_temporary")]
+
+
+def attach(spark: SparkSession, root: str) -> list[str]:
+    """Name the databases below ``root``, and their Parquet tables, in this session's catalog:
+    what one command made, the next one finds, whatever the catalog behind the session."""
+    there = {r["namespace"] for r in list_databases(spark).collect()}  # names only
+    found = _folders(spark, root)
+    for name in found:
+        location = f"{root}/{name}"
+        inside = _folders(spark, location)
+        if name not in there:
+            owner = spark.read.schema("name string, owner string").json(f"{location}/{ABOUT}").first() if ABOUT in inside else None
+            create_db(spark, name, owner=owner and owner["owner"], location=location, if_not_exists=True)
+        known = {r["tableName"] for r in list_tables(spark, name).collect()}
+        for table in (t for t in inside if t != ABOUT and t.lower() not in known):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {_ident(name)}.{_ident(table)} USING parquet LOCATION {_str_lit(f'{location}/{table}')}")
+    return found
+
+
 def db_properties(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"DESCRIBE DATABASE EXTENDED {_ident(name)}")
 

@@ -18,6 +18,7 @@ import datetime as _dt
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,9 @@ def new_snapshot_id(now: _dt.datetime | None = None) -> str:
 
 
 def backup(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, db: str,
-           snapshot_id: str | None = None, compression: str = "snappy") -> str:
-    """Write every table of ``tables`` and append its manifest row; return the id."""
+           snapshot_id: str | None = None, compression: str = "snappy", created: Column | None = None) -> str:
+    """Write every table of ``tables`` and append its manifest row (with the time
+    ``created``, now where left out); return the id."""
     sid = snapshot_id or new_snapshot_id()
     root = root.rstrip("/")
     for name, df in tables.items():
@@ -58,7 +60,7 @@ def backup(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, db:
         written = spark.read.parquet(path)
         manifest = written.agg(F.count(F.lit(1)).alias("rows"), checksum(written).alias("checksum"))
         (manifest.select(F.lit(sid).alias("snapshot_id"),
-                         F.current_timestamp().alias("created"),
+                         (F.current_timestamp() if created is None else created.cast("timestamp")).alias("created"),
                          F.lit(db).alias("db"), F.lit(name).alias("table"),
                          "rows", F.lit(written.schema.json()).alias("schema_json"), "checksum")
          .write.mode("append").parquet(f"{root}/_manifest"))
@@ -66,7 +68,81 @@ def backup(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, db:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/_manifest")
+    """The snapshots that are there: those marked for deletion are not among them."""
+    rows, gone = spark.read.parquet(f"{root.rstrip('/')}/_manifest"), _retired(spark, root)
+    return rows if gone is None else rows.join(gone.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+
+
+_RETIRED = "snapshot_id string, state string, at timestamp"
+
+
+def _retired(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_RETIRED).parquet(f"{root.rstrip('/')}/_retired")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def expire(spark: SparkSession, root: str, now: Column | None = None, days: int = RETENTION_DAYS) -> DataFrame:
+    """Delete the snapshots that ``expired`` names; the manifest of those left.
+
+    Two steps: they are marked (from then on no reader sees them), then their
+    folders are deleted and that is noted. A run that stopped between the two, or in the
+    middle of the second, is finished by the next one."""
+    root = root.rstrip("/")
+
+    def note(rows: DataFrame, state: str) -> None:
+        rows.select("snapshot_id", F.lit(state).alias("state"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/_retired")
+
+    due = expired(manifest(spark, root), now, days).select("snapshot_id").distinct()
+    if due.limit(1).count():
+        note(due, "marked")
+    gone = _retired(spark, root)
+    if gone is not None:
+        left = gone.groupBy("snapshot_id").agg(F.max(F.col("state") == "deleted").alias("deleted")).filter("NOT deleted").select("snapshot_id")
+        for r in left.toLocalIterator():  # a folder each, deleted by the file system
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['snapshot_id']}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            note(spark.createDataFrame([(r["snapshot_id"],)], "snapshot_id string"), "deleted")
+    return manifest(spark, root)
+
+
+# --- B04: diff by a checksum tree ------------------------------------------------
+
+BUCKETS, LEAVES = 64, 64  # folders of a tree, and leaves in each
+
+
+def write_tree(df: DataFrame, path: str) -> None:
+    """Write ``df`` in folders by its row hash, with a multiset checksum for each folder and leaf.
+
+    A folder's rows are spread over several tasks, so that a row that repeats very often is no hot key."""
+    h = row_hash(df)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(8))
+    df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), h.alias("hash"),
+              F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket"), F.pmod(F.shiftright(h, 20), F.lit(LEAVES)).cast("int").alias("leaf")) \
+        .repartition("bucket", salt).write.partitionBy("bucket").parquet(f"{path}/rows")
+    df.sparkSession.read.parquet(f"{path}/rows").groupBy("bucket", "leaf") \
+        .agg(F.count("*").alias("n"), F.sum(F.col("hash").cast("decimal(38,0)")).alias("checksum")).write.parquet(f"{path}/tree")
+
+
+def unequal(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
+    """(bucket, leaf) whose rows differ, from the two small tables of checksums alone."""
+    side = lambda p, name: spark.read.parquet(f"{p}/tree").select("bucket", "leaf", F.struct("n", "checksum").alias(name))
+    return side(path_a, "a").join(side(path_b, "b"), ["bucket", "leaf"], "full").filter("NOT a <=> b").select("bucket", "leaf")
+
+
+def diff_tree(spark: SparkSession, path_a: str, path_b: str) -> DataFrame:
+    """As ``diff``, of two trees with the same columns: only the folders that hold an unequal leaf are read."""
+    leaves = unequal(spark, path_a, path_b)
+    buckets = sorted(r[0] for r in leaves.select("bucket").distinct().collect())  # at most BUCKETS numbers
+
+    def rows(path: str) -> DataFrame:
+        all_ = spark.read.parquet(f"{path}/rows")
+        return all_.filter(F.col("bucket").isin(buckets)).join(F.broadcast(leaves), ["bucket", "leaf"], "left_semi").select("row.*")
+
+    return diff(rows(path_a), rows(path_b))
 
 
 def restore(spark: SparkSession, root: str, snapshot_id: str, target_db: str,
@@ -115,7 +191,7 @@ def expired(manifest_df: DataFrame, now: Column | None = None, days: int = RETEN
             created: str = "created") -> DataFrame:
     """Snapshots ``find -mtime +days`` would delete: whole-day age > ``days``.
 
-    Returns the rows; deleting them is the caller's separate step.
+    Returns the rows; ``expire`` deletes them.
     """
     now = now if now is not None else F.current_timestamp()
     return (manifest_df.withColumn("age_days", age_days(F.col(created), now))

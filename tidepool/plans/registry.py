@@ -15,6 +15,7 @@ _MODULES = (
     "snapshot_q",
     "stream_q",
     "jobs_q",
+    "ordered_q",
 )
 
 

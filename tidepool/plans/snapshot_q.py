@@ -56,11 +56,31 @@ def snapshot_diff(spark, sf_dir):
     return B.diff(a, b)
 
 
+def snapshot_diff_tree(spark, sf_dir):
+    """The same difference from two trees of checksums; equal folders are not read."""
+    a = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    paths = [work_path(spark, "tree", side) for side in "ab"]
+    for df, path in zip((a, _changed_orders(a)), paths):
+        B.write_tree(df, path)
+    return B.diff_tree(spark, *paths)
+
+
+def snapshot_expire(spark, sf_dir):
+    """Three snapshots, of which the one older than seven days goes."""
+    root, taken = work_path(spark, "snapshots"), {"old": "2024-01-10 00:00:00", "week": "2024-01-13 00:00:00", "new": "2024-01-20 00:00:00"}
+    for sid, at in taken.items():
+        B.backup(spark, {"nation": load(spark, sf_dir, "nation"), "orders": load(spark, sf_dir, "orders")}, root, "tpch", snapshot_id=sid, created=F.lit(at))
+    left = B.expire(spark, root, now=F.lit(RETENTION_NOW).cast("timestamp"))
+    return left.select("snapshot_id", "table", "rows")
+
+
 QUERIES = {
     "snapshot_manifest": snapshot_manifest,
     "snapshot_restore": snapshot_restore,
     "snapshot_retention": snapshot_retention,
     "snapshot_diff": snapshot_diff,
+    "snapshot_diff_tree": snapshot_diff_tree,
+    "snapshot_expire": snapshot_expire,
 }
 
 _B = """(SELECT o_orderkey, o_orderstatus,
@@ -88,3 +108,8 @@ SELECT *, 'left_only' AS side FROM (SELECT * FROM {_A} a EXCEPT ALL SELECT * FRO
 UNION ALL
 SELECT *, 'right_only' AS side FROM (SELECT * FROM {_B} b EXCEPT ALL SELECT * FROM {_A} a)""",
 }
+
+ORACLE["snapshot_diff_tree"] = ORACLE["snapshot_diff"]
+ORACLE["snapshot_expire"] = """
+SELECT s AS snapshot_id, t AS "table", n AS rows FROM (SELECT unnest(['week', 'new']) AS s),
+  (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders)"""

@@ -7,7 +7,7 @@ user passes to Q01; the DuckDB text is the independent oracle.
 from __future__ import annotations
 
 from ..operators.sqlpass import run_sql
-from ..session import work_path
+from ..session import prepare, work_path
 from ..sources.tables import load
 
 SQL: dict[str, tuple[list[str], str]] = {}
@@ -581,13 +581,10 @@ LEVEL_LIMIT = "spark.sql.cteRecursionLevelLimit"
 def _recursive(spark, sf_dir):
     """Runs with a level for each order of the longest chain (100 at least), and writes the result, as the limit holds for this statement only."""
     longest = load(spark, sf_dir, "orders").groupBy("o_custkey").count().agg({"count": "max"}).first()[0] or 0
-    before = spark.conf.get(LEVEL_LIMIT, "100")
     path = work_path(spark, "recursive")
-    spark.conf.set(LEVEL_LIMIT, str(max(100, longest + 2)))
-    try:
-        run_sql(spark, SQL["sql_recursive"][0], sf_dir=sf_dir).write.parquet(path)
-    finally:
-        spark.conf.set(LEVEL_LIMIT, before)
+    own = prepare(spark.newSession())  # the limit is this statement's: other threads of the session keep theirs
+    own.conf.set(LEVEL_LIMIT, str(max(100, longest + 2)))
+    run_sql(own, SQL["sql_recursive"][0], sf_dir=sf_dir).write.parquet(path)
     return spark.read.parquet(path)
 
 

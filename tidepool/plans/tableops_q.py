@@ -6,7 +6,7 @@ label maps, log lines), never a fixed literal input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tableops as T
@@ -123,7 +123,11 @@ def json_pretty(spark, sf_dir):
 
 
 def server_log_lines(ev: DataFrame) -> DataFrame:
-    """Server log text built from ``events``: one line per event.
+    return ev.select(server_log_line().alias("value"))
+
+
+def server_log_line() -> Column:
+    """Server log text of a row of ``events``: one line per event.
 
     Error events become continuation lines that the prefix does not match;
     signups have an empty user, views an empty app; every message holds
@@ -142,7 +146,7 @@ def server_log_lines(ev: DataFrame) -> DataFrame:
         F.lit(" LOG:  statement: UPDATE t SET v="), F.col("event_id").cast("string"),
         F.lit(", k="), F.get_json_object("props", "$.k"))
     cont = F.concat(F.lit("\tcontinued statement "), F.col("event_id").cast("string"))
-    return ev.select(F.when(et == "error", cont).otherwise(line).alias("value"))
+    return F.when(et == "error", cont).otherwise(line)
 
 
 def log_summary(parsed: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """JSON collections: import (S01), export (S02), document insert (S10) and
 index append of JSON text (S09).
 
-Scale notes. One JSON array is one record to the reader, so a single array
-file is parsed by one task; the export therefore writes one array per part
-file (``array=True``) or JSON Lines (default), and the import reads a folder
-of such files, one task per file. Every read passes a schema when the caller
+Scale notes. Files that hold one JSON array are cut into objects in parallel
+(``jsonarray``) and then read like JSON Lines; the export writes one array per part
+file (``array=True``) or JSON Lines (default). Every read passes a schema when the caller
 has one, which saves the inference pass over the data.
 
 ``timestamp_ntz`` columns: the JSON writer keeps milliseconds by default, so
@@ -21,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import _framing
+from ..session import work_path
+from . import _framing, jsonarray
 
 # Executors import nothing of this package: the mapInPandas function is
 # shipped by value with the task.
@@ -69,16 +69,14 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: StructType
     """Read JSON Lines or, with ``array``, files that each hold one array.
 
     A malformed or mistyped document fails the read unless ``mode`` says
-    otherwise. With ``array`` every file is one task, and a file that is not
-    one array is an error (of a file of lines only the first would be read).
+    otherwise. With ``array`` the files are read in byte ranges, whatever their
+    sizes, and a file that is not one array of objects is an error.
     """
     r = spark.read.options(**_JSON_OPTS).option("mode", mode)
     if array:
-        whole = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
-        other = whole.filter(~F.col("value").rlike(r"\A\s*\[")).limit(1).count()
-        if other:
-            raise ValueError(f"{path}: a file does not hold a JSON array; import it as JSON Lines")
-        r = r.option("multiLine", True)
+        lines = work_path(spark, "json_lines")
+        jsonarray.objects(spark, path).write.text(lines)
+        path = lines
     if schema is not None:
         r = r.schema(schema)
     return r.json(path if isinstance(path, str) else list(path))
@@ -111,6 +109,26 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def insert_mixed(docs: DataFrame, json_col: str, path: str) -> None:
+    """``insertMany`` of documents whose fields change their type: the documents are kept as
+    ``VARIANT``, so a field may be a number here and a text or an object there. Text that is no JSON is an error."""
+    docs.select(F.parse_json(json_col).alias("doc")).write.mode("append").parquet(path)
+
+
+def mixed_field(path: str, kind: str) -> Column:
+    """A field of ``doc`` where it is of this type (``bigint``, ``double``, ``string``, ...), null
+    elsewhere: a text is not read as a number, nor a number as a text."""
+    found = F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
+    own = {"string": found == "STRING", "boolean": found == "BOOLEAN", "bigint": found == "BIGINT",
+           "double": found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")}[kind]
+    return F.when(own, F.try_variant_get("doc", path, kind))
+
+
+def mixed_schema(docs: DataFrame) -> DataFrame:
+    """One row: the type of all documents together (a field of two types is a variant)."""
+    return docs.agg(F.schema_of_variant_agg("doc").alias("type"))
+
+
 # --- S09: index documents given as JSON text ------------------------------------
 
 def index_docs(docs: DataFrame, json_col: str, path: str, id_col: str | None = None) -> None:

@@ -1,8 +1,9 @@
-"""Structured Streaming jobs: broker -> object store ingest (S08) and log
+"""Structured Streaming jobs: JSON text -> object store ingest (S08) and log
 follow (S12).
 
-Both are ``readStream`` -> built-in transformations -> ``writeStream`` to a
-file sink with a checkpoint in the shared folder. The file sink commits each
+Follows are ``readStream`` -> built-in transformations -> ``writeStream`` to a
+file sink with a checkpoint in the shared folder; the ingest writes two
+sinks per batch. The file sink commits each
 micro-batch through its metadata log, so re-running from the same
 checkpoint neither loses nor repeats rows. ``available_now`` processes what
 is there and stops (a batch-style run); otherwise the query keeps running
@@ -16,15 +17,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
-def parse_values(messages: DataFrame, schema: StructType | str,
-                 keep: Sequence[str] = ()) -> DataFrame:
-    """Topic messages -> typed columns from the JSON ``value``."""
-    parsed = F.from_json(F.col("value"), schema,
-                         {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    return messages.select(*keep, parsed.alias("_v")).select(*keep, "_v.*")
+def split_values(lines: DataFrame, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON text in ``value``: typed columns, and (value) of what does not parse."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    bad = "_bad" + "_" * sum(f.name.startswith("_bad") for f in kind.fields)
+    told = StructType([*kind.fields, StructField(bad, StringType())])
+    parsed = lines.select("value", F.from_json("value", told, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("_v"))
+    good = F.col("_v").isNotNull() & F.col(f"_v.{bad}").isNull()
+    return (parsed.filter(good).select(*[F.col("_v").getField(f.name).alias(f.name) for f in kind.fields]),
+            parsed.filter(~good).select("value"))
+
+
+def ingest_with_rejects(stream: DataFrame, schema: StructType | str, sink: str, checkpoint: str, available_now: bool = True,
+                        interval: str = "10 seconds") -> StreamingQuery:
+    """Text lines -> ``<sink>/rows`` and, for those that are no such JSON, ``<sink>/rejects``.
+
+    Every micro-batch writes a folder of its own in both, named by the batch id
+    and overwritten when the batch is run again: a batch that failed between
+    the two writes is repeated whole and adds nothing twice. Read them with ``ingested``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for rows, name in zip(split_values(batch, schema), ("rows", "rejects")):
+            rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def ingested(spark: SparkSession, sink: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) that ``ingest_with_rejects`` has written."""
+    read = lambda name, kind: spark.read.schema(kind).option("recursiveFileLookup", True).parquet(f"{sink}/{name}")
+    return read("rows", schema), read("rejects", "value string")
 
 
 def write_stream(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet",
