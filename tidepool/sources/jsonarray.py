@@ -70,8 +70,10 @@ def objects(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     opened = F.when(in_string, F.col("from_inside")).otherwise(F.col("from_outside")) - F.when(ends_outside, 1).otherwise(0)
     stated = written(_running(pieces, "turns", "before").select(
         "file", "start", "place", "value", ends_outside.alias("outside"), opened.cast("long").alias("opened")), "stated")
-    # what stands behind the last brace closes the array, and has no brace itself
-    wrong = stated.groupBy("file").agg(F.sum("opened").alias("left")).filter(F.col("left") != -1).select("file").first()
+    # a file begins with its array; what stands behind the last brace closes it, and has no brace itself
+    first = F.min_by(F.substring(F.regexp_replace("value", r"\A\s+", ""), 1, 1), F.struct("start", "place"))
+    wrong = stated.groupBy("file").agg(F.sum("opened").alias("left"), first.alias("first")) \
+        .filter((F.col("left") != -1) | (F.col("first") != "[")).select("file").first()
     if wrong:
         raise ValueError(f"not an array of objects: {wrong[0]}")
     # depth 1 is the array's own
