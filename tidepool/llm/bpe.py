@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from .common import in_parts, map_column
 
-CACHE_ENTRIES = 300_000  # pre-tokens remembered per task, and a quarter of the token pairs (memory bound)
+CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 1_200_000  # pre-tokens and token pairs remembered per task (memory bound)
+PART_CHARS = 3_000_000  # characters whose pieces are learnt together
 _NEVER = 1 << 40
 
 
@@ -97,7 +98,7 @@ class PrefixEncoder:
                     i += 1
                 else:
                     j += 1
-            if len(self._pairs) >= 4 * CACHE_ENTRIES:
+            if len(self._pairs) >= PAIR_ENTRIES:
                 self._pairs.clear()
             self._pairs[a << 32 | b] = known
         return known
@@ -248,7 +249,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             return [b"".join(map(pieces.__getitem__, c)) for c in cut]
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array(in_parts(texts, part), pa.binary())]
+            return [pa.array(in_parts(texts, part, PART_CHARS), pa.binary())]
         return work
 
     return map_column(docs, text, T.StructType([_through(docs, text), T.StructField(ids, T.BinaryType())]),
