@@ -14,6 +14,7 @@ proportional to their length.
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 
 from .common import in_parts, map_column
 
-CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 1_200_000  # pre-tokens and token pairs remembered per task (memory bound)
+# pre-tokens, token pairs and moves between suffixes remembered per task (memory bound)
+CACHE_ENTRIES, PAIR_ENTRIES, MOVE_ENTRIES = 400_000, 1_200_000, 600_000
 PART_CHARS = 3_000_000  # characters whose pieces are learnt together
 _NEVER = 1 << 40
 
@@ -43,6 +45,12 @@ class PrefixEncoder:
         self.raw = {r: b for b, r in ranks.items()}
         self._edges: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
         self._pairs: dict[int, bool] = {}  # by left rank << 32 | right rank
+        # Suffixes of a text that begin some token, by number (0: none), with the tokens that end each.
+        # At most as many as the vocabulary has bytes.
+        self._begun = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        self._suffixes, self._number = [b""], {b"": 0}
+        self._ending: list[tuple[tuple[int, int], ...]] = [()]
+        self._moves: dict[int, int] = {}  # by number << 8 | next byte
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes ``token``; None if merging never makes it."""
@@ -103,24 +111,43 @@ class PrefixEncoder:
             self._pairs[a << 32 | b] = known
         return known
 
-    def extend(self, data: bytes, last: list[int], upto: int) -> None:
-        """Grow ``last`` (``last[e]``: the token that ends prefix ``e``) to ``upto``."""
-        get, pairs, longest = self.ranks.get, self._pairs, self.longest
+    def _move(self, suffix: int, byte: int) -> int:
+        """The number of the longest suffix that begins a token, after one more byte."""
+        grown = self._suffixes[suffix] + bytes((byte,))
+        while grown and grown not in self._begun:
+            grown = grown[1:]
+        number = self._number.get(grown)
+        if number is None:
+            number = self._number[grown] = len(self._suffixes)
+            self._suffixes.append(grown)
+            ending = (self.ranks.get(grown[i:]) for i in range(len(grown)))
+            self._ending.append(tuple((t, len(self.raw[t])) for t in ending if t is not None and self._edge(t, True) is not None))
+        if len(self._moves) >= MOVE_ENTRIES:
+            self._moves.clear()
+        self._moves[suffix << 8 | byte] = number
+        return number
+
+    def extend(self, data: bytes, last: list[int], suffixes: list[int], upto: int) -> None:
+        """Grow ``last`` (``last[e]``: the token that ends prefix ``e``) and ``suffixes`` (the number
+        of the longest suffix of prefix ``e`` that begins a token) to ``upto``. Only the tokens that
+        end the suffix are tried, the longest first."""
+        pairs, moves, ending = self._pairs, self._moves, self._ending
+        suffix = suffixes[-1]
         for end in range(len(last), upto + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(data[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    if self._edge(token, True) is not None:
-                        break
-                    continue
-                known = pairs.get(last[start] << 32 | token)
-                if known or known is None and self.fits(last[start], token):
+            byte = data[end - 1]
+            suffix_after = moves.get(suffix << 8 | byte)
+            suffix = self._move(suffix, byte) if suffix_after is None else suffix_after
+            for token, size in ending[suffix]:
+                if size == end:
+                    break
+                before = last[end - size]
+                known = pairs.get(before << 32 | token)
+                if known or known is None and self.fits(before, token):
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
             last.append(token)
+            suffixes.append(suffix)
 
     def walk(self, last: list[int]) -> list[int]:
         """The ids of the longest stored prefix."""
@@ -136,7 +163,7 @@ class PrefixEncoder:
         if whole is not None:
             return [whole]
         last = [-1]
-        self.extend(piece, last, len(piece))
+        self.extend(piece, last, [0], len(piece))
         return self.walk(last)
 
 
@@ -144,24 +171,24 @@ class EditableEncoding:
     """One pre-token's table, kept for appends and edits."""
 
     def __init__(self, encoder: PrefixEncoder, data: bytes = b""):
-        self.encoder, self.data, self.last = encoder, b"", [-1]
+        self.encoder, self.data, self.last, self.suffixes = encoder, b"", [-1], [0]
         self.recomputed = 0
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; stored prefixes stay as they are."""
         self.data += more
-        self.encoder.extend(self.data, self.last, len(self.data))
+        self.encoder.extend(self.data, self.last, self.suffixes, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Put ``new`` for bytes ``start:stop``. Tokens after the edit are taken
         over once as many stored ones agree as the longest token has bytes."""
         old, tail, shift = self.last, self.data[stop:], len(new) - (stop - start)
         self.data = self.data[:start] + new + tail
-        last, agreed, self.recomputed = old[:start + 1], 0, 0
+        last, suffixes, agreed, self.recomputed = old[:start + 1], self.suffixes[:start + 1], 0, 0
         while len(last) <= len(self.data):
             end = len(last)
-            self.encoder.extend(self.data, last, end)
+            self.encoder.extend(self.data, last, suffixes, end)
             self.recomputed += 1
             after = end - start - len(new)  # bytes beyond the edit that this prefix holds
             same = after > 0 and old[end - shift] == last[end] and \
@@ -169,8 +196,9 @@ class EditableEncoding:
             agreed = agreed + 1 if same else 0
             if agreed >= self.encoder.longest:
                 last += old[end - shift + 1:]
+                suffixes += self.suffixes[end - shift + 1:]
                 break
-        self.last = last
+        self.last, self.suffixes = last, suffixes
 
     def ids(self) -> list[int]:
         return self.encoder.encode(self.data)[:] if self.data in self.encoder.ranks \
@@ -190,19 +218,21 @@ class _Pieces(dict):
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = pieces
-        encoder, last, before = self.encoder, [-1], b""
+        encoder, last, suffixes, before = self.encoder, [-1], [0], b""
         for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in new):
             whole = encoder.ranks.get(data)
             if whole is not None:
                 ids = [whole]
             else:
-                shared, most = 0, min(len(data), len(before))
-                while shared < most and data[shared] == before[shared]:
+                shared = 0
+                for x, y in zip(data, before):
+                    if x != y:
+                        break
                     shared += 1
-                del last[shared + 1:]
-                encoder.extend(data, last, len(data))
+                del last[shared + 1:], suffixes[shared + 1:]
+                encoder.extend(data, last, suffixes, len(data))
                 ids, before = encoder.walk(last), data
-            self[piece] = np.array(ids, "<u4").tobytes()
+            self[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Vocabulary:
