@@ -3,8 +3,11 @@
 import datetime as dt
 import hashlib
 import random
+import time
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -387,6 +390,29 @@ def test_licences_of_verbatim_notices(spark):
     assert not wrong, wrong
 
 
+def test_licence_sql_joins_wrapped_lines_like_the_operator(spark):
+    rows = [(i, f"Some words before\n{t}and after") for i, t in enumerate(NOTICES.values())]
+    rows += [(100 + i, " * " + t.replace("\n", "\n * ")) for i, t in enumerate(NOTICES.values())]
+    rows += [(200, None), (201, ""), (202, "Released\nunder\nthe\nMIT\nLicense"), (202, "Released\nunder\nthe\nMIT\nLicense"),
+             (203, "Released under the\n\nMIT License"), (204, "the software\n" * 50 + "All rights reserved.\n" * 50),
+             (205, "// SPDX-License-Identifier: Apache-2.0\n/* SPDX-License-Identifier: MIT */"), (206, "SPDX-License-Identifier: GPL-2.0-or-later")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], ",".join(r["sentence_ids"]), ",".join(r["licences"])) for r in licences.scan(df, licences.known_table(spark)).collect())
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert got == sorted(con.execute(queries.ORACLE["op3_licences"]).fetchall())
+    found = {d: names for d, _, names in got}
+    assert found[205] == "Apache-2.0,MIT" and found[206] == "GPL-2.0-or-later" and found[203] == ""
+
+
+def test_licences_of_a_text_of_known_pieces_take_time_in_proportion(spark):
+    text = "the software\n" * 100_000
+    df = spark.createDataFrame([(1, text), (2, text + "is provided as is without warranty\nof any kind")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r["sentence_ids"] for r in licences.scan(df, licences.known_table(spark)).collect()}
+    assert got == {1: [], 2: ["no-warranty"]} and time.monotonic() - began < 90
+
+
 def test_licence_sentences_do_not_cross_paragraphs(spark):
     rows = [(1, "Released under the\n\nMIT License"), (2, "Released under the\nMIT License\nAll rights reserved"),
             (3, "Released\nunder\nthe\nMIT\nLicense"), (4, "permission\n" * 3000)]

@@ -3,7 +3,8 @@
 A text is cut into lines and these into sentences, each piece is normalised (lower
 case, runs of anything but letters and digits as one space), and pieces are looked
 up among known licence sentences: alone, or joined with those of the next lines
-of a paragraph, the longest sentence first from the first line on.
+of a paragraph, the longest sentence first from the first line on. Pieces are
+joined only to as many words as a known sentence that begins with the first has.
 What remains of a document is its sequence of sentence identifiers. Rules are
 sequences of identifiers with a licence each, tried in order; a rule matches
 where its identifiers follow one another in the sequence (unknown sentences
@@ -16,6 +17,8 @@ columns named like the new ones are replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +155,8 @@ def _cc_rules() -> list[tuple[str, list[str]]]:
     return [(f"CC-{k.replace(' ', '-').upper()}-{v}.0", [f"cc{k}{v}-{end}".replace(" ", "")]) for k in _CC_KINDS for v in "43" for end in ("under", "title")]
 
 
+# how a file names its licence in one line; expressions of several licences are not taken apart
+_SPDX = "spdx license identifier "
 _BSD = ["bsd-use", "bsd-source", "bsd-binary"]
 
 # Rules in order, the more specific before the shorter.
@@ -186,6 +191,9 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("Proprietary", ["all-rights"]),
 ]
+_NAMED = [n for n in dict.fromkeys(n for n, _ in RULES) if n not in ("GPL", "Proprietary")]
+SENTENCES += [(f"spdx-{n.lower()}", _SPDX + re.sub("[^a-z0-9]+", " ", n.lower())) for n in _NAMED]
+RULES = [(n, [f"spdx-{n.lower()}"]) for n in _NAMED] + RULES
 
 # A sentence ends at . ! ? or : before a space, and between paragraphs.
 SENTENCE_END = r"[.!?:]+(?:\s+|$)"
@@ -193,12 +201,14 @@ SENTENCE_END = r"[.!?:]+(?:\s+|$)"
 OPENINGS = ["permission is hereby", "permission to use", "redistribution and use", "this program is free", "this library is free",
             "licensed under the apache license, version 2.0 (the", "this source code form"]
 NOT_PLAIN = r"[^a-z0-9\n]+"
+# Fixed value: the colon of this line ends no sentence.
+SPDX_LINE = "spdx-license-identifier:"
 
 
 def sentences(text: Column) -> Column:
     """Normalised pieces: a sentence, or each line of one (from its opening words, if there are any). An empty piece lies between sentences and
     between paragraphs. Ends become line ends first, so one pass cleans all of them."""
-    ended = F.regexp_replace(F.lower(text), SENTENCE_END, "\n\n")
+    ended = F.regexp_replace(F.replace(F.lower(text), F.lit(SPDX_LINE), F.lit("\n" + _SPDX)), SENTENCE_END, "\n\n")
     for words in OPENINGS:
         ended = F.replace(ended, F.lit(words), F.lit("\n" + words))
     return F.split(F.regexp_replace(ended, NOT_PLAIN, " "), r" ?\n ?")
@@ -224,24 +234,33 @@ def match_rules(sequence: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 
 def fragments(known: DataFrame) -> DataFrame:
-    """Hashes of all runs of words in the known sentences, and whether a sentence starts with the run."""
+    """Hashes of all runs of words in the known sentences, and how many words the sentences have that start with the run."""
     words = known.select(F.split("sentence", " ").alias("w"))
     runs = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
     hashes = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("i") + 1),
                          lambda n: F.xxhash64(F.array_join(F.slice("w", F.col("i"), n), " ")))
-    return runs.select((F.col("i") == 1).alias("starts"), F.explode(hashes).alias("fragment")).groupBy("fragment").agg(F.max("starts").alias("starts"))
+    return runs.select(F.when(F.col("i") == 1, F.size("w")).alias("length"), F.explode(hashes).alias("fragment")) \
+        .groupBy("fragment").agg(F.array_sort(F.collect_set("length")).alias("lengths"))
+
+
+def runs(parts: Column) -> Column:
+    """(at, n, sentence) of the runs of n pieces that follow one another and have as many words as a sentence that begins with their first piece."""
 
+    def of_length(p: Column, i: Column, length: Column) -> Column:
+        def step(now: Column, k: Column) -> Column:
+            q = F.get(parts, i + k - 1)
+            on = (now["words"] < length) & (now["n"] == k - 1) & (q["at"] == p["at"] + k - 1)
+            return F.when(on, F.struct(k.alias("n"), (now["words"] + q["words"]).alias("words"))).otherwise(now)
 
-def runs(parts: Column, longest: int) -> Column:
-    """(at, n, sentence) of every run of n pieces that follow one another, from a piece that can start a sentence.
-    ``longest``: the words, so the pieces too, that a known sentence has at most."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+        n = F.aggregate(F.sequence(F.lit(1), F.least(length, F.size(parts) - i)), start, step,
+                        lambda now: F.when(now["words"] == length, now["n"]).otherwise(0))
+        return F.struct(p["at"].alias("at"), n.alias("n"))
 
     def of_one(p: Column, i: Column) -> Column:
-        sizes = F.filter(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(parts) - i)),
-                         lambda n: F.get(parts, i + n - 1)["at"] == p["at"] + n - 1)
-        made = F.transform(sizes, lambda n: F.struct(
-            p["at"].alias("at"), n.alias("n"), F.array_join(F.transform(F.slice(parts, i + 1, n), lambda q: q["piece"]), " ").alias("sentence")))
-        return F.when(p["starts"], made).otherwise(F.slice(made, 1, 0))
+        whole = F.filter(F.transform(p["lengths"], lambda length: of_length(p, i, length)), lambda r: r["n"] > 0)
+        return F.transform(whole, lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.array_join(
+            F.transform(F.sequence(i, i + r["n"] - 1), lambda k: F.get(parts, k)["piece"]), " ").alias("sentence")))
 
     return F.flatten(F.transform(parts, of_one))
 
@@ -266,21 +285,23 @@ def scan(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]] =
 def _scanned(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     # the text is the key, so repeated rows and ids do no harm
     key = F.sha2(F.col("text"), 256)
-    said = docs.filter(F.col("text").isNotNull()).select(
-        key.alias("key"), F.posexplode(sentences(F.col("text"))).alias("at", "piece")) \
+    # the key is made before the pieces are put in rows, or every row would hash the text again
+    said = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), sentences(F.col("text")).alias("pieces")) \
+        .select("key", F.posexplode("pieces").alias("at", "piece")) \
         .withColumn("piece", F.trim("piece")).filter("piece != ''")
     # the known sentences are a parameter; they and their fragments are broadcast up to a checked size
     known = known.filter("sentence != ''")
     n = F.size(F.split("sentence", " "))
-    size, longest, n_runs = known.agg(F.count("*"), F.coalesce(F.max(n), F.lit(1)), F.coalesce(F.sum(n * (n + 1)), F.lit(0))).first()
+    size, n_runs = known.agg(F.count("*"), F.coalesce(F.sum(n * (n + 1)), F.lit(0))).first()
     pieces = fragments(known)
     if size <= BROADCAST_ROWS:
         known = F.broadcast(known)
     if n_runs // 2 <= BROADCAST_RUNS:
         pieces = F.broadcast(pieces)
     said = said.join(pieces, F.xxhash64("piece") == F.col("fragment"))
-    per = said.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "piece", "starts"))).alias("parts"))
-    hits = per.select("key", F.inline(runs(F.col("parts"), longest))).join(known, "sentence")
+    per = said.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
+        "at", "piece", F.size(F.split("piece", " ")).alias("words"), "lengths"))).alias("parts"))
+    hits = per.select("key", F.inline(runs(F.col("parts")))).join(known, "sentence")
     per = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("n")).alias("back"), "id"))).alias("hits")) \
         .select("key", outermost(F.col("hits")).alias("sentence_ids"))
     per = per.withColumn("licences", match_rules(

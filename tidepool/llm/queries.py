@@ -141,23 +141,37 @@ _WORDS = ("list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')"
 
 def _licence_sql() -> str:
     known = ", ".join(f"('{i}', '{s}')" for i, s in licences.SENTENCES)
-    left, found = "'|' || array_to_string(ids, '||') || '|'", []
-    for licence, ids in licences.RULES:
-        want = "".join(f"|{i}|" for i in ids)
-        found.append(f"CASE WHEN contains({left}, '{want}') THEN '{licence}' END")
-        left = f"replace({left}, '{want}', '|#|')"
-    # the first place of each licence, in the order of the rules
+    rules = ", ".join("{'left': '%s', 'found': '%s'}" % ("".join(f"|{i}|" for i in ids), licence) for licence, ids in licences.RULES)
+    used = f"""list_reduce([{rules}], lambda now, rule: {{
+        'left': replace(now.left, rule.left, '|#|'),
+        'found': CASE WHEN contains(now.left, rule.left) THEN now.found || rule.found || '|' ELSE now.found END}},
+        {{'left': '|' || array_to_string(ids, '||') || '|', 'found': '|'}}).found"""
+    # each licence once, in the order of the rules
     names = list(dict.fromkeys(n for n, _ in licences.RULES))
+    plain = f"replace(lower(text), '{licences.SPDX_LINE}', chr(10) || 'spdx license identifier ')"
+    plain = rf"regexp_replace({plain}, '[.!?:]+([ \t\n\x0B\f\r]+|$)', chr(10) || chr(10), 'g')"
+    for words in licences.OPENINGS:
+        plain = f"replace({plain}, '{words}', chr(10) || '{words}')"
+    # runs grow piece by piece while they begin a known sentence; then the longest from each place that no earlier one covers
     return rf"""
-    WITH known(id, sentence) AS (VALUES {known}),
-    cut AS (SELECT rowid_ AS r, generate_subscripts(s, 1) AS place, unnest(s) AS sentence FROM (
-        SELECT rowid_, string_split_regex(regexp_replace(regexp_replace(lower(text), '[.!?:]+(\s+|$)|\n+', chr(10), 'g'),
-            '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?') AS s FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents))),
-    seq AS (SELECT r, list(id ORDER BY place) AS ids FROM cut JOIN known ON trim(cut.sentence) = known.sentence GROUP BY r),
-    out AS (SELECT r, array_to_string(ids, ',') AS sentence_ids, list_filter([{', '.join(found)}], lambda x: x IS NOT NULL) AS l FROM seq)
-    SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids,
-        coalesce(array_to_string(list_filter([{', '.join(f"'{n}'" for n in names)}], lambda x: list_contains(l, x)), ','), '') AS licences
-    FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents) d LEFT JOIN out ON out.r = d.rowid_"""
+    WITH RECURSIVE known(id, sentence) AS (VALUES {known}),
+    d AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM documents),
+    cut AS MATERIALIZED (SELECT r, place, trim(piece) AS piece FROM (SELECT r, generate_subscripts(s, 1) AS place, unnest(s) AS piece FROM (
+        SELECT r, string_split_regex(regexp_replace({plain}, '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?') AS s FROM d)) WHERE trim(piece) <> ''),
+    run AS (SELECT r, place, 1 AS n, piece AS said, id, sentence FROM cut
+            JOIN known ON split_part(piece, ' ', 1) = split_part(sentence, ' ', 1) AND starts_with(sentence || ' ', piece || ' ')
+        UNION ALL SELECT run.r, run.place, n + 1, said || ' ' || piece, id, sentence FROM run JOIN cut ON cut.r = run.r
+            AND cut.place = run.place + n AND starts_with(sentence || ' ', said || ' ' || piece || ' ')),
+    hit AS MATERIALIZED (SELECT DISTINCT r, place, n, id FROM run WHERE said = sentence),
+    top AS MATERIALIZED (SELECT r, place, max(n) AS n FROM hit GROUP BY r, place),
+    hop AS MATERIALIZED (SELECT t.r, t.place, t.n, u.place AS next FROM top t ASOF LEFT JOIN top u ON t.r = u.r AND t.place + t.n <= u.place),
+    way AS (SELECT * FROM hop WHERE (r, place) IN (SELECT (r, min(place)) FROM top GROUP BY r)
+        UNION ALL SELECT hop.* FROM way JOIN hop ON hop.r = way.r AND hop.place = way.next),
+    seq AS (SELECT r, list(id ORDER BY place, id) AS ids FROM hit JOIN way USING (r, place, n) GROUP BY r),
+    out AS (SELECT r, array_to_string(ids, ',') AS sentence_ids, {used} AS found FROM seq)
+    SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, array_to_string(list_filter([{', '.join(f"'{n}'" for n in names)}],
+        lambda x: contains(coalesce(found, ''), '|' || x || '|')), ',') AS licences
+    FROM d LEFT JOIN out USING (r)"""
 
 
 ORACLE = {
