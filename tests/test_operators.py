@@ -142,6 +142,21 @@ def test_unit_div_truncates(spark):
     assert df.select(T.unit_div(T.unit_div(T.unit_div("x", 1024), 1024), 1024)).collect()[2][0] == 2
 
 
+def test_server_log_instants(spark):
+    stamps = {"UTC": "2024-07-01 10:00:00", "CET": "2024-01-01 11:00:00", "CEST": "2024-07-01 12:00:00", "+03": "2024-07-01 13:00:00",
+              "-05:30": "2024-07-01 04:30:00", "PDT": "2024-07-01 03:00:00", "QQQ": "2024-07-01 10:00:00"}
+    tail = "[7]: [1-1] user=u,db=,app=a b,client=10.0.0.1 LOG:  x, y=1"
+    rows = [(f"{t} {z} {tail}",) for z, t in stamps.items()] + [(f"{stamps['UTC']} UTC {tail}".replace("user=u", "user=u\nv"),), (None,)]
+    lines = spark.createDataFrame(rows, "value string")
+    parsed, rejects = T.parse_server_log(lines)
+    got = {r["zone"]: r for r in parsed.selectExpr("*", "cast(instant as string) AS at").collect()}
+    assert {z: r["at"] for z, r in got.items()} == {z: None if z == "QQQ" else "2024-01-01 10:00:00" if z == "CET" else "2024-07-01 10:00:00" for z in stamps}
+    assert all((r["user"], r["db"], r["app"], r["client"], r["message"]) == ("u", None, "a b", "10.0.0.1", "LOG:  x, y=1") for r in got.values())
+    assert sorted(map(str, (r["value"] for r in rejects.collect()))) == sorted(map(str, (v for v, in rows[-2:])))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "regexp_extract" not in plan
+
+
 def test_server_log_parse_edge_cases(spark):
     lines = spark.createDataFrame([
         ("2024-01-02 03:04:05 UTC [42]: [7-1] user=,db=app,app=,client=10.0.0.1 "

@@ -242,21 +242,29 @@ LOG_FIELDS = (("ts", 1), ("zone", 2), ("pid", 3), ("line", 4), ("user", 5), ("db
 
 
 def parse_server_log(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(parsed, rejects). The fields are the groups of one pattern.
+    """(parsed, rejects). The fields are the groups of one pattern, cut in one pass.
 
     Parsed columns: ts (wall-clock time as written, timestamp_ntz), zone (the name or
-    numeric offset written after it), pid int, line bigint, user, db, app,
+    numeric offset written after it), instant (the moment the two name; NULL where the
+    zone's name is not known), pid int, line bigint, user, db, app,
     client, message (empty text -> NULL for user/db/app/client). Lines that
-    do not match, or hold an impossible date or number, go, unchanged, to ``rejects``.
+    do not match, hold a line feed, or an impossible date or number, go, unchanged, to ``rejects``.
     """
-    v = F.col(col)
-    g = {name: F.regexp_extract(v, LOG_LINE_RE, i) for name, i in LOG_FIELDS}
+    # a matching line becomes its fields, one below the other, any other stays one piece
+    pattern = LOG_LINE_RE.removesuffix("$") + r"\R?\z"
+    cut = F.split(F.regexp_replace(col, pattern, "\n".join(f"${i}" for _, i in LOG_FIELDS)), "\n")
+    fields = F.when(~F.contains(F.col(col), F.lit("\n")), cut)
+    # a generator, since filters on its output stay above it: below, each use would cut the line again
+    rows = lines.select("*", F.explode(F.array(fields)).alias("_fields"))
+    g = {name: F.get("_fields", i - 1) for name, i in LOG_FIELDS}
     ts, pid, line = g["ts"].try_cast("timestamp_ntz"), g["pid"].try_cast("int"), g["line"].try_cast("bigint")
     # no match, no such date, or a number out of range: the line is a reject
-    ok = ts.isNotNull() & pid.isNotNull() & line.isNotNull()
-    parsed = lines.filter(ok).select(
-        ts.alias("ts"), g["zone"].alias("zone"), pid.alias("pid"), line.alias("line"),
+    ok = F.coalesce((F.size("_fields") == len(LOG_FIELDS)) & ts.isNotNull() & pid.isNotNull() & line.isNotNull(), F.lit(False))
+    written = F.concat_ws(" ", g["ts"], g["zone"])
+    instant = F.coalesce(written.try_cast("timestamp"), F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm:ss z")))
+    parsed = rows.filter(ok).select(
+        ts.alias("ts"), g["zone"].alias("zone"), instant.alias("instant"), pid.alias("pid"), line.alias("line"),
         *[F.nullif(g[n], F.lit("")).alias(n) for n in ("user", "db", "app", "client")],
         g["message"].alias("message"))
-    rejects = lines.filter(~F.coalesce(ok, F.lit(False)))
+    rejects = rows.filter(~ok).drop("_fields")
     return parsed, rejects
