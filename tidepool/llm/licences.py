@@ -285,9 +285,10 @@ def scan(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]] =
 def _scanned(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     # the text is the key, so repeated rows and ids do no harm
     key = F.sha2(F.col("text"), 256)
-    # the key is made before the pieces are put in rows, or every row would hash the text again
-    said = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), sentences(F.col("text")).alias("pieces")) \
-        .select("key", F.posexplode("pieces").alias("at", "piece")) \
+    # the key is made before the pieces are put in rows, or every row would hash the text again; the pieces
+    # are made within the generator, or the filter that Spark puts before it would make them, too
+    said = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), "text") \
+        .select("key", F.posexplode(sentences(F.col("text"))).alias("at", "piece")) \
         .withColumn("piece", F.trim("piece")).filter("piece != ''")
     # the known sentences are a parameter; they and their fragments are broadcast up to a checked size
     known = known.filter("sentence != ''")
