@@ -74,8 +74,8 @@ def test_long_local_parts_are_replaced_whole():
 def test_wide_components_are_scored_exactly():
     rng = np.random.default_rng(1)
     x = rng.integers(-1 << 30, 1 << 30, (60, 4))
-    rows = pd.DataFrame({"vec_id": range(60), "v": x.tolist()})
-    got = bitslice.search_block(rows.iloc[:5], rows, 3)
+    rows = pd.DataFrame({"rb": 0, "d": 4, "row": range(60), "vec_id": range(60), "v": x.tolist()})
+    got = bitslice.search_block(rows.iloc[:5], bitslice.index_block(rows), 3)
     for q in range(5):
         want = sorted(((-sum(int(a) * int(b) for a, b in zip(x[q], x[i])), i) for i in range(60) if i != q))[:3]
         assert [(-s, i) for s, i in zip(got[got.query_id == q].score, got[got.query_id == q].vec_id)] == want

@@ -106,8 +106,10 @@ def test_shingle_sets_of_whole_texts():
 def exact_top(rows, k):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, x in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
-        scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ok if i != q and len(y) == len(x))
+    for own, (q, x) in enumerate(ok):
+        if q % 50:
+            continue
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for at, (i, y) in enumerate(ok) if at != own and len(y) == len(x))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -115,7 +117,7 @@ def exact_top(rows, k):
 def test_top_k_is_exact_with_ties_nulls_and_repeated_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
-    rows += [(400 + i, rows[7][1]) for i in range(6)] + [rows[7], rows[50], rows[50]]
+    rows += [(400 + i, rows[7][1]) for i in range(6)] + [rows[7], rows[50], rows[50], (50, rows[8][1])]
     rows += [(500, None), (501, [None] * 16), (502, [float("nan")] * 16), (550, [float("inf")] + [0.0] * 15),
              (600, [0.0] * 16), (650, []), (651, []), (700, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
@@ -124,6 +126,17 @@ def test_top_k_is_exact_with_ties_nulls_and_repeated_rows(spark):
     assert bitslice.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).collect() == []
 
 
+def test_top_k_over_many_blocks_and_very_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(bitslice, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(bitslice, "BLOCK_CELLS", 6000)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 5000 if i % 25 == 0 else 8)]) for i in range(500)]
+    rows += [(1000, [3e9] * 8), (1001, [-3e9] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert sorted(tuple(r) for r in bitslice.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()) == exact_top(rows, 5)
+
+
 def test_bit_sliced_sums_equal_plain_ones():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-150, 150, (200, 12)), rng.integers(-150, 150, 12)

@@ -8,12 +8,16 @@ and the rows that the dropped bits leave undecided at that boundary are scored
 exactly from their whole numbers. Each query meets every block; the blocks'
 best rows are merged.
 
+The index, a row per block with its slices, is written once to the shared
+folder; every query block reads it from there.
+
 Results by case: vectors that are null or hold null or non-finite components
 take no part; vectors are compared with those of the same length (empty ones
-score 0); a row is never its own answer, nor is another row of the same id;
-repeated query rows are answered once, repeated candidates stay; ties go to
-the smaller id; fewer candidates than k give all; an empty table gives no rows.
-Scaled components beyond 2**27 are an error, for scores could overflow.
+score 0); only a row itself is never its own answer, another row of the same id
+may be; repeated query rows are answered each, repeated candidates stay; ties go
+to the smaller id; fewer candidates than k give all; an empty table gives no
+rows. Components beyond 2**27 are scored without slices, in whole numbers of any
+size; only a score among the best that is beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_path
+
 BLOCK_ROWS = 8192
+BLOCK_CELLS = 1 << 22  # components of a block's rows
+WIDEST = 1 << 27       # components beyond have no slices
 BLOCK_QUERIES = 1024
 DROP = 2
 
@@ -84,6 +92,18 @@ class Block:
         here[:self.rows] = 1
         self.here = np.packbits(here, bitorder="little").view(np.uint64)
 
+    def packed(self) -> dict:
+        return {"low": self.low.tobytes(), "bits": self.bits, "drop": self.drop, "slices": self.slices.tobytes(), "here": self.here.tobytes()}
+
+    @classmethod
+    def unpacked(cls, vectors: np.ndarray, stored) -> Block:
+        block = cls.__new__(cls)
+        block.vectors, block.rows, block.bits, block.drop = vectors, len(vectors), int(stored["bits"]), int(stored["drop"])
+        block.low = np.frombuffer(stored["low"], np.int64)
+        block.here = np.frombuffer(stored["here"], np.uint64)
+        block.slices = np.frombuffer(stored["slices"], np.uint64).reshape(block.bits, vectors.shape[1], len(block.here))
+        return block
+
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Slices of sum(|q| * x'), x' being x's kept bits, inverted where q < 0."""
         size = np.abs(query)
@@ -130,39 +150,59 @@ class Block:
         return np.nonzero(flags)[0]
 
 
-def _search_wide(query_ids: list[int], queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+INDEX = "rb int, d int, row_ids binary, vec_ids binary, vectors binary, low binary, bits int, drop int, slices binary, here binary"
+FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
+def _is_wide(x: np.ndarray) -> bool:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0))) > WIDEST
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.array(rows["v"].tolist(), np.int64).reshape(len(rows), int(rows["d"].iloc[0]))
+
+
+def index_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block's rows (rb, d, row, vec_id, v) as one row of the index; without slices
+    where the vectors are empty or hold components too wide for them."""
+    x = _matrix(rows)
+    made = {"low": b"", "bits": 0, "drop": 0, "slices": b"", "here": b""}
+    if x.shape[1] and not _is_wide(x):
+        made = Block(x).packed()
+    return pd.DataFrame([{"rb": rows["rb"].iloc[0], "d": rows["d"].iloc[0], "row_ids": rows["row"].to_numpy(np.int64).tobytes(),
+                          "vec_ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), **made}])
+
+
+def _search_wide(queries: pd.DataFrame, q: np.ndarray, row_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[pd.DataFrame]:
     """The same for a block with components too wide for the slices: every row scored in
     whole numbers of any size. Only a score among the best that is no long is an error."""
     wide, out = x.astype(object), []
-    for qid, one in zip(query_ids, queries.astype(object)):
-        scored = heapq.nsmallest(k, ((-sum(map(operator.mul, row, one)), i) for row, i in zip(wide, ids.tolist()) if i != qid))
+    for row, qid, one in zip(queries["row"].tolist(), queries["vec_id"].tolist(), q.astype(object)):
+        scored = heapq.nsmallest(k, ((-sum(map(operator.mul, v, one)), i) for v, i, r in zip(wide, ids.tolist(), row_ids.tolist()) if r != row))
         if any(not -1 << 63 <= -s < 1 << 63 for s, _ in scored):
             raise ValueError("a score beyond 64 bits")
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": [i for _, i in scored], "score": [-s for s, _ in scored]}, dtype="int64"))
-    return pd.concat(out)
+        out.append(pd.DataFrame({"query_row": row, "query_id": qid, "vec_id": [i for _, i in scored], "score": [-s for s, _ in scored]}, dtype="int64"))
+    return out
 
 
-def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of one block for each query."""
-    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
-    if not len(queries) or not len(rows):
-        return empty
-    x = np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1)
-    q = np.array(queries["v"].tolist(), np.int64).reshape(len(queries), -1)
-    ids = rows["vec_id"].to_numpy(np.int64)
-    if max(int(x.max(initial=0)), -int(x.min(initial=0)), int(q.max(initial=0)), -int(q.min(initial=0))) > 1 << 27:
-        return _search_wide(queries["vec_id"].tolist(), q, ids, x, k)
-    block = Block(x) if x.shape[1] else None
-    place = {}
-    for i, v in enumerate(ids.tolist()):
-        place.setdefault(v, []).append(i)
-    out = []
-    for qid, one in zip(queries["vec_id"].tolist(), q):
-        own = np.array(place.get(qid, []), np.int64)
+def search_block(queries: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of one block, a row of the index, for each query (row, vec_id, v, d)."""
+    out = [pd.DataFrame({c.split()[0]: pd.Series([], dtype="int64") for c in FOUND.split(", ")})]
+    if not len(queries) or not len(index):
+        return out[0]
+    stored, q = index.iloc[0], _matrix(queries)
+    row_ids, ids = np.frombuffer(stored["row_ids"], np.int64), np.frombuffer(stored["vec_ids"], np.int64)
+    x = np.frombuffer(stored["vectors"], np.int64).reshape(len(ids), q.shape[1])
+    if q.shape[1] and (not stored["bits"] or _is_wide(q)):
+        return pd.concat(_search_wide(queries, q, row_ids, ids, x, k))
+    block = Block.unpacked(x, stored) if q.shape[1] else None
+    place = {r: i for i, r in enumerate(row_ids.tolist())}
+    for row, qid, one in zip(queries["row"].tolist(), queries["vec_id"].tolist(), q):
+        own = np.array([place[row]] if row in place else [], np.int64)
         at = np.setdiff1d(np.arange(len(ids)), own) if block is None else block.best(one, k, own)
         exact = x[at] @ one
         order = np.lexsort((ids[at], -exact))[:k]
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][order], "score": exact[order]}))
+        out.append(pd.DataFrame({"query_row": row, "query_id": qid, "vec_id": ids[at][order], "score": exact[order]}))
     return pd.concat(out)
 
 
@@ -172,19 +212,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     ``vectors``: vec_id, embedding. Queries and rows are dealt to blocks of
     bounded size; every (query block, row block) cell is one small task.
     """
-    base = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"), is_query.alias("q"))
-    queries = base.filter("q").select("vec_id", "v").distinct()
+    spark, staged = vectors.sparkSession, work_path(vectors.sparkSession, "bitslice")
+    vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v"), is_query.alias("q"),
+        F.monotonically_increasing_id().alias("row")).withColumn("d", F.size("v")).write.parquet(f"{staged}/rows")
+    base = spark.read.parquet(f"{staged}/rows")  # written, so that a row keeps its number
     n, m = base.agg(F.count("*"), F.count_if("q")).first()
-    row_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
-    deal = F.xxhash64("vec_id", F.monotonically_increasing_id())  # repeated ids spread, too
-    rows = base.select("vec_id", "v", F.size("v").alias("d"), F.pmod(deal, F.lit(row_blocks)).cast("int").alias("rb")) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.select("vec_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb")) \
-        .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    query_blocks = max(1, -(-m // BLOCK_QUERIES))
+    # long vectors take blocks of fewer rows
+    row_blocks = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_CELLS) / F.greatest("d", F.lit(1)))))))
+    rows = base.select("row", "vec_id", "v", "d", F.pmod(F.xxhash64("row"), row_blocks).cast("int").alias("rb"))
+    rows.groupBy("rb", "d").applyInPandas(index_block, INDEX).write.parquet(f"{staged}/index")
+    index = spark.read.parquet(f"{staged}/index").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = base.filter("q").select("row", "vec_id", "v", "d", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("qb")) \
+        .withColumn("rb", F.explode(F.sequence(F.lit(0), (row_blocks - 1).cast("int"))))
     cell = ["rb", "qb", "d"]
-    found = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(
-        lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.groupBy(*cell).cogroup(index.groupBy(*cell)).applyInPandas(lambda a, b: search_block(a, b, k), FOUND)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
