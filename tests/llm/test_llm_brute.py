@@ -1,15 +1,19 @@
 """Scores and shards against plain, slow versions of the same definitions."""
 
+import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from conftest import SF_SMALL
-from tidepool.llm import kdshards, quality, queries, toxicity
+from tidepool.llm import kdshards, pseudonyms, quality, queries, toxicity
 from tidepool.sources.tables import load
 
 TRICKY = [None, "", " \t\n", "...", "n u m b s k u l l", "What a NUMB5KULL! You n-u-m-b-s-k-u-l-l.", "x" * 90, "é" * 30 + " ünder",
@@ -78,6 +82,66 @@ def test_toxicity_query_equals_plain_scores(spark):
     assert toxicity.Scorer(model).scores(TRICKY) == pytest.approx([plain_toxicity(model, t, known) for t in TRICKY], abs=1e-4)
 
 
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def plain_near_copies(rows, k, num, den):
+    """Every pair compared; of each linked group the smallest id stays."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets.append({tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)), key=lambda x: rows[x][0])
+                group[b] = a
+    return [r for i, r in enumerate(rows) if root(i) == i]
+
+
+def plain_contaminated(text, windows):
+    w, hit = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)), set()
+    for n in {len(x) for x in windows}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i:i + n]) in windows:
+                hit.update(range(i, i + n))
+    return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_equals_its_stages_done_plainly(spark):
+    """Toxicity, near copies, decontamination and tokens by slow versions. The pseudonyms are
+    keyed, so those of the operator are taken; their round trips are tested by themselves."""
+    docs = load(spark, SF_SMALL, "documents").select("doc_id", "text")
+    model, known = toxicity.fit(docs, queries.learnable(spark, SF_SMALL)), {}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    clean = [r for r in rows if plain_toxicity(model, r[1], known) < 0.7]
+    single = plain_near_copies(clean, 5, 80, 100)
+    windows = set()
+    for item in load(spark, SF_SMALL, "benchmark").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(item["text"]))
+        windows.update(tuple(w[i:i + 13]) for i in range(max(1, len(w) - 12)) if w)
+    kept = [r for r in single if not plain_contaminated(r[1], windows)]
+    assert len(rows) > len(clean) > len(single) > len(kept) > 0
+    said = pseudonyms.pseudonymise(spark.createDataFrame(kept, "doc_id long, text string"), queries.PSEUDONYM_KEY).collect()
+    ranks, pattern = queries.bpe_parts()
+    coder = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in said:
+        text = r["text"] or ""
+        ids = coder.encode_ordinary(text)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, SF_SMALL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 WRAP = (1 << 64) - 1
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,23 @@ def shielded(df: DataFrame, keep: Iterable[str], added: Iterable[str], work: Cal
     return out.select(*[F.col("_rest").getField(c).alias(c) if c in rest else F.col(f"`{c}`") for c in plain.columns], *added)
 
 
+SLICE_BYTES = 4_000_000  # about what is worked on and sent back at a time
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of any size in runs of rows of about ``size`` bytes, one row at least."""
+    for b in batches:
+        step = max(1, b.num_rows * size // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def release() -> None:
+    """Give back what a finished task held: workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def map_column(df: DataFrame, column: str, added: T.StructType,
                make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Append columns computed from one column, batch by batch, on the executors.
@@ -58,16 +76,18 @@ def map_column(df: DataFrame, column: str, added: T.StructType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in runs_of(batches):
             made = dict(zip(new, work(b.column(b.schema.get_field_index(column)))))
             yield pa.RecordBatch.from_arrays(
                 [made[n] if n in made else b.column(b.schema.get_field_index(n)) for n in names],
                 names=names)
+        work = made = b = None
+        release()
 
     return keep.mapInArrow(run, out)
 
 
-def in_parts(col: pa.Array, work: Callable[[list], list], chars: int = 1_000_000) -> list:
+def in_parts(col: pa.Array, work: Callable[[list], list], chars: int = 300_000) -> list:
     """``work`` over the values of a text column, about ``chars`` characters at a
     time (one text at least), so memory does not follow the batch's size."""
     out, part, size = [], [], 0

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from .common import in_parts
+from .common import release, in_parts
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -204,6 +204,8 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
                 pa.array([None if r[3] is None else pack(r[3]) for r in rows], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point"])
+        seen = rows = b = None
+        release()
 
     return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
 
