@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from .common import release, in_parts
+from .common import in_parts, release, runs_of
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -267,7 +267,7 @@ def _bounded(num: int, den: int):
     """Keep the pairs (a, b, sizes, points) whose summed coordinate minima allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs_of(batches):
             good = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = (unpack(v.as_buffer()).astype(np.int64) for v in (x, y))
@@ -297,9 +297,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
                 yield part, np.stack([fold(p.astype(np.int32), groups) for p in points]).astype(np.int32)
 
     held: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in runs_of(batches):
         rows = pa.Table.from_batches([b])
         if held is not None:
             rows = pa.concat_tables([held, rows])
@@ -312,6 +310,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
             yield from split(rows.slice(0, cut))
     if held is not None:
         yield from split(held)
+    held = rows = b = None
+    release()
 
 
 def _partnered(num: int, den: int):
