@@ -26,6 +26,17 @@ def tokens(text: Column | str) -> Column:
     return F.array_remove(raw_tokens(text), "")
 
 
+def words(text: Column | str) -> Column:
+    """The tokens of ``text`` with one space between them, as one string."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.trim(F.regexp_replace(F.lower(c), TOKEN_SPLIT, " "))
+
+
+def word_count(joined: Column) -> Column:
+    """Number of tokens in a ``words`` string."""
+    return F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
+
+
 def token_count(raw: Column) -> Column:
     """Number of tokens in a ``raw_tokens`` array (empty pieces not counted)."""
     return F.size(F.array_remove(raw, ""))

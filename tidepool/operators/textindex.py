@@ -3,17 +3,22 @@
 Layout below an index's folder::
 
     manifest/               rows of all versions; the highest version is the index
-    segments/<name>/docs    (_id, raw, lengths): the documents, with words per field
-    segments/<name>/postings (field, term, _id, tf, dl), sorted by field and term
+    segments/<name>/docs    (_id, raw, words, lengths): the documents, per field their
+                            words in one string and how many
+    segments/<name>/postings (field, term, ids, tfs, dls): the documents of a term in blocks,
+                            one for each run of documents, by field and term in a run
     tombstones/<name>       (segment, _id, lengths) of documents that are no more
 
 Every append writes a segment with its own postings and statistics and leaves
-the others alone; a delete writes tombstones only. A search reads the postings
-of its terms from all live segments (sorted files: the term filter skips the rest),
+the others alone; a delete writes tombstones only. A segment is written where its
+documents lie: words are found once, kept with the documents, and counted document by
+document in the tasks that read them again, so neither texts nor postings are shuffled or
+sorted and a task holds the postings of one run, however large its input. A search reads the postings
+of its terms from all live segments (in small row groups: the term filter skips the rest),
 takes out the tombstones, and ranks by BM25 over the remaining documents: the number
 of documents and the lengths are those of the segments less those of the
 tombstones, which carry them, so no document is read for statistics. Compaction
-writes one segment of what is live; the ranking is the same before and after.
+writes one segment of the live documents; the ranking is the same before and after.
 
 A version becomes visible when its manifest file is committed, so readers and a
 writer that failed on the way never see half an append; what a failed writer left is
@@ -28,13 +33,24 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, raw_tokens
+from ..functions.text import query_terms, word_count, words
+from . import _postings
 from .search import _idf, _term_score, top_k
 
+# Executors import nothing of this package: what they run is shipped by value.
+cloudpickle.register_pickle_by_value(_postings)
+
+POSTINGS = "field string, term string, ids array<string>, tfs array<int>, dls array<int>"
+# So many tombstones are broadcast (some 100 bytes each), more are shuffled.
+FEW_DEAD = 200_000
+# Row groups of the postings are small, so that a search skips those without its terms.
+BLOCK_BYTES = 2 << 20
+
 MANIFEST = ("version long, kind string, name string, field string, docs long, with_words long, words long, bytes long")
 
 
@@ -92,18 +108,23 @@ def column_documents(docs: DataFrame, id_col: str, fields: Sequence[str]) -> Dat
                        F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.col(f).cast("string") for f in fields])).alias("fields"))
 
 
-def _write_segment(docs: DataFrame, postings: DataFrame, path: str) -> list[tuple]:
-    """Write a segment (docs: _id, raw, lengths) and give its manifest rows."""
+def _write_segment(docs: DataFrame, path: str, checked: bool = False) -> tuple[str, list[tuple]]:
+    """Write documents (_id, raw, words) as a segment: its name and manifest rows. Unless
+    ``checked``, ids may come more than once, and the greatest text of an id is kept."""
     spark, name = docs.sparkSession, uuid.uuid4().hex[:12]
     to = f"{path}/segments/{name}"
-    docs.write.parquet(f"{to}/docs")
+    docs.select("_id", "raw", "words", F.transform_values("words", lambda _, w: word_count(w)).alias("lengths")).write.parquet(f"{to}/docs")
     written = spark.read.parquet(f"{to}/docs")
-    postings.repartitionByRange("field", "term", "_id").sortWithinPartitions("field", "term", "_id").write.parquet(f"{to}/postings")
+    if not checked and written.groupBy("_id").count().filter("count > 1").limit(1).count():
+        one = written.groupBy("_id").agg(F.max_by(F.struct("raw", "words"), F.coalesce("raw", F.lit(""))).alias("d"))
+        return _write_segment(one.select("_id", "d.raw", "d.words"), path, checked=True)
+    texts = written.select("_id", F.explode("words").alias("field", "words")).filter("words <> ''")
+    texts.mapInArrow(_postings.blocks, POSTINGS).write.option("parquet.block.size", BLOCK_BYTES).parquet(f"{to}/postings")
     size = sum(spark.read.parquet(f"{to}/{part}").select("_metadata.file_path", "_metadata.file_size").distinct()
                .agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0] for part in ("docs", "postings"))
     per_field = written.select(F.explode("lengths").alias("field", "dl")).groupBy("field") \
         .agg(F.count_if(F.col("dl") > 0).alias("n"), F.sum("dl").alias("words")).collect()  # a row a field
-    return [("segment", name, None, written.count(), None, None, size)] + \
+    return name, [("segment", name, None, written.count(), None, None, size)] + \
         [("field", name, r["field"], None, r["n"], r["words"], None) for r in per_field]
 
 
@@ -111,28 +132,27 @@ def append(docs: DataFrame, path: str) -> None:
     """Add documents (_id, raw, fields) as a segment; known ids are replaced."""
     spark = docs.sparkSession
     state = _state(spark, path)
-    staged = f"{path}/staged/{uuid.uuid4().hex[:12]}"
-    # one document an id; words are split once
-    one = docs.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.max_by(F.struct("raw", "fields"), F.coalesce("raw", F.lit(""))).alias("d"))
-    tokens = F.transform_values("d.fields", lambda _, text: F.array_remove(F.coalesce(raw_tokens(text), F.array().cast("array<string>")), ""))
-    one.select("_id", "d.raw", tokens.alias("tokens")).write.parquet(staged)
-    one = spark.read.parquet(staged)
-    lengths = F.transform_values("tokens", lambda _, t: F.size(t))
-    postings = one.select("_id", F.explode("tokens").alias("field", "tokens")).select("_id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")) \
-        .groupBy("field", "term", "_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    segment = _write_segment(one.select("_id", "raw", lengths.alias("lengths")), postings, path)
-    replaced = _tombstones(spark, path, state, one.select("_id"))
+    found = F.transform_values("fields", lambda _, text: F.coalesce(words(text), F.lit("")))
+    name, segment = _write_segment(docs.filter(F.col("_id").isNotNull()).select("_id", "raw", found.alias("words")), path)
+    replaced = _tombstones(spark, path, state, spark.read.parquet(f"{path}/segments/{name}/docs").select("_id"))
     _commit(spark, path, state[0]["version"] + 1, _kept(state, "index", "segment", "field", "tombstones") + segment + replaced)
 
 
 def _docs(spark: SparkSession, path: str, state: list) -> DataFrame | None:
-    """The live documents (segment, _id, raw, lengths); null for an index without any."""
+    """The live documents (segment, _id, raw, words, lengths); null for an index without any."""
     names = [r["name"] for r in state if r["kind"] == "segment"]
     if not names:
         return None
     rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/segments/{n}/docs").withColumn("segment", F.lit(n)) for n in names])
-    dead = _dead(spark, path, state)
-    return rows if dead is None else rows.join(dead.select("segment", "_id"), ["segment", "_id"], "left_anti")
+    return _alive(rows, _dead(spark, path, state), state)
+
+
+def _alive(rows: DataFrame, dead: DataFrame | None, state: list) -> DataFrame:
+    """The rows (segment, _id, ...) of documents that are not deleted."""
+    if dead is None:
+        return rows
+    few = sum(r["docs"] for r in state if r["kind"] == "tombstones") <= FEW_DEAD
+    return rows.join(dead.select("segment", "_id").hint("broadcast" if few else "shuffle_hash"), ["_id", "segment"], "left_anti")
 
 
 def _dead(spark: SparkSession, path: str, state: list) -> DataFrame | None:
@@ -178,13 +198,13 @@ def search(spark: SparkSession, path: str, query: str, field: str = "text", k: i
     fields = [r for r in state if r["kind"] == "field" and r["field"] == field]
     with_words, words = sum(r["with_words"] for r in fields), sum(r["words"] for r in fields)
     found = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/segments/{s}/postings").filter(
-        (F.col("field") == field) & F.col("term").isin(terms)).withColumn("segment", F.lit(s)) for s in names])
+        (F.col("field") == field) & F.col("term").isin(terms)).select(F.lit(s).alias("segment"), "term", F.inline(F.arrays_zip(F.col("ids").alias("_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))) for s in names])
     dead = _dead(spark, path, state)
     if dead is not None:
         dl = F.coalesce(F.col("lengths")[field], F.lit(0))
         gone = dead.agg(F.count("*"), F.count_if(dl > 0), F.coalesce(F.sum(dl), F.lit(0))).first()  # three numbers
         n, with_words, words = n - gone[0], with_words - gone[1], words - gone[2]
-        found = found.join(dead.select("segment", "_id"), ["segment", "_id"], "left_anti")
+        found = _alive(found, dead, state)
     avgdl = F.lit(words / with_words if with_words else 1.0)
     df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     # one row per query term: a broadcast of a size that the query bounds
@@ -200,11 +220,7 @@ def compact(spark: SparkSession, path: str) -> None:
     names = [r["name"] for r in state if r["kind"] == "segment"]
     if len(names) < 2 and not _kept(state, "tombstones"):
         return
-    postings = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/segments/{s}/postings").withColumn("segment", F.lit(s)) for s in names])
-    dead = _dead(spark, path, state)
-    if dead is not None:
-        postings = postings.join(dead.select("segment", "_id"), ["segment", "_id"], "left_anti")
-    segment = _write_segment(_docs(spark, path, state).drop("segment"), postings.drop("segment"), path)
+    _, segment = _write_segment(_docs(spark, path, state), path, checked=True)
     _commit(spark, path, state[0]["version"] + 1, _kept(state, "index") + segment)
 
 
@@ -230,5 +246,5 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in ("manifest", "segments", "tombstones", "staged", ""):
+    for part in ("manifest", "segments", "tombstones", ""):
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path), True)
