@@ -7,11 +7,14 @@ kept document's token ids with the digests of ids and decoded bytes.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, decontaminate, jaccard, pseudonyms, queries, toxicity
-from tidepool.session import work_path
+from tidepool.session import prepare, work_path
 from tidepool.sources.tables import load
 
 
@@ -72,12 +75,22 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _prepared(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session with the settings that the operators rely on, also when it is called alone."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(prepare(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near copies", drop_near_copies),
-    ("benchmark decontamination", drop_contaminated),
-    ("private values", replace_private),
-    ("byte-level tokens", tokenise),
+    ("toxicity", _prepared(drop_toxic)),
+    ("near copies", _prepared(drop_near_copies)),
+    ("benchmark decontamination", _prepared(drop_contaminated)),
+    ("private values", _prepared(replace_private)),
+    ("byte-level tokens", _prepared(tokenise)),
 ]
 
 #: The stages' models, permutations and encodings are beyond SQL.

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from .common import in_parts, release, runs_of
+from .common import in_parts, releasing, runs_of
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -139,16 +139,17 @@ def tree_pairs(points: np.ndarray, comp: np.ndarray, num: int, den: int) -> list
     Points are halved along the widest coordinate (or the size) down to leaves;
     a walk over pairs of nodes drops those whose boxes cannot hold a link.
     """
-    size = points.sum(1)
-    wide = np.concatenate([points, size[:, None]], 1)
+    size = points.sum(1, dtype=np.int64)
     out: list[np.ndarray] = []
 
     def build(rows: np.ndarray):
-        box = points[rows].max(0), size[rows].min(), size[rows].max(), comp[rows[0]] if (comp[rows] == comp[rows[0]]).all() else None
+        held = points[rows]
+        box = held.max(0), size[rows].min(), size[rows].max(), comp[rows[0]] if (comp[rows] == comp[rows[0]]).all() else None
         if len(rows) <= LEAF:
             return rows, box, None
-        spread = wide[rows].max(0) - wide[rows].min(0)
-        order = rows[np.argsort(wide[rows, int(spread.argmax())], kind="stable")]
+        widest = int(np.append((box[0] - held.min(0)).astype(np.int64), box[2] - box[1]).argmax())
+        order = rows[np.argsort(size[rows] if widest == points.shape[1] else held[:, widest], kind="stable")]
+        del held
         return rows, box, (build(order[:len(order) // 2]), build(order[len(order) // 2:]))
 
     todo = [(root := build(np.arange(len(points))), root)]
@@ -158,11 +159,11 @@ def tree_pairs(points: np.ndarray, comp: np.ndarray, num: int, den: int) -> list
         if one_a is not None and one_a == one_b:
             continue
         # the threshold asks least of the smallest sets of both boxes
-        if not enough(min(int(np.minimum(top_a, top_b).sum()), high_a, high_b), low_a, low_b, num, den) or \
+        if not enough(min(int(np.minimum(top_a, top_b).sum(dtype=np.int64)), high_a, high_b), low_a, low_b, num, den) or \
                 den * high_a < num * low_b or den * high_b < num * low_a:
             continue
         if a[2] is None and b[2] is None:
-            shared = np.minimum(points[a[0]][:, None], points[b[0]][None]).sum(2)
+            shared = np.minimum(points[a[0]][:, None], points[b[0]][None]).sum(2, dtype=np.int64)
             good = enough(shared, size[a[0]][:, None], size[b[0]][None], num, den) & (comp[a[0]][:, None] != comp[b[0]][None])
             i, j = np.nonzero(good)
             if len(i):
@@ -204,10 +205,8 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
                 pa.array([None if r[3] is None else pack(r[3]) for r in rows], pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point"])
-        seen = rows = b = None
-        release()
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
+    return docs.mapInArrow(releasing(run), "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
 
 
 def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -235,6 +234,7 @@ def _batch(cell: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(owner)], names=["cell", "owner"])
 
 
+@releasing
 def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first point of each cell of a slice: a cell of very many points sends one per slice."""
     for b in (part for whole in batches for part in _slices(whole, 1)):
@@ -242,6 +242,7 @@ def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(cell[start], owner[start])
 
 
+@releasing
 def _crowded_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The points of cells that hold several within a slice."""
     for b in (part for whole in batches for part in _slices(whole, 1)):
@@ -250,6 +251,7 @@ def _crowded_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(cell[several], owner[several])
 
 
+@releasing
 def _crowded_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The points of cells that hold several; rows come sorted by cell."""
     held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row, or the last cell's first two
@@ -266,6 +268,7 @@ def _crowded_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _bounded(num: int, den: int):
     """Keep the pairs (a, b, sizes, points) whose summed coordinate minima allow a link."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches):
             good = []
@@ -283,6 +286,17 @@ def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _folded(packed: pa.ChunkedArray) -> np.ndarray:
+    """The points of a cell at one length, two bytes a count where these are enough."""
+    points = [unpack(v.as_buffer()) for v in packed]
+    groups = min(min(map(len, points)), MOST_GROUPS)
+    few = max(map(len, points)) // groups * 255 < 1 << 16
+    out = np.empty((len(points), groups), np.uint16 if few else np.int32)
+    for i, p in enumerate(points):
+        out[i] = fold(p, groups)
+    return out
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """The cells (or pairs of parts of one) of several components, each with its rows
     and points. Rows (cell, i, j, set_id, component, point, ...) come sorted by cell, i, j."""
@@ -292,9 +306,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
         for at in np.split(np.arange(len(key)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1):
             if len(at) > 1 and (comp[at] != comp[at[0]]).any():
                 part = rows.slice(int(at[0]), len(at))
-                points = [unpack(v.as_buffer()) for v in part.column(5)]
-                groups = min(min(map(len, points)), MOST_GROUPS)
-                yield part, np.stack([fold(p.astype(np.int32), groups) for p in points]).astype(np.int32)
+                yield part, _folded(part.column(5))
 
     held: pa.Table | None = None
     for b in runs_of(batches):
@@ -310,14 +322,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
             yield from split(rows.slice(0, cut))
     if held is not None:
         yield from split(held)
-    held = rows = b = None
-    release()
 
 
 def _partnered(num: int, den: int):
     """The rows (cell, i, j, set_id, component) of the points that have a partner of another
     component in their cell: no more rows than come in, however many the pairs."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, points in _cells(batches):
             found = np.zeros(len(points), bool)
@@ -333,6 +344,7 @@ def _tree_pairs(num: int, den: int):
     """Pairs across components in each cell; a row's last column lists the set's smaller cells of the
     same band. A pair that meets in several cells of a band is given by the first of them only."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, points in _cells(batches):
             ids, earlier = part.column(3).to_numpy(), [frozenset(v) for v in part.column(6).to_pylist()]
@@ -346,6 +358,7 @@ def _tree_pairs(num: int, den: int):
 def _verify(num: int, den: int):
     """Keep the pairs (a, b, shingles of a, of b) that reach the threshold on the whole sets."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
@@ -361,6 +374,7 @@ def _verify(num: int, den: int):
 def _sets(k: int):
     """(set_id, shingles) of texts, each set once per task."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in (part for whole in batches for part in _slices(whole, 0)):
