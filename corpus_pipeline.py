@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, decontaminate, jaccard, pseudonyms, queries, toxicity
-from tidepool.session import prepare, work_path
+from tidepool.session import prepare, work_path, written
 from tidepool.sources.tables import load
 
 
@@ -102,6 +102,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     path = work_path(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{i}")
-        docs = spark.read.parquet(f"{path}/{i}")
+        docs = written(stage(spark, docs, sf_dir), f"{path}/{i}")
     return docs

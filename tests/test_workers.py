@@ -99,3 +99,28 @@ def test_pair_walk_holds_little_besides_its_points():
     pairs = {tuple(p) for f in found for p in np.sort(f, axis=1).tolist()}
     assert pairs and pairs == {tuple(p) for f in wide for p in np.sort(f, axis=1).tolist()}
     assert peak < 5 * points.nbytes / 1e6, peak
+
+
+SHUFFLED = f"""
+import sys, time
+sys.path.insert(0, {ROOT!r})
+from pathlib import Path
+from tidepool.llm.components import components
+from tidepool.session import build_session, work_path
+spark = build_session("local[2]", shuffle_partitions=4)
+links = spark.range(0, 900, numPartitions=3).selectExpr("id AS a", "id + 1000 AS b").union(spark.range(0, 900).selectExpr("id", "id + 2000"))
+path = work_path(spark, "t_components")
+part = components(links, path)
+left = lambda: [f for f in Path(sys.argv[1]).rglob("shuffle_*") if f.stat().st_size > 1_000]
+until = time.time() + 20
+while left() and time.time() < until:
+    time.sleep(0.5)
+print("files", len(left()), "tables", len(list(Path(path.removeprefix("file:")).iterdir())), "nodes", part.count())
+"""
+
+
+def test_no_shuffle_files_of_written_rounds_stay(tmp_path):
+    out = subprocess.run([sys.executable, "-c", SHUFFLED, str(tmp_path)], capture_output=True, text=True, timeout=300,
+                         env={**os.environ, "SPARK_LOCAL_DIRS": str(tmp_path)})
+    assert "tables 1 nodes 2700" in out.stdout, out.stdout + out.stderr[-3000:]
+    assert "files 0 " in out.stdout, out.stdout

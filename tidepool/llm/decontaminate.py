@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import work_path, written
 from .common import ascii_lower, shielded
 
 # What is not part of a word, after lower-casing A-Z.
@@ -74,20 +74,14 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
         .withColumn("shingle", _shingle(F.col("gram"), F.col("offset"), n)) for n in sizes])
     # rarity over all documents, of the shingles that windows hold
     path = work_path(docs.sparkSession, "decontaminate")
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        """A table in the shared folder: computed once, however often it is used."""
-        df.write.parquet(f"{path}/{name}")
-        return docs.sparkSession.read.parquet(f"{path}/{name}")
-
-    wanted = written(places.select("shingle").distinct(), "wanted")
+    wanted = written(places.select("shingle").distinct(), f"{path}/wanted")
     wanted = F.broadcast(wanted) if _fits(wanted) else wanted
     counts = _union([shingles_of(docs.select("text"), n).select("shingle") for n in sizes]) \
         .join(wanted, "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
     # a window with a shingle that no document holds occurs nowhere
     prefix = written(places.join(counts, "shingle", "left").groupBy("gram", "items", "size").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("rarest")) \
-        .filter("rarest.n > 0").select("gram", "items", "size", "rarest.offset", "rarest.shingle"), "prefix")
+        .filter("rarest.n > 0").select("gram", "items", "size", "rarest.offset", "rarest.shingle"), f"{path}/prefix")
     small, found = _fits(prefix), []
     start, size = F.col("_at") - F.col("offset"), F.size("gram")
     for n in sizes:

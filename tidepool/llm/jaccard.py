@@ -24,8 +24,13 @@ hold several components give the pairs across them, through the tree. So
 groups of copies and near copies cost one pair per member, yet every link
 between different components is tried. The tree is walked twice: once to drop
 the points that have no partner left in a cell, which needs their counts only,
-and once to give the pairs of the others, which also needs the list of a set's
-cells, so that a pair is given once. Pairs are verified on the whole sets.
+and once to give the pairs of the others, which also needs the first of a set's
+cells, so that a pair is mostly given once. What is sent to every cell of a set
+is kept short: its point folded to a few counts a coordinate. Pairs are verified
+on the whole sets.
+
+Disk: a step's shuffle files go when it is written, and a table when the last
+step that reads it is; of the work only what the lazy result reads stays.
 
 Sets are known by 64-bit hashes of shingles and of sets. Results by case: null
 and empty texts have no shingles, no links and themselves as component;
@@ -44,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import remove, work_path, written
 from .common import in_parts, releasing, runs_of
 from .components import components
 from .shingles import mix, shingle_sets
@@ -57,6 +62,10 @@ SLICE = 500_000    # characters or cells that a worker holds at a time, besides
 SLICE_ROWS = 2_000 # rows that it holds at a time
 SEEN = 200_000     # sets that a task remembers, so that copies are sent once
 BAND_BITS = 3      # bits of a cell that tell its band from its neighbours
+CELL_BYTES = 6     # of a cell's hash, its lowest ones: sets of one cell by chance are pairs too many, which are verified
+FOLDED = 4         # a point is folded to its length by this for the walks
+EARLIER = 16       # most cells of a set that a row lists
+BROADCAST_ROWS = 200_000  # most row digests that are sent to every executor
 RATIO = 5, 4       # sizes in a band: from n to below n * 5 / 4
 
 
@@ -90,7 +99,8 @@ def cells(hashes: np.ndarray, num: int, den: int, edges: np.ndarray) -> np.ndarr
         # linked set might agree in empty groups alone
         keep = np.flatnonzero(filled if groups - int(filled.sum()) < slack else np.ones(groups, bool))
         cell = mix(coordinates[keep] + mix(keep.astype(np.uint64) + np.uint64(band << 32)))
-        out.append(cell & np.uint64(~BAND_BITS % (1 << 64)) | np.uint64(band & BAND_BITS))
+        cell = cell & np.uint64((1 << 8 * CELL_BYTES) - 1 - BAND_BITS) | np.uint64(band & BAND_BITS)
+        out.append(cell)
     return np.concatenate(out)
 
 
@@ -118,10 +128,30 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), np.uint8)
 
 
+def pack_cells(cell: np.ndarray) -> bytes:
+    return cell.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BYTES].tobytes()
+
+
+def unpack_cells(raw: pa.BinaryArray) -> np.ndarray:
+    """The cells of all rows."""
+    packed = np.frombuffer(b"".join(v.as_buffer() for v in raw), np.uint8).reshape(-1, CELL_BYTES)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :CELL_BYTES] = packed
+    return out.reshape(-1).view("<i8")
+
+
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
     return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.int64)
 
 
+def walked(p: np.ndarray) -> np.ndarray:
+    """A point as it is sent to its cells: folded, as far as a count is a byte."""
+    groups, short = len(p), min(MOST_GROUPS, max(BOUND_GROUPS, len(p) // FOLDED))
+    while groups > short and (half := fold(p, groups // 2)).max() < 256:
+        p, groups = half.astype(np.uint8), groups // 2
+    return p
+
+
 def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
     """The summed coordinate minima of two points."""
     groups = min(len(x), len(y))
@@ -178,8 +208,8 @@ def tree_pairs(points: np.ndarray, comp: np.ndarray, num: int, den: int) -> list
 
 
 def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_id, cells, point. Within a task only the first copy of a
-    set lists its cells: copies are one point."""
+    """doc_id, text_key, n_shingles, set_id, cells, point, walked. Within a task only the first copy
+    of a set lists its cells, ``CELL_BYTES`` each: copies are one point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, seen = bands(1024), set()
@@ -194,40 +224,35 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 new = len(h) > 0 and one not in seen
                 if new and len(seen) < SEEN:
                     seen.add(one)
-                out.append((len(h), one, cells(h, num, den, edges).view(np.int64) if new else None, point(h) if new else None))
+                out.append((len(h), one, cells(h, num, den, edges) if new else None, point(h) if new else None))
             return out
 
-        blank = np.zeros(0, np.int64)
         for b in (part for whole in batches for part in _slices(whole, 1)):
             rows = in_parts(b.column(1), work)
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([blank if r[2] is None else r[2] for r in rows], pa.list_(pa.int64())),
-                pa.array([None if r[3] is None else pack(r[3]) for r in rows], pa.binary())],
-                names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point"])
+                pa.array([None if r[2] is None else pack_cells(r[2]) for r in rows], pa.binary()),
+                pa.array([None if r[3] is None else pack(r[3]) for r in rows], pa.binary()),
+                pa.array([None if r[3] is None else pack(walked(r[3])) for r in rows], pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "set_id", "cells", "point", "walked"])
 
-    return docs.mapInArrow(releasing(run), "doc_id long, text_key long, n_shingles long, set_id long, cells array<long>, point binary")
+    return docs.mapInArrow(releasing(run), "doc_id long, text_key long, n_shingles long, set_id long, cells binary, point binary, walked binary")
 
 
-def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows of bounded size: a column's characters or list entries, and the rows."""
+def _slices(b: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of bounded size: a column's characters, bytes or list entries, and the rows."""
     col = b.column(column)
     sizes = (pc.binary_length(col) if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else pc.list_value_length(col)) \
         .fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    run = (np.cumsum(sizes + SLICE // SLICE_ROWS) - 1) // SLICE
+    run = (np.cumsum(sizes + size // SLICE_ROWS) - 1) // size
     borders = np.flatnonzero(np.diff(run, prepend=-1))
     for start, stop in zip(borders.tolist(), [*borders[1:].tolist(), b.num_rows]):
         yield b.slice(start, stop - start)
 
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, owner) of a batch of (set_id, cells), sorted by cell, and where cells start."""
-    col = b.column(1)
-    cell = col.flatten().to_numpy(zero_copy_only=False)
-    owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()))
-    order = np.argsort(cell, kind="stable")
-    cell, owner = cell[order], owner[order]
-    return cell, owner, np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)]
+def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, owner) of a batch of (set_id, cells)."""
+    return unpack_cells(b.column(1)), np.repeat(b.column(0).to_numpy(zero_copy_only=False), pc.binary_length(b.column(1)).to_numpy() // CELL_BYTES)
 
 
 def _batch(cell: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
@@ -236,18 +261,21 @@ def _batch(cell: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
 
 @releasing
 def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first point of each cell of a slice: a cell of very many points sends one per slice."""
-    for b in (part for whole in batches for part in _slices(whole, 1)):
-        cell, owner, start = _flat(b)
-        yield _batch(cell[start], owner[start])
+    """The first point of each cell of a slice: a cell of very many points sends one per slice.
+    A point's rows follow each other, so that its id is deflated in the shuffle."""
+    for b in (part for whole in batches for part in _slices(whole, 1, SLICE * CELL_BYTES)):
+        cell, owner = _listed(b)
+        first = np.sort(np.unique(cell, return_index=True)[1])
+        yield _batch(cell[first], owner[first])
 
 
 @releasing
 def _crowded_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The points of cells that hold several within a slice."""
-    for b in (part for whole in batches for part in _slices(whole, 1)):
-        cell, owner, start = _flat(b)
-        several = ~(start & np.concatenate([start[1:], [True]])[:len(start)])
+    for b in (part for whole in batches for part in _slices(whole, 1, SLICE * CELL_BYTES)):
+        cell, owner = _listed(b)
+        _, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+        several = n[at] > 1
         yield _batch(cell[several], owner[several])
 
 
@@ -341,8 +369,8 @@ def _partnered(num: int, den: int):
 
 
 def _tree_pairs(num: int, den: int):
-    """Pairs across components in each cell; a row's last column lists the set's smaller cells of the
-    same band. A pair that meets in several cells of a band is given by the first of them only."""
+    """Pairs across components in each cell; a row's last column lists the smallest of the set's cells of
+    the same band, if smaller than this one. A pair that meets in such a cell is left to that one."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,18 +425,21 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     path = work_path(spark, "jaccard")
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        """A table in the shared folder: computed once, and it cuts the lineage."""
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
+    def table(df: DataFrame, name: str) -> DataFrame:
+        return written(df, f"{path}/{name}")
+
+    def done(*names: str) -> None:
+        remove(spark, *[f"{path}/{name}" for name in names])
 
     text_key = F.xxhash64("text")
-    points = written(_describe(docs.select("doc_id", "text", text_key.alias("text_key")), k, num, den), "points")
-    listed = points.filter(F.size("cells") > 0).select("set_id", "cells")
+    described = table(_describe(docs.select("doc_id", "text", text_key.alias("text_key")), k, num, den), "described")
+    listed = described.filter(F.octet_length("cells") > 0).select("set_id", "cells")
     across = listed.mapInArrow(_one_each, "cell long, owner long").repartition("cell").sortWithinPartitions("cell") \
         .mapInArrow(_crowded_across, "cell long, owner long")
-    crowd = written(across.unionByName(listed.mapInArrow(_crowded_here, "cell long, owner long")).distinct(), "crowd")
-    shapes = written(points.filter(F.col("point").isNotNull()).select("set_id", "point").dropDuplicates(["set_id"]), "shapes")
+    crowd = table(across.unionByName(listed.mapInArrow(_crowded_here, "cell long, owner long")).distinct(), "crowd")
+    points = table(described.select("doc_id", "text_key", "n_shingles", "set_id"), "points")
+    shapes = table(described.filter(F.col("point").isNotNull()).select("set_id", "point", "walked").dropDuplicates(["set_id"]), "shapes")
+    done("described")
 
     def joined(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
         for side in ("a", "b"):
@@ -418,41 +449,54 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     def verified(likely: DataFrame, name: str) -> DataFrame:
         ids = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         # a text for each set: the one with the smallest hash
-        keys = written(points.select("set_id", "text_key").join(ids, "set_id", "left_semi").groupBy("set_id")
-                       .agg(F.min("text_key").alias("text_key")).select("text_key").distinct(), f"{name}-keys")
+        keys = table(points.select("set_id", "text_key").join(ids, "set_id", "left_semi").groupBy("set_id")
+                     .agg(F.min("text_key").alias("text_key")).select("text_key").distinct(), f"{name}-keys")
         texts = docs.select("text", text_key.alias("text_key")).join(keys, "text_key", "left_semi").select("text")
-        sets = written(texts.mapInArrow(_sets(k), "set_id long, shingles binary").dropDuplicates(["set_id"]), f"{name}-sets")
-        return written(joined(likely, sets, "shingles").mapInArrow(_verify(num, den), "a long, b long"), name)
+        sets = table(texts.mapInArrow(_sets(k), "set_id long, shingles binary").dropDuplicates(["set_id"]), f"{name}-sets")
+        links = table(joined(likely, sets, "shingles").mapInArrow(_verify(num, den), "a long, b long"), name)
+        done(f"{name}-keys", f"{name}-sets")
+        return links
 
     # first visit: each point of a cell with the cell's first point
-    heads = crowd.groupBy("cell").agg(F.min("owner").alias("a"))
-    first = written(crowd.join(heads, "cell").filter("owner > a").select("a", F.col("owner").alias("b")).distinct(), "first")
-    likely = joined(first, shapes, "point").mapInArrow(_bounded(num, den), "a long, b long")
-    links = verified(written(likely, "likely"), "links1")
+    heads = crowd.groupBy("cell").agg(F.min("owner").alias("a"), F.count("*").alias("n"))
+    headed = table(crowd.join(heads, "cell"), "headed")
+    done("crowd")
+    first = table(headed.filter("owner > a").select("a", F.col("owner").alias("b")).distinct(), "first")
+    likely = table(joined(first, shapes, "point").mapInArrow(_bounded(num, den), "a long, b long"), "likely")
+    links = verified(likely, "links1")
     part = components(links, f"{path}/components1").withColumnRenamed("node", "owner")
     # second visit: cells of three or more points that still hold several components
-    inside = written(crowd.join(part, "owner", "left").withColumn("component", F.coalesce("component", "owner")), "inside")
+    inside = table(headed.filter("n > 2").select("cell", "owner").join(part, "owner", "left")
+                   .withColumn("component", F.coalesce("component", "owner")), "inside")
+    done("headed", "likely", "components1")
     open_cells = inside.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")) \
-        .filter("n > 2 AND low < high").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
-    opened = written(inside.join(open_cells, "cell"), "opened")
+        .filter("low < high").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
+    opened = table(inside.join(open_cells, "cell"), "opened")
+    done("inside")
     keys = ["cell", "i", "j"]
     # a cell of many points is dealt out as pairs of its parts
     dealt = opened.withColumn("own", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
         .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                 F.col("owner").alias("set_id"), "component")
-    near = written(dealt.join(shapes, "set_id").select(*keys, "set_id", "component", "point")
-                   .repartition(*keys).sortWithinPartitions(*keys)
-                   .mapInArrow(_partnered(num, den), "cell long, i int, j int, set_id long, component long"), "near")
-    # what a set still brings to its cells: its point, and the list of these cells (as many as it has groups at most)
-    brought = near.groupBy("set_id").agg(F.collect_set("cell").alias("cells")).join(shapes, "set_id")
+    short = shapes.select("set_id", F.col("walked").alias("point"))
+    near = table(dealt.join(short, "set_id").select(*keys, "set_id", "component", "point")
+                 .repartition(*keys).sortWithinPartitions(*keys)
+                 .mapInArrow(_partnered(num, den), "cell long, i int, j int, set_id long, component long"), "near")
+    done("opened")
+    # what a set still brings to its cells: its point, and the list of the first of these cells
+    brought = near.groupBy("set_id").agg(F.collect_set("cell").alias("cells")).join(short, "set_id")
     earlier = lambda c: (c < F.col("cell")) & (c.bitwiseAND(BAND_BITS) == F.col("cell").bitwiseAND(BAND_BITS))
     more = near.join(brought, "set_id").select(*keys, "set_id", "component", "point",
-                                               F.filter("cells", earlier).alias("cells")) \
+                                               F.slice(F.array_sort(F.filter("cells", earlier)), 1, EARLIER).alias("cells")) \
         .repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_pairs(num, den), "a long, b long")
-    more = written(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(verified(more, "links2"))
+    more = table(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
+    done("near", "first")
+    likely = table(joined(more, shapes, "point").mapInArrow(_bounded(num, den), "a long, b long"), "likely2")
+    done("more", "shapes")
+    links = links.unionByName(verified(likely, "links2"))
     part = components(links, f"{path}/components2")
+    done("links1", "links2", "likely2")
 
     # the smallest id of a set, then of a component
     sets = points.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
@@ -466,8 +510,8 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     reachable by links ``den * intersection >= num * union`` of k-word shingle sets)."""
     points, named, path = _grouped(docs, k, num, den)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named.join(least, "component").select("set_id", "component_id").write.parquet(f"{path}/of_set")
-    of_set = docs.sparkSession.read.parquet(f"{path}/of_set")
+    of_set = written(named.join(least, "component").select("set_id", "component_id"), f"{path}/of_set")
+    remove(docs.sparkSession, f"{path}/components2")
     return points.join(of_set, "set_id").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -479,11 +523,6 @@ def keep_first(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     read; of rows equal in all columns one is kept. Rows without words stay.
     """
     points, named, path = _grouped(docs, k, num, den)
-    spark = docs.sparkSession
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
 
     everything = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
                            {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -493,14 +532,17 @@ def keep_first(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     # the rows by key, and the first one of each text
     rows = keyed.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")) \
         .select("_row", "doc_id", F.xxhash64("text").alias("text_key"))
-    rows = written(rows.groupBy("_row", "doc_id", "text_key").agg(F.count("*").alias("n")), "row_keys")
+    rows = written(rows.groupBy("_row", "doc_id", "text_key").agg(F.count("*").alias("n")), f"{path}/row_keys")
     best = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     of_text = rows.groupBy("text_key").agg(F.min(best).alias("best"))
     in_component = points.filter("n_shingles > 0").select("text_key", "set_id").distinct() \
         .join(named.select("set_id", "component"), "set_id").select("text_key", "component")
     first = written(of_text.join(in_component, "text_key").groupBy("component").agg(F.min("best").alias("best"))
-                    .select("best._row"), "kept")
-    again = rows.filter("n > 1").join(first, "_row", "left_semi").select("_row")
-    apart = written(rows.join(first, "_row", "left_anti").select("_row").unionByName(again), "apart")
+                    .select("best._row"), f"{path}/kept")
+    again = written(rows.filter("n > 1").join(first, "_row", "left_semi").select("_row"), f"{path}/again")
+    apart = written(rows.join(first, "_row", "left_anti").select("_row").unionByName(again), f"{path}/apart")
+    remove(docs.sparkSession, *[f"{path}/{name}" for name in ("points", "components2", "row_keys", "kept")])
+    # where the digests are few, the documents are not dealt out to find them
+    again, apart = (F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows for rows in (again, apart))
     one = keyed.join(again, "_row", "left_semi").dropDuplicates(["_row"])
     return keyed.join(apart, "_row", "left_anti").unionByName(one).select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])
