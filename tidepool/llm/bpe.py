@@ -26,7 +26,7 @@ from .common import in_parts, map_column
 
 # pre-tokens, token pairs and moves between suffixes remembered per task (memory bound)
 CACHE_ENTRIES, PAIR_ENTRIES, MOVE_ENTRIES = 250_000, 800_000, 400_000
-PART_CHARS = 3_000_000  # characters whose pieces are learnt together
+PART_CHARS = 1_000_000  # characters whose pieces are learnt together
 _NEVER = 1 << 40
 
 
