@@ -69,7 +69,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row for every row, repeated ones included; a null text has the ids of the empty one: none."""
     ranks, pattern = queries.bpe_parts()
-    coded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
+    # written in between: chained, a task would hold the workers of both operators at once
+    coded = written(bpe.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), work_path(spark, "token_ids"))
     return bpe.decode(coded, ranks).select(
         "doc_id", bpe.token_count(F.col("token_ids")).alias("n_tokens"), "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
