@@ -63,8 +63,9 @@ SLICE_ROWS = 2_000 # rows that it holds at a time
 SEEN = 200_000     # sets that a task remembers, so that copies are sent once
 BAND_BITS = 3      # bits of a cell that tell its band from its neighbours
 CELL_BYTES = 6     # of a cell's hash, its lowest ones: sets of one cell by chance are pairs too many, which are verified
-FOLDED = 4         # a point is folded to its length by this for the walks
-EARLIER = 16       # most cells of a set that a row lists
+FOLDED = 4         # a point is folded to its length by this for the walks, not below
+WALK_GROUPS = 512  # coordinates
+EARLIER = 128      # most cells of a set that a row lists
 BROADCAST_ROWS = 200_000  # most row digests that are sent to every executor
 RATIO = 5, 4       # sizes in a band: from n to below n * 5 / 4
 
@@ -146,7 +147,7 @@ def fold(p: np.ndarray, groups: int) -> np.ndarray:
 
 def walked(p: np.ndarray) -> np.ndarray:
     """A point as it is sent to its cells: folded, as far as a count is a byte."""
-    groups, short = len(p), min(MOST_GROUPS, max(BOUND_GROUPS, len(p) // FOLDED))
+    groups, short = len(p), min(MOST_GROUPS, max(WALK_GROUPS, len(p) // FOLDED))
     while groups > short and (half := fold(p, groups // 2)).max() < 256:
         p, groups = half.astype(np.uint8), groups // 2
     return p
